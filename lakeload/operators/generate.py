@@ -18,6 +18,9 @@ MW_MAX = 100
 LOGP_MAX = 10
 FINGERPRINT_LENGTH = 2048
 
+# A record is tens of kilobytes; this keeps a task's output near a hundred megabytes.
+ROWS_PER_TASK = 4000
+
 _DENSE_FINGERPRINTS = ("FP1", "FP2", "FP3")
 _SPARSE_FINGERPRINTS = ("FP4", "FP5")
 
@@ -31,7 +34,9 @@ def generate_records(
     """One record per input row; rows that share a file name share a library.
 
     Keeps ``file_name`` as a thirteenth column, for a sink that writes one folder per file.
-    No shuffle: every value is an expression over the row's own number and file name.
+    No shuffle: every value is an expression over the row's own number and file name. A record
+    is far wider than the row it is made from, so ``rows`` should come in narrow partitions;
+    see ``task_count``.
     """
 
     def row_digest(tag: str) -> Column:
@@ -55,6 +60,11 @@ def generate_records(
     )
 
 
+def task_count(rows: int) -> int:
+    """Partitions to generate this many records in."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
 def sample_records(
     spark: SparkSession,
     rows_per_file: dict[str, int],
@@ -62,7 +72,7 @@ def sample_records(
 ) -> DataFrame:
     """Records for a set of named files, given the row count of each."""
     parts = [
-        spark.range(count).select("id", F.lit(name).alias("file_name"))
+        spark.range(0, count, 1, task_count(count)).select("id", F.lit(name).alias("file_name"))
         for name, count in rows_per_file.items()
     ]
     return generate_records(

@@ -16,7 +16,9 @@ from lakeload.operators.generate import (
     MW_MAX,
     SUB_ID_LENGTH,
     generate_records,
+    task_count,
 )
+from lakeload.operators.layout import spread
 from lakeload.plans.fixtures import (
     RECORDS_CTE,
     TABLE_COLUMNS_SQL,
@@ -102,7 +104,8 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("file_name")
     )
-    sample = generate_records(rows)
+    tasks = max(task_count(rows.count()), spark.sparkContext.defaultParallelism)
+    sample = generate_records(spread(rows, tasks))
     plain = [name for name in COLUMNS if name not in _FINGERPRINTS]
     return sample.select(
         *plain,
