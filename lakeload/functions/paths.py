@@ -47,13 +47,6 @@ def qualify(spark: SparkSession, path: str) -> str:
     return normalize(fs.makeQualified(jpath).toString())
 
 
-def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths matching a glob; an empty list when there are none."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [status.getPath().toString() for status in fs.globStatus(jpath) or []]
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the session's shared checkpoint folder.
 

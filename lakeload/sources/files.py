@@ -57,6 +57,27 @@ def remove_files(paths: DataFrame) -> int:
     return removed.groupBy().sum("removed").first()[0] or 0
 
 
+def existing_folders(spark: SparkSession, candidates: list[str]) -> list[str]:
+    """Those of the candidate folders that exist; looked up in parallel, one call for each.
+
+    Cheaper than a listing of what surrounds them, which grows with the table.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                fs, inside = resolve(path)
+                if fs.get_file_info(inside).type == pafs.FileType.Directory:
+                    found.append(path)
+            yield pd.DataFrame({"path": pd.Series(found, dtype="object")})
+
+    if not candidates:
+        return []
+    paths = spark.createDataFrame([(path,) for path in candidates], "path string")
+    return sorted(row.path for row in paths.mapInPandas(look, "path string").collect())
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.functions.paths import glob_escape, glob_paths, qualify
+from lakeload.functions.paths import glob_escape, qualify
 from lakeload.functions.schema import (
     COLUMNS,
     LOADED,
@@ -25,14 +25,22 @@ from lakeload.functions.schema import (
     SOURCE_PATH,
     TABLE_SCHEMA,
 )
+from lakeload.sources.files import existing_folders
 
-# Small pages let the page index on the ordered ID column skip within a row group, where one
-# record is tens of kilobytes of vectors. The bloom filter serves IDs of unordered arrival.
-PARQUET_OPTIONS = {
+# A record is mostly vectors of digits, tens of kilobytes in all. They never repeat, so no
+# dictionary is tried, and the fastest zstd level also packs them best. Small pages let the
+# page index on the ordered ID column skip within a row group; the bloom filter on ID spares
+# files whose range of IDs covers the one looked for.
+VECTOR_OPTIONS = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
+    **{f"parquet.enable.dictionary#FP{i}": "false" for i in range(1, 6)},
+}
+PARQUET_OPTIONS = {
+    **VECTOR_OPTIONS,
+    "parquet.page.row.count.limit": "1024",
     "parquet.bloom.filter.enabled#ID": "true",
     "parquet.bloom.filter.expected.ndv#ID": "100000",
-    "parquet.page.row.count.limit": "1024",
 }
 
 STORED_FIELDS = [f for f in ROW_STORE_SCHEMA.fields if f.name not in PARTITION_COLUMNS]
@@ -68,10 +76,14 @@ def partition_ready(rows: DataFrame) -> DataFrame:
     )
 
 
-def append_rows(clustered: DataFrame, root: str) -> None:
-    """Write clustered row-store rows; partitions that are written again are replaced."""
+def append_rows(clustered: DataFrame, root: str, replace: bool = False) -> None:
+    """Write clustered row-store rows.
+
+    A plain append where the sources are new to the table; any output committer can do that.
+    With ``replace`` the partitions that are written again are replaced.
+    """
     (
-        clustered.write.mode("overwrite")
+        clustered.write.mode("overwrite" if replace else "append")
         .option("partitionOverwriteMode", "dynamic")
         .options(**PARQUET_OPTIONS)
         .partitionBy(*PARTITION_COLUMNS)
@@ -81,11 +93,14 @@ def append_rows(clustered: DataFrame, root: str) -> None:
 
 def source_folders(spark: SparkSession, root: str, sources: Iterable[str]) -> list[str]:
     """Existing folders of these sources, at most one per source and verdict."""
-    keys = sorted(set(sources))
-    if not keys:
-        return []
-    pattern = f"{glob_escape(rows_path(root))}/verdict=*/src={{{','.join(keys)}}}"
-    return glob_paths(spark, pattern)
+    return existing_folders(
+        spark,
+        [
+            f"{rows_path(root)}/verdict={verdict}/src={source}"
+            for verdict in (LOADED, REJECTED)
+            for source in sorted(set(sources))
+        ],
+    )
 
 
 def stored_files(spark: SparkSession, folders: list[str]) -> DataFrame:

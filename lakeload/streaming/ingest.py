@@ -51,14 +51,14 @@ def ingest_stream(
 
     A stream of file names, not of rows: files differ in their headers, and a row stream has
     one schema. The checkpoint remembers the names, so an interrupted run goes on where it
-    stopped; a micro-batch holds at most ``max_files`` names.
+    stopped; a micro-batch holds a bounded number of names.
     """
     root = prepare(spark, root)
     names = (
         spark.readStream.format("binaryFile")
         .schema(LISTING_SCHEMA)
         .options(**listing_options(options.extension, options.recursive))
-        .option("maxFilesPerTrigger", options.max_files)
+        .option("maxFilesPerTrigger", options.files_per_load(spark))
         # The default ignores files much older than the newest one seen.
         .option("maxFileAge", "36500d")
         .load(glob_escape(folder))
@@ -86,7 +86,7 @@ def ingest_stream(
 def ingest_files(
     files: DataFrame, root: str, options: IngestOptions = _NO_OPTIONS
 ) -> None:
-    """Ingest the files in column ``path`` that are pending, in rounds of ``max_files``.
+    """Ingest the files in column ``path`` that are pending, a bounded number at a time.
 
     With ``ignore_duplicates`` off every file is read again and its rows are replaced.
     """
@@ -97,7 +97,7 @@ def ingest_files(
     if "position" not in pending.columns:
         pending = pending.select("path").distinct().withColumn("position", F.lit(None))
     names = (row.path for row in in_order(pending).toLocalIterator())
-    for number, paths in enumerate(_rounds(names, options.max_files)):
+    for number, paths in enumerate(_rounds(names, options.files_per_load(spark))):
         load_files(spark, paths, root, f"{run_id}-{number:09d}", options)
 
 

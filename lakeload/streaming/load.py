@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
@@ -21,10 +21,15 @@ from lakeload.sources.probe import probe_headers, verify_files
 from lakeload.sources.tsv import group_by_header, read_aligned
 
 
+# Row counts by (source key, verdict).
+Counts = dict[tuple[str, str], int]
+
+
 @dataclass(frozen=True)
 class IngestOptions:
     """Settings of an ingest run.
 
+    ``max_files``: files in one load; by default enough to keep every core busy twice.
     ``split_bytes``: a source file larger than this is spread over several tasks ahead of the
     write, ``partitions`` of them or as many as ``file_bytes`` calls for. A smaller one is
     ordered and written by the task that scans it, without a shuffle.
@@ -36,20 +41,23 @@ class IngestOptions:
     extension: str = DEFAULT_EXTENSION
     recursive: bool = False
     ignore_duplicates: bool = True
-    max_files: int = 500
+    max_files: int | None = None
     partitions: int = DEFAULT_PARTITIONS
     split_bytes: int = 512 << 20
     file_bytes: int = 256 << 20
     verify_first: bool = False
     headers_per_write: int = 32
 
+    def files_per_load(self, spark: SparkSession) -> int:
+        return self.max_files or max(500, 2 * spark.sparkContext.defaultParallelism)
+
 
 @dataclass
 class Outcome:
     """What a load has decided about its files so far."""
 
-    written: list[Row] = field(default_factory=list)
     refused: dict[str, tuple[str, str]] = field(default_factory=dict)
+    counts: Counts = field(default_factory=dict)
 
 
 def load_files(
@@ -66,20 +74,22 @@ def load_files(
     """
     if not paths:
         return
-    files = spark.createDataFrame([(path,) for path in paths], "path string")
-    probed = probe_headers(files).collect()
+    probed = probe_headers(_path_frame(spark, paths)).collect()
     outcome = Outcome(refused={f.path: (f.status, f.reason) for f in probed if f.status})
     sound = [f for f in probed if not f.status]
     if options.verify_first:
         sound = _quarantine_damaged(spark, sound, outcome)
     _write_or_refuse(spark, sound, root, load_id, options, outcome)
-    counts = _count_rows(spark, root, outcome.written)
-    entries = [_entry(file, outcome, counts) for file in probed]
+    entries = [_entry(file, outcome) for file in probed]
     ledger.append_entries(
         spark.createDataFrame(entries, ledger.ENTRY_SCHEMA), root, load_id
     )
 
 
+def _path_frame(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    return spark.createDataFrame([(path,) for path in paths], "path string")
+
+
 def _write_or_refuse(
     spark: SparkSession,
     files: list[Row],
@@ -91,22 +101,19 @@ def _write_or_refuse(
     """Write all files together; on an error find the damaged ones, and if that does not
     explain it, go file by file so that one file cannot hold back the rest."""
     try:
-        _write(spark, files, root, load_id, options)
-        outcome.written += files
+        outcome.counts.update(_write(spark, files, root, load_id, options))
         return
     except Exception:
         if not options.verify_first:
             files = _quarantine_damaged(spark, files, outcome)
     try:
-        _write(spark, files, root, load_id, options)
-        outcome.written += files
+        outcome.counts.update(_write(spark, files, root, load_id, options))
         return
     except Exception:
         pass
     for file in files:
         try:
-            _write(spark, [file], root, load_id, options)
-            outcome.written.append(file)
+            outcome.counts.update(_write(spark, [file], root, load_id, options))
         except Exception as error:
             outcome.refused[file.path] = (ledger.FAILED, _first_line(error))
 
@@ -114,8 +121,8 @@ def _write_or_refuse(
 def _quarantine_damaged(spark: SparkSession, files: list[Row], outcome: Outcome) -> list[Row]:
     if not files:
         return files
-    paths = spark.createDataFrame([(f.path,) for f in files], "path string")
-    damaged = {r.path: r.reason for r in verify_files(paths).filter("reason is not null").collect()}
+    verified = verify_files(_path_frame(spark, (f.path for f in files)))
+    damaged = {r.path: r.reason for r in verified.filter("reason is not null").collect()}
     outcome.refused.update(
         {path: (ledger.QUARANTINED, reason) for path, reason in damaged.items()}
     )
@@ -124,24 +131,31 @@ def _quarantine_damaged(spark: SparkSession, files: list[Row], outcome: Outcome)
 
 def _write(
     spark: SparkSession, files: list[Row], root: str, load_id: str, options: IngestOptions
-) -> None:
+) -> Counts:
+    """Put the rows of the files into the table and return what it then holds of them."""
     if not files:
-        return
-    stale = _note_stored_files(spark, root, files, load_id)
+        return {}
+    sources = [source_key(f.path) for f in files]
+    stale = _note_stored_files(spark, root, sources, load_id)
     large = [f for f in files if f.length > options.split_bytes]
     small = [f for f in files if f.length <= options.split_bytes]
     rows_seen = 0
     for group in _header_batches(small, options.headers_per_write):
-        rows = _classified(spark, group, options)
-        rows_seen += _observed(rows, lambda df: table.append_rows(cluster_within(df), root))
+        rows_seen += _observed(
+            _classified(spark, group, options),
+            lambda rows: table.append_rows(cluster_within(rows), root, replace=bool(stale)),
+        )
     for group in _header_batches(large, options.headers_per_write):
-        rows_seen += _write_split(spark, group, root, load_id, options)
+        rows_seen += _write_split(spark, group, root, load_id, options, bool(stale))
     if stale:
         remove_files(spark.read.schema("path string").parquet(glob_escape(stale)))
         remove_folder(spark, stale)
-    rows_stored = sum(_count_rows(spark, root, files).values())
-    if rows_stored != rows_seen:
-        raise RuntimeError(f"scanned {rows_seen} rows but the table holds {rows_stored}")
+    counts = _count_rows(spark, root, sources)
+    if sum(counts.values()) != rows_seen:
+        raise RuntimeError(
+            f"scanned {rows_seen} rows but the table holds {sum(counts.values())}"
+        )
+    return counts
 
 
 def _classified(spark: SparkSession, files: list[Row], options: IngestOptions) -> DataFrame:
@@ -149,7 +163,12 @@ def _classified(spark: SparkSession, files: list[Row], options: IngestOptions) -
 
 
 def _write_split(
-    spark: SparkSession, files: list[Row], root: str, load_id: str, options: IngestOptions
+    spark: SparkSession,
+    files: list[Row],
+    root: str,
+    load_id: str,
+    options: IngestOptions,
+    replace: bool,
 ) -> int:
     """Write large files: to a staged Parquet folder first, from there in ID ranges.
 
@@ -161,15 +180,17 @@ def _write_split(
     rows_seen = _observed(
         _classified(spark, files, options),
         lambda df: df.write.mode("overwrite")
-        .option("compression", "zstd")
+        .options(**table.VECTOR_OPTIONS)
         .option("maxRecordsPerFile", 100_000)
         .parquet(staged),
     )
     partitions = sum(
         max(options.partitions, -(-f.length // options.file_bytes)) for f in files
     )
-    rows = spark.read.schema(ROW_STORE_SCHEMA).parquet(glob_escape(staged))
-    table.append_rows(cluster_across(table.partition_ready(rows), partitions), root)
+    rows = table.partition_ready(
+        spark.read.schema(ROW_STORE_SCHEMA).parquet(glob_escape(staged))
+    )
+    table.append_rows(cluster_across(rows, partitions), root, replace)
     remove_folder(spark, staged)
     return rows_seen
 
@@ -182,7 +203,7 @@ def _header_batches(files: list[Row], headers: int) -> Iterable[list[Row]]:
         yield [by_path[p] for paths in groups[start : start + headers] for p in paths]
 
 
-def _observed(rows: DataFrame, write) -> int:
+def _observed(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
     """Run a write and return the number of rows that went through it."""
     seen = Observation()
     write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
@@ -190,15 +211,15 @@ def _observed(rows: DataFrame, write) -> int:
 
 
 def _note_stored_files(
-    spark: SparkSession, root: str, files: list[Row], load_id: str
+    spark: SparkSession, root: str, sources: list[str], load_id: str
 ) -> str | None:
-    """Write down which files the table already holds for these sources.
+    """Write down which files the table already holds for these sources, if any.
 
     The write replaces partition by partition; what an earlier version of a source left in
     partitions the new one does not touch has to go afterwards. Kept as a table, since a large
     source may have very many files.
     """
-    folders = table.source_folders(spark, root, (source_key(f.path) for f in files))
+    folders = table.source_folders(spark, root, sources)
     if not folders:
         return None
     note = f"{root}/_stale/{load_id}"
@@ -206,27 +227,25 @@ def _note_stored_files(
     return note
 
 
-def _count_rows(spark: SparkSession, root: str, files: list[Row]) -> dict[tuple[str, str], int]:
-    """Stored rows by (source key, verdict); at most two entries per file."""
-    folders = table.source_folders(spark, root, (source_key(f.path) for f in files))
+def _count_rows(spark: SparkSession, root: str, sources: list[str]) -> Counts:
+    folders = table.source_folders(spark, root, sources)
     if not folders:
         return {}
-    counts = table.count_by_source(spark, root, folders).collect()
-    return {(r.src, r.verdict): r["count"] for r in counts}
+    counted = table.count_by_source(spark, root, folders).collect()
+    return {(r.src, r.verdict): r["count"] for r in counted}
 
 
-def _entry(file: Row, outcome: Outcome, counts: dict[tuple[str, str], int]) -> tuple:
+def _entry(file: Row, outcome: Outcome) -> tuple:
     src = source_key(file.path)
     status, reason = outcome.refused.get(file.path, (ledger.LOADED, None))
-    loaded = status == ledger.LOADED
     return (
         file.path,
         src,
         status,
         reason,
         file.length,
-        counts.get((src, ledger.LOADED), 0) if loaded else 0,
-        counts.get((src, REJECTED), 0) if loaded else 0,
+        outcome.counts.get((src, ledger.LOADED), 0),
+        outcome.counts.get((src, REJECTED), 0),
         extra_columns(file.header) if file.header else [],
         datetime.datetime.now(datetime.timezone.utc),
     )
