@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.functions.paths import scratch_dir
 from lakeload.functions.schema import COLUMNS
 from lakeload.sources.discovery import discover_files
-from lakeload.sources.files import resolve
+from lakeload.sources.files import map_paths, resolve
 from lakeload.sources.tsv import write_tsv
 from lakeload.streaming.ingest import ingest
 from lakeload.streaming.load import IngestOptions
@@ -139,30 +137,25 @@ def new_table(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def copy_truncated(files: DataFrame, folder: str, keep: float) -> int:
-    """Copy the leading part of each file to ``folder``, keeping its label; for damage tests."""
-
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, label, length in zip(batch["path"], batch["label"], batch["length"]):
-                fs, source = resolve(path)
-                _, base = resolve(folder)
-                target = f"{base}/label={label}"
-                fs.create_dir(target, recursive=True)
-                left = int(length * keep)
-                with (
-                    fs.open_input_stream(source, compression=None) as src,
-                    fs.open_output_stream(
-                        f"{target}/{source.rpartition('/')[2]}", compression=None
-                    ) as dst,
-                ):
-                    while left and (piece := src.read(min(left, 1 << 20))):
-                        dst.write(piece)
-                        left -= len(piece)
-            yield pd.DataFrame({"copied": [len(batch)]})
-
-    named = files.select("path", label_of(F.col("path")).alias("label"), "length")
-    return named.mapInPandas(copy, "copied long").groupBy().sum("copied").first()[0] or 0
+def copy_halves(files: DataFrame, folder: str) -> int:
+    """Copy the first half of each file into ``folder``, under its label; for damage tests."""
+
+    def copy(path: str) -> dict:
+        fs, source = resolve(path)
+        label_folder, name = source.split("/")[-2:]
+        target = f"{resolve(folder)[1]}/{label_folder}"
+        fs.create_dir(target, recursive=True)
+        left = fs.get_file_info(source).size // 2
+        with (
+            fs.open_input_stream(source, compression=None) as src,
+            fs.open_output_stream(f"{target}/{name}", compression=None) as dst,
+        ):
+            while left and (piece := src.read(min(left, 1 << 20))):
+                dst.write(piece)
+                left -= len(piece)
+        return {"path": path}
+
+    return map_paths(files, copy, "path string").count()
 
 
 def new_damaged_inbox(spark: SparkSession, sf_dir: str, damaged: str = "5-LOW") -> str:
@@ -171,5 +164,5 @@ def new_damaged_inbox(spark: SparkSession, sf_dir: str, damaged: str = "5-LOW")
     folder, aside = scratch_dir(spark, "inbox"), scratch_dir(spark, "aside")
     write_inbox(rows.filter(F.col("Library_ID") != damaged), "Library_ID", folder)
     write_inbox(rows.filter(F.col("Library_ID") == damaged), "Library_ID", aside)
-    copy_truncated(discover_files(spark, aside, ".tsv.gz", recursive=True), folder, 0.5)
+    copy_halves(discover_files(spark, aside, ".tsv.gz", recursive=True), folder)
     return folder

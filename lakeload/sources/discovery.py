@@ -38,7 +38,8 @@ def discover_files(
 ) -> DataFrame:
     """Files with the extension in a folder of any file system Spark can read.
 
-    Full paths are kept. File content is never read: only listing columns are selected.
+    Full paths are kept. File content is never read: only listing columns are selected. Files
+    without a single byte are not listed; they appear once they have content.
     """
     return (
         spark.read.format("binaryFile")

@@ -1,17 +1,37 @@
-"""Opening and removing single files from inside tasks, on local or object storage."""
+"""Folders and single files on any storage, from the driver and from inside tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Hadoop spells the S3 scheme in several ways.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder and its parents; nothing happens when it is there."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def path_frame(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """A bounded list of paths as a DataFrame, spread over the cluster's cores."""
+    return spark.createDataFrame([(path,) for path in paths], "path string")
+
 
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     """File system of a Hadoop-style path, and the path inside it, taken literally."""
@@ -26,7 +46,19 @@ def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     return fs, f"{root.rstrip('/')}/{inside}" if root.strip("/") else inside
 
 
-def _remove(path: str) -> None:
+def map_paths(files: DataFrame, function: Callable[[str], dict], schema: str) -> DataFrame:
+    """Call ``function`` on each value of column ``path`` inside the tasks; one row each."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = [function(path) for path in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return files.select("path").mapInArrow(work, schema)
+
+
+def _remove(path: str) -> dict:
     fs, inside = resolve(path)
     targets = [inside]
     if isinstance(fs, pafs.LocalFileSystem):
@@ -39,6 +71,7 @@ def _remove(path: str) -> None:
                 fs.delete_file(target)
             except FileNotFoundError:
                 pass  # another attempt of this task was faster
+    return {"path": path}
 
 
 def remove_files(paths: DataFrame) -> int:
@@ -46,15 +79,12 @@ def remove_files(paths: DataFrame) -> int:
 
     Already absent files count as removed, so a retried task is harmless.
     """
+    return map_paths(paths, _remove, "path string").count()
 
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                _remove(path)
-            yield pd.DataFrame({"removed": [len(batch)]})
 
-    removed = paths.select("path").mapInPandas(remove, "removed long")
-    return removed.groupBy().sum("removed").first()[0] or 0
+def _is_folder(path: str) -> dict:
+    fs, inside = resolve(path)
+    return {"path": path, "found": fs.get_file_info(inside).type == pafs.FileType.Directory}
 
 
 def existing_folders(spark: SparkSession, candidates: list[str]) -> list[str]:
@@ -62,22 +92,9 @@ def existing_folders(spark: SparkSession, candidates: list[str]) -> list[str]:
 
     Cheaper than a listing of what surrounds them, which grows with the table.
     """
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for path in batch["path"]:
-                fs, inside = resolve(path)
-                if fs.get_file_info(inside).type == pafs.FileType.Directory:
-                    found.append(path)
-            yield pd.DataFrame({"path": pd.Series(found, dtype="object")})
-
     if not candidates:
         return []
-    paths = spark.createDataFrame([(path,) for path in candidates], "path string")
-    return sorted(row.path for row in paths.mapInPandas(look, "path string").collect())
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    looked_up = map_paths(
+        path_frame(spark, candidates), _is_folder, "path string, found boolean"
+    )
+    return sorted(row.path for row in looked_up.filter("found").collect())

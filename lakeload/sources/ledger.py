@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeload.functions.paths import glob_escape, qualify
+from lakeload.sources.files import make_folder
 
 LOADED = "loaded"
 QUARANTINED = "quarantined"
@@ -35,8 +36,8 @@ def ledger_path(root: str) -> str:
 
 
 def create_ledger(spark: SparkSession, root: str) -> None:
-    empty = spark.createDataFrame([], ENTRY_SCHEMA)
-    empty.write.mode("ignore").parquet(ledger_path(qualify(spark, root)))
+    """Make the ledger's folder if absent."""
+    make_folder(spark, ledger_path(qualify(spark, root)))
 
 
 def append_entries(entries: DataFrame, root: str, load_id: str) -> None:

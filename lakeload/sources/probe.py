@@ -10,12 +10,10 @@ import csv
 import gzip
 import re
 import zlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from lakeload.sources.files import resolve
+from lakeload.sources.files import map_paths, resolve
 
 # A header holds a handful of names; a longer first line is no header.
 HEADER_LIMIT = 16 << 20
@@ -62,51 +60,40 @@ def read_header(path: str) -> list[str] | None:
     raise ValueError(f"no line end in the first {HEADER_LIMIT} bytes")
 
 
+def _probe(path: str) -> dict:
+    row = dict.fromkeys(("length", "header", "status", "reason"))
+    try:
+        fs, inside = resolve(path)
+        row["length"] = fs.get_file_info(inside).size
+        row["header"] = read_header(path)
+        if row["header"] is None:
+            row.update(status=QUARANTINED, reason="NO_HEADER")
+    except (*_DAMAGE, ValueError) as error:
+        row.update(status=QUARANTINED, reason=f"{type(error).__name__}: {error}")
+    except OSError as error:
+        row.update(status=FAILED, reason=f"{type(error).__name__}: {error}")
+    return {"path": path, **row}
+
+
 def probe_headers(files: DataFrame) -> DataFrame:
     """Header of each file in column ``path``, reading no further than its first line.
 
     ``status`` is null for a usable file, ``quarantined`` for one without a header or with a
     damaged start, ``failed`` for one that could not be read at all.
     """
+    return map_paths(files, _probe, PROBE_SCHEMA)
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                header, status, reason, length = None, None, None, None
-                try:
-                    fs, inside = resolve(path)
-                    length = fs.get_file_info(inside).size
-                    header = read_header(path)
-                    if header is None:
-                        status, reason = QUARANTINED, "NO_HEADER"
-                except (*_DAMAGE, ValueError) as error:
-                    status, reason = QUARANTINED, f"{type(error).__name__}: {error}"
-                except OSError as error:
-                    status, reason = FAILED, f"{type(error).__name__}: {error}"
-                rows.append((path, length, header, status, reason))
-            frame = pd.DataFrame(rows, columns=["path", "length", "header", "status", "reason"])
-            frame["length"] = frame["length"].astype("Int64")
-            yield frame
-
-    return files.select("path").mapInPandas(probe, PROBE_SCHEMA)
+
+def _verify(path: str) -> dict:
+    try:
+        with _open(path) as stream:
+            while stream.read(CHUNK):
+                pass
+    except _DAMAGE as error:
+        return {"path": path, "reason": f"{type(error).__name__}: {error}"}
+    return {"path": path, "reason": None}
 
 
 def verify_files(files: DataFrame) -> DataFrame:
     """Decompress each file in column ``path`` to its end; ``reason`` is null for a sound one."""
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                reason = None
-                try:
-                    with _open(path) as stream:
-                        while stream.read(CHUNK):
-                            pass
-                except _DAMAGE as error:
-                    reason = f"{type(error).__name__}: {error}"
-                rows.append((path, reason))
-            yield pd.DataFrame(rows, columns=["path", "reason"])
-
-    return files.select("path").mapInPandas(verify, VERIFY_SCHEMA)
+    return map_paths(files, _verify, VERIFY_SCHEMA)

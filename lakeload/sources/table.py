@@ -25,7 +25,7 @@ from lakeload.functions.schema import (
     SOURCE_PATH,
     TABLE_SCHEMA,
 )
-from lakeload.sources.files import existing_folders
+from lakeload.sources.files import existing_folders, make_folder
 
 # A record is mostly vectors of digits, tens of kilobytes in all. They never repeat, so no
 # dictionary is tried, and the fastest zstd level also packs them best. Small pages let the
@@ -54,8 +54,7 @@ def create_table(spark: SparkSession, root: str) -> str:
     """Make the table's folders if absent; returns the qualified root. Safe to repeat."""
     root = qualify(spark, root)
     for verdict in (LOADED, REJECTED):
-        empty = spark.createDataFrame([], T.StructType(STORED_FIELDS))
-        empty.write.mode("ignore").parquet(f"{rows_path(root)}/verdict={verdict}")
+        make_folder(spark, f"{rows_path(root)}/verdict={verdict}")
     return root
 
 

@@ -92,15 +92,26 @@ def ingest_files(
     """
     spark = files.sparkSession
     root = prepare(spark, root)
+    if "position" not in files.columns:
+        files = files.withColumn("position", F.lit(None).cast("long"))
+    once = files.groupBy("path").agg(F.min("position").alias("position"))
+    pending = pending_files(once, read_ledger(spark, root), options.ignore_duplicates)
+    _load_in_rounds(in_order(pending), root, options)
+
+
+def _load_in_rounds(files: DataFrame, root: str, options: IngestOptions) -> None:
+    spark = files.sparkSession
     run_id = uuid.uuid4().hex
-    pending = pending_files(files, read_ledger(spark, root), options.ignore_duplicates)
-    if "position" not in pending.columns:
-        pending = pending.select("path").distinct().withColumn("position", F.lit(None))
-    names = (row.path for row in in_order(pending).toLocalIterator())
+    names = (row.path for row in files.select("path").toLocalIterator())
     for number, paths in enumerate(_rounds(names, options.files_per_load(spark))):
         load_files(spark, paths, root, f"{run_id}-{number:09d}", options)
 
 
+def _unrecorded(files: DataFrame, root: str) -> DataFrame:
+    """Files the ledger has no entry for, whatever their status."""
+    return files.join(read_ledger(files.sparkSession, root).select("path"), "path", "left_anti")
+
+
 def _rounds(names: Iterator[str], size: int) -> Iterator[list[str]]:
     while paths := list(islice(names, size)):
         yield paths
@@ -112,7 +123,7 @@ def retry_failed(
     """Try again the files whose last attempt failed; the stream itself has moved past them."""
     root = prepare(spark, root)
     failed = latest_entries(read_ledger(spark, root)).filter(F.col("status") == FAILED)
-    ingest_files(failed.select("path"), root, options)
+    _load_in_rounds(failed, root, options)
 
 
 def ingest(
@@ -130,17 +141,19 @@ def ingest(
     """
     root = prepare(spark, root)
     retry_failed(spark, root, options)
-    if listed:
-        ingest_files(listed_files(spark, listed), root, options)
     if options.ignore_duplicates:
+        if listed:
+            ingest_files(listed_files(spark, listed), root, options)
         ingest_stream(spark, folder, root, options, checkpoint)
+        found = discover_files(spark, folder, options.extension, options.recursive)
+        # The checkpoint may have seen a path that had no content yet.
+        _load_in_rounds(_unrecorded(found, root), root, options)
     else:
         found = discover_files(spark, folder, options.extension, options.recursive)
-        ingest_files(combine_files(listed_files(spark, listed), found), root, options)
+        listed_and_found = combine_files(listed_files(spark, listed), found)
+        ingest_files(listed_and_found, root, options)
     if delete_consumed:
-        delete_loaded(
-            discover_files(spark, folder, options.extension, options.recursive), root
-        )
+        delete_loaded(found, root)
     return latest_entries(read_ledger(spark, root))
 
 

@@ -16,7 +16,7 @@ from lakeload.operators.layout import DEFAULT_PARTITIONS, cluster_across, cluste
 from lakeload.operators.validate import classify_rows
 from lakeload.sources import ledger, table
 from lakeload.sources.discovery import DEFAULT_EXTENSION
-from lakeload.sources.files import remove_files, remove_folder
+from lakeload.sources.files import path_frame, remove_files, remove_folder
 from lakeload.sources.probe import probe_headers, verify_files
 from lakeload.sources.tsv import group_by_header, read_aligned
 
@@ -74,7 +74,7 @@ def load_files(
     """
     if not paths:
         return
-    probed = probe_headers(_path_frame(spark, paths)).collect()
+    probed = probe_headers(path_frame(spark, paths)).collect()
     outcome = Outcome(refused={f.path: (f.status, f.reason) for f in probed if f.status})
     sound = [f for f in probed if not f.status]
     if options.verify_first:
@@ -86,10 +86,6 @@ def load_files(
     )
 
 
-def _path_frame(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(path,) for path in paths], "path string")
-
-
 def _write_or_refuse(
     spark: SparkSession,
     files: list[Row],
@@ -121,7 +117,7 @@ def _write_or_refuse(
 def _quarantine_damaged(spark: SparkSession, files: list[Row], outcome: Outcome) -> list[Row]:
     if not files:
         return files
-    verified = verify_files(_path_frame(spark, (f.path for f in files)))
+    verified = verify_files(path_frame(spark, (f.path for f in files)))
     damaged = {r.path: r.reason for r in verified.filter("reason is not null").collect()}
     outcome.refused.update(
         {path: (ledger.QUARANTINED, reason) for path, reason in damaged.items()}
