@@ -48,9 +48,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as twelve text columns."""
-    read(spark, sf_dir, "orders").createOrReplaceTempView("lakeload_orders")
     columns = _RECORD_COLUMNS.format(text="STRING")
-    return spark.sql(f"SELECT {columns} FROM lakeload_orders")
+    return spark.sql(f"SELECT {columns} FROM {{orders}}", orders=read(spark, sf_dir, "orders"))
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ID": F.col("event_id").cast("string"),
         "Library_ID": F.col("event_type"),
         "Sub_ID_1": F.col("user_id").cast("string"),
-        "Sub_ID_2": F.date_format("ts", "yyyy-MM-dd"),
+        "Sub_ID_2": F.col("ts").cast("date").cast("string"),
         "MW": F.col("value").cast("string"),
         "LogP": zero,
         "FP1": zero,

@@ -22,12 +22,24 @@ LISTING_SCHEMA = T.StructType(
 )
 
 
-def listing_options(extension: str, recursive: bool) -> dict[str, str]:
-    """Reader options shared by the batch listing and the file-name stream."""
-    options = {"pathGlobFilter": "*" + glob_escape(extension)}
+def listing_options(extension: str) -> dict[str, str]:
+    """Reader options shared by the batch listing and the file-name stream.
+
+    The whole tree is listed; a listing of one level would still go into folders that look
+    like partitions, and fail on those that look like partitions of different tables.
+    """
+    return {"pathGlobFilter": "*" + glob_escape(extension), "recursiveFileLookup": "true"}
+
+
+def listed_paths(listing: DataFrame, folder: str, recursive: bool) -> DataFrame:
+    """Normalized listing of a folder; only its own files unless ``recursive``."""
+    named = listing.select(
+        normalized_path(F.col("path")).alias("path"), "length", "modificationTime"
+    )
     if recursive:
-        options["recursiveFileLookup"] = "true"
-    return options
+        return named
+    parent = qualify(listing.sparkSession, folder)
+    return named.filter(F.regexp_replace("path", "/[^/]*$", "") == F.lit(parent))
 
 
 def discover_files(
@@ -41,13 +53,13 @@ def discover_files(
     Full paths are kept. File content is never read: only listing columns are selected. Files
     without a single byte are not listed; they appear once they have content.
     """
-    return (
+    listing = (
         spark.read.format("binaryFile")
         .schema(LISTING_SCHEMA)
-        .options(**listing_options(extension, recursive))
+        .options(**listing_options(extension))
         .load(glob_escape(folder))
-        .select(normalized_path(F.col("path")).alias("path"), "length", "modificationTime")
     )
+    return listed_paths(listing, folder, recursive)
 
 
 def listed_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -60,8 +60,17 @@ def read_header(path: str) -> list[str] | None:
     raise ValueError(f"no line end in the first {HEADER_LIMIT} bytes")
 
 
+def is_hidden(name: str) -> bool:
+    """Whether a scan would pass over a file of this name without a word."""
+    # The names Spark's file listing leaves out.
+    underscored = name.startswith("_") and "=" not in name
+    return underscored or name.startswith(".") or name.endswith("._COPYING_")
+
+
 def _probe(path: str) -> dict:
     row = dict.fromkeys(("length", "header", "status", "reason"))
+    if is_hidden(path.rpartition("/")[2]):
+        return {"path": path, **row, "status": FAILED, "reason": "HIDDEN_NAME"}
     try:
         fs, inside = resolve(path)
         row["length"] = fs.get_file_info(inside).size

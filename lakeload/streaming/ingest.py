@@ -9,13 +9,14 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.functions.paths import glob_escape, normalized_path, qualify
+from lakeload.functions.paths import glob_escape, qualify
 from lakeload.sources.discovery import (
     LISTING_SCHEMA,
     combine_files,
     discover_files,
     in_order,
     listed_files,
+    listed_paths,
     listing_options,
 )
 from lakeload.sources.files import remove_files
@@ -54,16 +55,16 @@ def ingest_stream(
     stopped; a micro-batch holds a bounded number of names.
     """
     root = prepare(spark, root)
-    names = (
+    listing = (
         spark.readStream.format("binaryFile")
         .schema(LISTING_SCHEMA)
-        .options(**listing_options(options.extension, options.recursive))
+        .options(**listing_options(options.extension))
         .option("maxFilesPerTrigger", options.files_per_load(spark))
         # The default ignores files much older than the newest one seen.
         .option("maxFileAge", "36500d")
         .load(glob_escape(folder))
-        .select(normalized_path(F.col("path")).alias("path"))
     )
+    names = listed_paths(listing, folder, options.recursive).select("path")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

@@ -80,12 +80,22 @@ def load_files(
     if options.verify_first:
         sound = _quarantine_damaged(spark, sound, outcome)
     _write_or_refuse(spark, sound, root, load_id, options, outcome)
+    for leftover in (_staging_path(root, load_id), _stale_path(root, load_id)):
+        remove_folder(spark, leftover)
     entries = [_entry(file, outcome) for file in probed]
     ledger.append_entries(
         spark.createDataFrame(entries, ledger.ENTRY_SCHEMA), root, load_id
     )
 
 
+def _staging_path(root: str, load_id: str) -> str:
+    return f"{root}/_staging/{load_id}"
+
+
+def _stale_path(root: str, load_id: str) -> str:
+    return f"{root}/_stale/{load_id}"
+
+
 def _write_or_refuse(
     spark: SparkSession,
     files: list[Row],
@@ -145,7 +155,6 @@ def _write(
         rows_seen += _write_split(spark, group, root, load_id, options, bool(stale))
     if stale:
         remove_files(spark.read.schema("path string").parquet(glob_escape(stale)))
-        remove_folder(spark, stale)
     counts = _count_rows(spark, root, sources)
     if sum(counts.values()) != rows_seen:
         raise RuntimeError(
@@ -170,9 +179,9 @@ def _write_split(
 
     gzip is read by one task per file, and range partitioning samples its input: straight from
     the text that would be two slow passes. The staged copy can be split, so the sampling, the
-    shuffle and the sort run in parallel. It is removed when the rows are in the table.
+    shuffle and the sort run in parallel. It is removed at the end of the load.
     """
-    staged = f"{root}/_staging/{load_id}"
+    staged = _staging_path(root, load_id)
     rows_seen = _observed(
         _classified(spark, files, options),
         lambda df: df.write.mode("overwrite")
@@ -187,7 +196,6 @@ def _write_split(
         spark.read.schema(ROW_STORE_SCHEMA).parquet(glob_escape(staged))
     )
     table.append_rows(cluster_across(rows, partitions), root, replace)
-    remove_folder(spark, staged)
     return rows_seen
 
 
@@ -218,7 +226,7 @@ def _note_stored_files(
     folders = table.source_folders(spark, root, sources)
     if not folders:
         return None
-    note = f"{root}/_stale/{load_id}"
+    note = _stale_path(root, load_id)
     table.stored_files(spark, folders).write.mode("overwrite").parquet(note)
     return note
 

@@ -78,6 +78,17 @@ def test_a_second_run_takes_only_new_files(spark, inbox):
     assert ids(spark, inbox) == ["1", "2"] and loads(spark, inbox) == 2
 
 
+def test_an_empty_inbox_and_folders_within_it(spark, inbox):
+    ingest(spark, inbox.folder, inbox.root)
+    assert loads(spark, inbox) == 0
+    inbox.put("a.gz", [record("1")])
+    inbox.put("day=1/b.gz", [record("2")])
+    ingest(spark, inbox.folder, inbox.root)
+    assert ids(spark, inbox) == ["1"]
+    ingest(spark, inbox.folder, inbox.root, options=IngestOptions(recursive=True))
+    assert ids(spark, inbox) == ["1", "2"]
+
+
 def test_small_micro_batches_cover_everything(spark, inbox):
     for i in range(7):
         inbox.put(f"{i}.gz", [record(str(i))])

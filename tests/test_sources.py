@@ -43,6 +43,8 @@ def test_discovery_is_flat_by_default_and_honours_the_extension(spark, inbox):
     inbox.put("a.tsv.gz", [record("1")])
     inbox.put("b.csv.gz", [record("2")])
     inbox.put("sub/c.tsv.gz", [record("3")])
+    inbox.put("day=1/e.csv.gz", [record("4")])
+    inbox.put("part=1/f.csv.gz", [record("5")])
     inbox.put_bytes("d.tsv", b"plain")
     found = discover_files(spark, inbox.folder).withColumn("position", F.lit(None))
     assert names(found) == ["a.tsv.gz", "b.csv.gz"]
@@ -75,6 +77,10 @@ def test_odd_file_names_survive_discovery_and_scan(spark, inbox, name):
     assert {r.source_path for r in rows} == {"file:" + os.path.join(inbox.folder, name)}
 
 
+def test_an_empty_folder_holds_no_files(spark, inbox):
+    assert discover_files(spark, inbox.folder).collect() == []
+
+
 def test_paths_have_one_spelling(spark):
     assert normalize("file:///a/b") == normalize("file:/a/b") == "file:/a/b"
     assert qualify(spark, "/a/b") == qualify(spark, "file:///a/b")
@@ -161,10 +167,11 @@ def test_probe_tells_usable_empty_and_broken_files_apart(spark, inbox):
     inbox.put_text("no_newline.gz", "ID\tFP1")
     inbox.put_text("empty_gzip.gz", "")
     inbox.put_bytes("zero.gz", b"")
+    inbox.put("_hidden.gz", [record("1")])
     inbox.put_bytes("not_gzip.gz", b"ID\tLibrary_ID\n1\t2\n")
     files = discover_files(spark, inbox.folder).unionByName(
         # Spark lists no files without bytes; such a one can only be named.
-        path_frame(spark, [f"file:{inbox.folder}/{n}.gz" for n in ("absent", "zero")]),
+        path_frame(spark, [f"file:{inbox.folder}/{n}.gz" for n in ("absent", "zero", "_hidden")]),
         allowMissingColumns=True,
     )
     probed = {os.path.basename(r.path): r for r in probe_headers(files).collect()}
@@ -174,6 +181,7 @@ def test_probe_tells_usable_empty_and_broken_files_apart(spark, inbox):
     assert probed["empty_gzip.gz"].reason == probed["zero.gz"].reason == "NO_HEADER"
     assert probed["not_gzip.gz"].status == "quarantined"
     assert probed["absent.gz"].status == "failed"
+    assert probed["_hidden.gz"].reason == "HIDDEN_NAME"
 
 
 @pytest.mark.parametrize("cut", [1, 4, 8, 9, 20, 500])
