@@ -60,9 +60,9 @@ def generate_records(
     )
 
 
-def task_count(rows: int) -> int:
-    """Partitions to generate this many records in."""
-    return max(1, -(-rows // ROWS_PER_TASK))
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Partitions to generate this many records in: enough for every core, none too large."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
 
 
 def sample_records(
@@ -72,7 +72,9 @@ def sample_records(
 ) -> DataFrame:
     """Records for a set of named files, given the row count of each."""
     parts = [
-        spark.range(0, count, 1, task_count(count)).select("id", F.lit(name).alias("file_name"))
+        spark.range(0, count, 1, task_count(spark, count)).select(
+            "id", F.lit(name).alias("file_name")
+        )
         for name, count in rows_per_file.items()
     ]
     return generate_records(

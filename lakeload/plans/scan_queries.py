@@ -104,8 +104,7 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("file_name")
     )
-    tasks = max(task_count(rows.count()), spark.sparkContext.defaultParallelism)
-    sample = generate_records(spread(rows, tasks))
+    sample = generate_records(spread(rows, task_count(spark, rows.count())))
     plain = [name for name in COLUMNS if name not in _FINGERPRINTS]
     return sample.select(
         *plain,

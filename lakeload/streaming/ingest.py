@@ -72,7 +72,7 @@ def ingest_stream(
         pending = pending_files(
             batch, read_ledger(session, root), options.ignore_duplicates
         )
-        paths = [row.path for row in pending.orderBy("path").collect()]
+        paths = sorted(row.path for row in pending.collect())
         load_files(session, paths, root, f"{query_id}-{batch_id:09d}", options)
 
     query = (
@@ -123,8 +123,10 @@ def retry_failed(
 ) -> None:
     """Try again the files whose last attempt failed; the stream itself has moved past them."""
     root = prepare(spark, root)
-    failed = latest_entries(read_ledger(spark, root)).filter(F.col("status") == FAILED)
-    _load_in_rounds(failed, root, options)
+    entries = read_ledger(spark, root)
+    has_failed = F.col("status") == FAILED
+    if not entries.filter(has_failed).isEmpty():
+        _load_in_rounds(latest_entries(entries).filter(has_failed), root, options)
 
 
 def ingest(

@@ -125,7 +125,7 @@ def test_sample_records_follow_the_file_sizes(spark):
     assert per_file["a.gz"].libraries == per_file["b.gz"].libraries == 1
     assert 400 < per_file["a.gz"].fp4 < 600
     assert per_file["a.gz"].logp < 10
-    assert task_count(4001) == 2 and task_count(0) == 1
+    assert task_count(spark, 10) == 8 and task_count(spark, 40_001) == 11
 
 
 def test_generation_does_not_depend_on_partitioning(spark):
