@@ -78,12 +78,30 @@ def _two_deliveries(spark: SparkSession, sf_dir: str, root: str) -> str:
 
 
 def _rows_per_day(spark: SparkSession, root: str) -> DataFrame:
-    days = read_table(spark, root).groupBy(F.col("Sub_ID_2").alias("day"))
-    return days.agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows per day, and how many loads its files went through."""
+    loads = read_ledger(spark, root).groupBy("src").agg(
+        F.countDistinct("load_id").alias("loads")
+    )
+    # Rows are counted per source ahead of the join, so that it sees a row per file.
+    per_source = read_table(spark, root).groupBy("src", F.col("Sub_ID_2").alias("day")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return (
+        per_source.join(loads, "src")
+        .groupBy("day")
+        .agg(F.sum("n").alias("n_rows"), F.max("loads").alias("n_loads"))
+    )
+
+
+def _rows_per_day_sql(loads: int) -> str:
+    return f"""
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n_rows,
+       CAST({loads} AS BIGINT) AS n_loads
+FROM events GROUP BY 1"""
 
 
-ROWS_PER_DAY_SQL = """
-SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n_rows FROM events GROUP BY 1"""
+INCREMENTAL_SQL = _rows_per_day_sql(loads=1)
+REPLAY_SQL = _rows_per_day_sql(loads=2)
 
 
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,14 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "repartition_layout": (t.repartition_layout, t.REPARTITION_LAYOUT_SQL),
     "table_layout": (t.table_layout, t.TABLE_LAYOUT_SQL),
     "split_source_layout": (t.split_source_layout, t.SPLIT_SOURCE_LAYOUT_SQL),
+    "hot_id": (t.hot_id, t.HOT_ID_SQL),
     "catalog_table": (t.catalog_table, t.CATALOG_TABLE_SQL),
     "long_vectors": (t.long_vectors, t.LONG_VECTORS_SQL),
     "lookup_by_id": (t.lookup, t.LOOKUP_SQL),
     "lookup_in_library": (t.lookup_in_library, t.LOOKUP_SQL),
     "pending_files": (i.pending, i.PENDING_SQL),
-    "incremental_ingest": (i.incremental, i.ROWS_PER_DAY_SQL),
-    "replay_idempotent": (i.replay, i.ROWS_PER_DAY_SQL),
+    "incremental_ingest": (i.incremental, i.INCREMENTAL_SQL),
+    "replay_idempotent": (i.replay, i.REPLAY_SQL),
     "forced_reingest": (i.forced_reingest, i.FORCED_REINGEST_SQL),
     "quarantine_files": (i.quarantine, i.QUARANTINE_SQL),
     "cleanup_consumed": (i.cleanup, i.CLEANUP_SQL),

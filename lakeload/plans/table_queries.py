@@ -135,6 +135,25 @@ SELECT Library_ID, count(*) AS n_rows, CAST(0 AS BIGINT) AS overlaps
 FROM records WHERE {VALID_SQL} GROUP BY Library_ID"""
 
 
+def hot_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all rows share one ID; split into ranges they are all found again."""
+    folder, root = scratch_dir(spark, "inbox"), scratch_dir(spark, "table")
+    hot = F.substring("ID", 2, 20).cast("long") % 3 == 0
+    rows = records(spark, sf_dir).withColumn("ID", F.when(hot, "HOT").otherwise(F.col("ID")))
+    write_inbox(rows, "Library_ID", folder)
+    ingest(spark, folder, root, options=replace(INBOX, split_bytes=0, partitions=6))
+    hits = lookup_by_id(read_table(spark, root), "HOT")
+    return hits.groupBy("Library_ID").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("FP2").alias("n_vectors")
+    )
+
+
+HOT_ID_SQL = f"""{RECORDS_CTE}
+SELECT Library_ID, count(*) AS n_rows, count(DISTINCT FP2) AS n_vectors
+FROM records
+WHERE {VALID_SQL} AND CAST(substr(ID, 2) AS BIGINT) % 3 = 0 GROUP BY Library_ID"""
+
+
 def catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table under a catalog name, read with SQL."""
     name = f"lakeload_{uuid.uuid4().hex}"
