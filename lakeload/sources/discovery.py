@@ -26,9 +26,14 @@ def listing_options(extension: str) -> dict[str, str]:
     """Reader options shared by the batch listing and the file-name stream.
 
     The whole tree is listed; a listing of one level would still go into folders that look
-    like partitions, and fail on those that look like partitions of different tables.
+    like partitions, and fail on those that look like partitions of different tables. A file
+    that goes away between listing and use is no longer listed; it does not fail the job.
     """
-    return {"pathGlobFilter": "*" + glob_escape(extension), "recursiveFileLookup": "true"}
+    return {
+        "pathGlobFilter": "*" + glob_escape(extension),
+        "recursiveFileLookup": "true",
+        "ignoreMissingFiles": "true",
+    }
 
 
 def listed_paths(listing: DataFrame, folder: str, recursive: bool) -> DataFrame:

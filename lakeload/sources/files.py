@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lakeload.functions.paths import glob_escape
+
 # Hadoop spells the S3 scheme in several ways.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
@@ -74,12 +76,21 @@ def _remove(path: str) -> dict:
     return {"path": path}
 
 
-def remove_files(paths: DataFrame) -> int:
-    """Delete the files named in column ``path``, in parallel; returns how many were named.
+def note_paths(paths: DataFrame, note: str) -> None:
+    """Write down column ``path``, to be worked on after what it was computed from changes."""
+    paths.select("path").write.mode("overwrite").parquet(note)
+
+
+def remove_noted(spark: SparkSession, note: str) -> int:
+    """Delete the files of a note, in parallel, then the note; returns how many it named.
 
-    Already absent files count as removed, so a retried task is harmless.
+    Deleting from a note, not from a listing of the files themselves: a task that is run again
+    would list what it has already deleted. Absent files count as removed.
     """
-    return map_paths(paths, _remove, "path string").count()
+    noted = spark.read.schema("path string").parquet(glob_escape(note))
+    removed = map_paths(noted, _remove, "path string").count()
+    remove_folder(spark, note)
+    return removed
 
 
 def _is_folder(path: str) -> dict:

@@ -19,7 +19,7 @@ from lakeload.sources.discovery import (
     listed_paths,
     listing_options,
 )
-from lakeload.sources.files import remove_files
+from lakeload.sources.files import note_paths, remove_noted
 from lakeload.sources.ledger import (
     FAILED,
     LOADED,
@@ -166,10 +166,14 @@ def delete_loaded(files: DataFrame, root: str) -> int:
     Runs after the stream has ended, never inside a batch: a replay needs its files. A file
     that changed since it was loaded is kept, and so is every quarantined or failed one.
     """
-    entries = latest_entries(read_ledger(files.sparkSession, qualify(files.sparkSession, root)))
+    spark = files.sparkSession
+    root = qualify(spark, root)
+    entries = latest_entries(read_ledger(spark, root))
     loaded = entries.filter(F.col("status") == LOADED).select("path", "bytes", "recorded_at")
     unchanged = files.join(loaded, "path").filter(
         (F.col("length") == F.col("bytes"))
         & (F.col("modificationTime") <= F.col("recorded_at"))
     )
-    return remove_files(unchanged)
+    note = f"{root}/_removal/{uuid.uuid4().hex}"
+    note_paths(unchanged, note)
+    return remove_noted(spark, note)

@@ -16,7 +16,7 @@ from lakeload.operators.layout import DEFAULT_PARTITIONS, cluster_across, cluste
 from lakeload.operators.validate import classify_rows
 from lakeload.sources import ledger, table
 from lakeload.sources.discovery import DEFAULT_EXTENSION
-from lakeload.sources.files import path_frame, remove_files, remove_folder
+from lakeload.sources.files import note_paths, path_frame, remove_folder, remove_noted
 from lakeload.sources.probe import probe_headers, verify_files
 from lakeload.sources.tsv import group_by_header, read_aligned
 
@@ -154,7 +154,7 @@ def _write(
     for group in _header_batches(large, options.headers_per_write):
         rows_seen += _write_split(spark, group, root, load_id, options, bool(stale))
     if stale:
-        remove_files(spark.read.schema("path string").parquet(glob_escape(stale)))
+        remove_noted(spark, stale)
     counts = _count_rows(spark, root, sources)
     if sum(counts.values()) != rows_seen:
         raise RuntimeError(
@@ -227,7 +227,7 @@ def _note_stored_files(
     if not folders:
         return None
     note = _stale_path(root, load_id)
-    table.stored_files(spark, folders).write.mode("overwrite").parquet(note)
+    note_paths(table.stored_files(spark, folders), note)
     return note
 
 

@@ -15,7 +15,7 @@ from lakeload.functions.paths import glob_escape, normalize, qualify, scratch_di
 from lakeload.functions.schema import COLUMNS
 from lakeload.operators.generate import sample_records
 from lakeload.sources.discovery import combine_files, discover_files, in_order, listed_files
-from lakeload.sources.files import path_frame, remove_files, resolve
+from lakeload.sources.files import note_paths, path_frame, remove_noted, resolve
 from lakeload.sources.ledger import (
     ENTRY_SCHEMA,
     append_entries,
@@ -266,10 +266,19 @@ def test_repeating_a_load_replaces_its_entries_only(spark, inbox):
 
 
 def test_removing_files_twice_is_harmless(spark, inbox):
-    paths = [inbox.put(f"{i}.gz", [record("1")]) for i in range(3)]
-    files = path_frame(spark, paths)
-    assert remove_files(files) == 3 and os.listdir(inbox.folder) == []
-    assert remove_files(files) == 3
+    files = path_frame(spark, [inbox.put(f"{i}.gz", [record("1")]) for i in range(3)])
+    for _ in range(2):
+        note_paths(files, inbox.root + "/note")
+        assert remove_noted(spark, inbox.root + "/note") == 3
+        assert os.listdir(inbox.folder) == [] and os.listdir(inbox.root) == []
+
+
+def test_a_file_that_goes_away_is_no_longer_listed(spark, inbox):
+    inbox.put("a.gz", [record("1")])
+    gone = inbox.put("b.gz", [record("2")])
+    found = discover_files(spark, inbox.folder).withColumn("position", F.lit(None))
+    os.remove(gone)
+    assert names(found) == ["a.gz"]
 
 
 def test_all_permutations_of_three_columns(spark, inbox):
