@@ -14,6 +14,7 @@ import zlib
 from pyspark.sql import DataFrame
 
 from lakeload.sources.files import map_paths, resolve
+from lakeload.sources.ledger import FAILED, QUARANTINED
 
 # A header holds a handful of names; a longer first line is no header.
 HEADER_LIMIT = 16 << 20
@@ -22,10 +23,14 @@ CHUNK = 1 << 20
 PROBE_SCHEMA = "path string, length long, header array<string>, status string, reason string"
 VERIFY_SCHEMA = "path string, reason string"
 
-QUARANTINED = "quarantined"
-FAILED = "failed"
+
+
+class HeaderTooLong(Exception):
+    """The first line does not end within the limit."""
+
 
 _DAMAGE = (EOFError, gzip.BadGzipFile, zlib.error)
+_NO_HEADER = (HeaderTooLong, csv.Error)
 
 
 def _open(path: str):
@@ -57,7 +62,7 @@ def read_header(path: str) -> list[str] | None:
                     return parse_header(text)
             if not chunk:
                 return None
-    raise ValueError(f"no line end in the first {HEADER_LIMIT} bytes")
+    raise HeaderTooLong(f"no line end in the first {HEADER_LIMIT} bytes")
 
 
 def is_hidden(name: str) -> bool:
@@ -77,9 +82,9 @@ def _probe(path: str) -> dict:
         row["header"] = read_header(path)
         if row["header"] is None:
             row.update(status=QUARANTINED, reason="NO_HEADER")
-    except (*_DAMAGE, ValueError) as error:
+    except (*_DAMAGE, *_NO_HEADER) as error:
         row.update(status=QUARANTINED, reason=f"{type(error).__name__}: {error}")
-    except OSError as error:
+    except Exception as error:  # one unreadable file must not fail the others
         row.update(status=FAILED, reason=f"{type(error).__name__}: {error}")
     return {"path": path, **row}
 
@@ -100,6 +105,8 @@ def _verify(path: str) -> dict:
                 pass
     except _DAMAGE as error:
         return {"path": path, "reason": f"{type(error).__name__}: {error}"}
+    except OSError:
+        pass  # storage trouble says nothing about the file
     return {"path": path, "reason": None}
 
 

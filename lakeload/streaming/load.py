@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import logging
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from lakeload.sources.files import note_paths, path_frame, remove_folder, remove
 from lakeload.sources.probe import probe_headers, verify_files
 from lakeload.sources.tsv import group_by_header, read_aligned
 
+_LOG = logging.getLogger(__name__)
 
 # Row counts by (source key, verdict).
 Counts = dict[tuple[str, str], int]
@@ -79,7 +81,7 @@ def load_files(
     sound = [f for f in probed if not f.status]
     if options.verify_first:
         sound = _quarantine_damaged(spark, sound, outcome)
-    _write_or_refuse(spark, sound, root, load_id, options, outcome)
+    _write_sound(spark, sound, root, load_id, options, outcome)
     for leftover in (_staging_path(root, load_id), _stale_path(root, load_id)):
         remove_folder(spark, leftover)
     entries = [_entry(file, outcome) for file in probed]
@@ -96,7 +98,7 @@ def _stale_path(root: str, load_id: str) -> str:
     return f"{root}/_stale/{load_id}"
 
 
-def _write_or_refuse(
+def _write_sound(
     spark: SparkSession,
     files: list[Row],
     root: str,
@@ -104,24 +106,39 @@ def _write_or_refuse(
     options: IngestOptions,
     outcome: Outcome,
 ) -> None:
-    """Write all files together; on an error find the damaged ones, and if that does not
-    explain it, go file by file so that one file cannot hold back the rest."""
-    try:
-        outcome.counts.update(_write(spark, files, root, load_id, options))
-        return
-    except Exception:
-        if not options.verify_first:
+    """Write all files together; on an error set the damaged ones aside and write the rest."""
+    if not options.verify_first:
+        try:
+            outcome.counts.update(_write(spark, files, root, load_id, options))
+            return
+        except Exception:
+            _LOG.warning("load %s failed, looking for damaged files", load_id, exc_info=True)
             files = _quarantine_damaged(spark, files, outcome)
+    _write_or_refuse(spark, files, root, load_id, options, outcome)
+
+
+def _write_or_refuse(
+    spark: SparkSession,
+    files: list[Row],
+    root: str,
+    load_id: str,
+    options: IngestOptions,
+    outcome: Outcome,
+) -> None:
+    """Write the files together or, on an error, in halves, down to the files that fail.
+
+    A few bad files among many cost a few more writes, and none of the good ones is held back.
+    """
     try:
         outcome.counts.update(_write(spark, files, root, load_id, options))
-        return
-    except Exception:
-        pass
-    for file in files:
-        try:
-            outcome.counts.update(_write(spark, [file], root, load_id, options))
-        except Exception as error:
-            outcome.refused[file.path] = (ledger.FAILED, _first_line(error))
+    except Exception as error:
+        if len(files) == 1:
+            _LOG.warning("file %s failed", files[0].path, exc_info=True)
+            outcome.refused[files[0].path] = (ledger.FAILED, _first_line(error))
+            return
+        middle = len(files) // 2
+        for half in (files[:middle], files[middle:]):
+            _write_or_refuse(spark, half, root, load_id, options, outcome)
 
 
 def _quarantine_damaged(spark: SparkSession, files: list[Row], outcome: Outcome) -> list[Row]:

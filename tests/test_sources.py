@@ -167,6 +167,7 @@ def test_probe_tells_usable_empty_and_broken_files_apart(spark, inbox):
     inbox.put_text("no_newline.gz", "ID\tFP1")
     inbox.put_text("empty_gzip.gz", "")
     inbox.put_bytes("zero.gz", b"")
+    inbox.put_text("long.gz", "x" * 200_000 + "\n")
     inbox.put("_hidden.gz", [record("1")])
     inbox.put_bytes("not_gzip.gz", b"ID\tLibrary_ID\n1\t2\n")
     files = discover_files(spark, inbox.folder).unionByName(
@@ -180,6 +181,7 @@ def test_probe_tells_usable_empty_and_broken_files_apart(spark, inbox):
     assert probed["no_newline.gz"].header == ["ID", "FP1"]
     assert probed["empty_gzip.gz"].reason == probed["zero.gz"].reason == "NO_HEADER"
     assert probed["not_gzip.gz"].status == "quarantined"
+    assert probed["long.gz"].status == "quarantined"
     assert probed["absent.gz"].status == "failed"
     assert probed["_hidden.gz"].reason == "HIDDEN_NAME"
 
