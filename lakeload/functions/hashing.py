@@ -21,9 +21,8 @@ def digest(tag: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(tag), *[p.cast("string") for p in parts]))
 
 
-def hex_to_long(digest_col: Column, start: int | Column, length: int) -> Column:
-    piece = F.substring(digest_col, F.lit(start) if isinstance(start, int) else start, F.lit(length))
-    return F.conv(piece, 16, 10).cast("bigint")
+def hex_to_long(digest_col: Column, start: int, length: int) -> Column:
+    return F.conv(F.substring(digest_col, start, length), 16, 10).cast("bigint")
 
 
 def random_key(digest_col: Column, length: int) -> Column:

@@ -50,9 +50,11 @@ def qualify(spark: SparkSession, path: str) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the session's shared checkpoint folder.
 
-    A machine-local folder is made only when the session names no shared one.
+    A machine-local folder is made only in local mode, and only when no shared one is named.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = "file:" + tempfile.mkdtemp(prefix="lakeload-")
     return qualify(spark, f"{base.rstrip('/')}/lakeload-{label}-{uuid.uuid4().hex}")

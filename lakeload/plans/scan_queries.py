@@ -137,7 +137,8 @@ def _generate_sql() -> str:
         return f"{_hex_sql(of_row(tag), 1, 8)} / 4294967296.0::DOUBLE * {high}::DOUBLE"
 
     def vector(name: str) -> str:
-        points = f"range({name}_start, {name}_start + {FINGERPRINT_LENGTH} * {name}_step, {name}_step)"
+        start, step = f"{name}_start", f"{name}_step"
+        points = f"range({start}, {start} + {FINGERPRINT_LENGTH} * {step}, {step})"
         element = f"x * x % {PRIME} % {ELEMENT_COUNT}"
         return f"array_to_string(list_transform({points}, lambda x: {element}), ',')"
 

@@ -56,7 +56,8 @@ def executed_writes(spark):
 def test_rows_arrive_typed_and_rejects_are_kept(spark, inbox):
     inbox.put("a.gz", [record("1", MW="0.1"), record("2", MW="abc"), record(None)])
     inbox.put("b.gz", [record("3")], [c for c in COLUMNS if c != "FP3"])
-    entries = {os.path.basename(r.path): r for r in ingest(spark, inbox.folder, inbox.root).collect()}
+    last = ingest(spark, inbox.folder, inbox.root).collect()
+    entries = {os.path.basename(r.path): r for r in last}
     table = read_table(spark, inbox.root)
     assert table.columns == [*COLUMNS, "src"]
     assert [(r.ID, r.MW) for r in table.collect()] == [("1", 0.10000000149011612)]
@@ -370,6 +371,26 @@ def test_bloom_filter_and_small_pages_are_written(spark, inbox):
     assert "RLE_DICTIONARY" not in columns["FP1"].encodings
 
 
+def rows_scanned(df):
+    """Rows the table scan of an executed query handed on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.nodeName().startswith("Scan "):
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_lookup_reads_a_page_not_the_file(spark, inbox):
+    ordered = [record(f"i{i:05d}", FP1=str(i) * 50) for i in range(20_000)]
+    random.Random(0).shuffle(ordered)
+    inbox.put("a.gz", ordered)
+    ingest(spark, inbox.folder, inbox.root)
+    table = read_table(spark, inbox.root)
+    assert rows_scanned(lookup_by_id(table, "i04711")) <= 1024
+    # Within the range of IDs, but not there: the bloom filter drops the row group.
+    assert rows_scanned(lookup_by_id(table, "i04711x")) == 0
+
+
 def test_table_under_a_catalog_name(spark, inbox):
     inbox.put("a.gz", [record("1", library="00")])
     ingest(spark, inbox.folder, inbox.root)

@@ -4,6 +4,7 @@ import gzip
 import itertools
 import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from conftest import record, tsv
@@ -97,6 +98,21 @@ def test_scratch_is_under_the_shared_checkpoint_folder(spark):
     assert path != scratch_dir(spark, "t")
 
 
+@pytest.mark.parametrize("master", ["local[8]", "yarn"])
+def test_scratch_without_a_shared_folder(spark, master):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(master=master),
+        _jvm=spark._jvm,
+        _jsc=spark._jsc,
+    )
+    if master == "yarn":
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_dir(session, "t")
+    else:
+        assert "/lakeload-t-" in scratch_dir(session, "t")
+
+
 # Scan
 
 
