@@ -43,7 +43,7 @@ def create_ledger(spark: SparkSession, root: str) -> None:
 def append_entries(entries: DataFrame, root: str, load_id: str) -> None:
     """Record the entries of one load. The same load recorded again replaces its entries."""
     # One file: there is at most one row per file of a micro-batch.
-    entries.coalesce(1).write.mode("overwrite").parquet(
+    entries.repartition(1).write.mode("overwrite").parquet(
         f"{ledger_path(root)}/load_id={load_id}"
     )
 

@@ -101,6 +101,11 @@ def ingest_files(
 
 
 def _load_in_rounds(files: DataFrame, root: str, options: IngestOptions) -> None:
+    """Load sorted files, a bounded number at a time.
+
+    Sorted also because a listing has a partition per large file, and names come to the driver
+    with one job per partition; after a sort there are few.
+    """
     spark = files.sparkSession
     run_id = uuid.uuid4().hex
     names = (row.path for row in files.select("path").toLocalIterator())
@@ -126,7 +131,8 @@ def retry_failed(
     entries = read_ledger(spark, root)
     has_failed = F.col("status") == FAILED
     if not entries.filter(has_failed).isEmpty():
-        _load_in_rounds(latest_entries(entries).filter(has_failed), root, options)
+        failed = latest_entries(entries).filter(has_failed)
+        _load_in_rounds(failed.orderBy("path"), root, options)
 
 
 def ingest(
@@ -150,7 +156,7 @@ def ingest(
         ingest_stream(spark, folder, root, options, checkpoint)
         found = discover_files(spark, folder, options.extension, options.recursive)
         # The checkpoint may have seen a path that had no content yet.
-        _load_in_rounds(_unrecorded(found, root), root, options)
+        _load_in_rounds(_unrecorded(found, root).orderBy("path"), root, options)
     else:
         found = discover_files(spark, folder, options.extension, options.recursive)
         listed_and_found = combine_files(listed_files(spark, listed), found)
