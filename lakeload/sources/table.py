@@ -134,7 +134,10 @@ def _read_verdict(
 
 
 def read_table(spark: SparkSession, root: str) -> DataFrame:
-    """Loaded rows: the twelve columns in canonical order, then ``src``."""
+    """Loaded rows: the twelve columns in canonical order, then ``src``.
+
+    Lists the table's folders now; keep the result for repeated lookups.
+    """
     return _read_verdict(spark, root, LOADED, TABLE_SCHEMA.fields).select(*COLUMNS, "src")
 
 
