@@ -5,11 +5,18 @@ import string
 
 import pytest
 from conftest import record
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakeload.functions.hashing import digest, int_vector, random_key, uniform
 from lakeload.functions.schema import COLUMNS, REQUIRED, TABLE_SCHEMA
-from lakeload.operators.align import align_columns, cast_measures, extra_columns
+from lakeload.operators.align import (
+    align_columns,
+    cast_measures,
+    extra_columns,
+    matched_columns,
+)
 from lakeload.operators.generate import generate_records, sample_records, task_count
 from lakeload.operators.layout import cluster_across, cluster_within, spread
 from lakeload.operators.validate import classify_rows
@@ -159,3 +166,20 @@ def test_cluster_within_does_not_shuffle(spark):
     rows = spark.range(100).select(F.md5(F.col("id").cast("string")).alias("ID"))
     plan = cluster_within(rows, ("ID",))._jdf.queryExecution().executedPlan().toString()
     assert "Sort" in plan and "Exchange" not in plan
+
+
+@given(
+    st.permutations(COLUMNS),
+    st.sets(st.sampled_from(COLUMNS)),
+    st.lists(st.text(alphabet="abcxyz_ 1", max_size=6), max_size=4),
+    st.integers(0, 12),
+)
+def test_any_header_matches_each_name_it_holds_once(order, missing, extras, at):
+    header = [name for name in order if name not in missing]
+    header[at:at] = extras
+    names = column_names(header)
+    assert len({n.lower() for n in names}) == len(names) == len(header)
+    matched = matched_columns(names)
+    assert set(matched) == set(COLUMNS) - missing
+    assert all(names.index(name) == header.index(name) for name in matched.values())
+    assert len(extra_columns(names)) == len(extras)
