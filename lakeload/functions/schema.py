@@ -57,6 +57,7 @@ SOURCE_COLUMNS = (SOURCE_PATH, CORRUPT_RECORD)
 # What a rejected row keeps besides the twelve columns. All null on loaded rows.
 REJECT_FIELDS = [
     T.StructField("reject_reasons", T.ArrayType(T.StringType())),
+    T.StructField("Library_text", T.StringType()),
     T.StructField("MW_text", T.StringType()),
     T.StructField("LogP_text", T.StringType()),
     T.StructField(CORRUPT_RECORD, T.StringType()),

@@ -34,11 +34,12 @@ def reject_reasons(level: str = "table") -> Column:
 def classify_rows(aligned: DataFrame, level: str = "table") -> DataFrame:
     """Type the measures and tell valid rows from rejected ones, in one pass.
 
-    Takes aligned text rows. A rejected row keeps its reasons, the text of its measures and,
-    when its field count did not fit the header, the raw line. A raw line alone is no ground
+    Takes aligned text rows. A rejected row keeps its reasons, the text of its library and
+    measures and, when its field count did not fit the header, the raw line. A raw line alone is no ground
     for rejection: absent trailing fields are nulls.
     """
     texts = {f"{name}_text": F.col(name) for name in MEASURES}
+    texts["Library_text"] = F.col("Library_ID")
     typed = widen_measures(cast_measures(aligned.withColumns(texts)))
     if CORRUPT_RECORD not in aligned.columns:
         typed = typed.withColumn(CORRUPT_RECORD, F.lit(None).cast("string"))

@@ -61,8 +61,16 @@ def create_table(spark: SparkSession, root: str) -> str:
 
 
 def to_row_store(classified: DataFrame) -> DataFrame:
-    """Classified rows in the shape of the row store."""
-    return partition_ready(classified.withColumn("src", F.md5(SOURCE_PATH)))
+    """Classified rows in the shape of the row store.
+
+    Only loaded rows are laid out by library. Rejected ones of a source share a folder, lest a
+    few of them in each library become as many files.
+    """
+    laid_out = {
+        "src": F.md5(SOURCE_PATH),
+        "Library_ID": F.when(F.col("verdict") == LOADED, F.col("Library_ID")),
+    }
+    return partition_ready(classified.withColumns(laid_out))
 
 
 def partition_ready(rows: DataFrame) -> DataFrame:
@@ -145,10 +153,10 @@ def read_table(spark: SparkSession, root: str) -> DataFrame:
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     """Rejected rows: the twelve columns, what is known about the rejection, then ``src``."""
-    details = [f.name for f in REJECT_FIELDS]
-    return _read_verdict(spark, root, REJECTED, TABLE_SCHEMA.fields + REJECT_FIELDS).select(
-        *COLUMNS, *details, "src"
-    )
+    rows = _read_verdict(spark, root, REJECTED, TABLE_SCHEMA.fields + REJECT_FIELDS)
+    details = [f.name for f in REJECT_FIELDS if f.name != "Library_text"]
+    named = rows.withColumn("Library_ID", F.col("Library_text"))
+    return named.select(*COLUMNS, *details, "src")
 
 
 def register_table(spark: SparkSession, name: str, root: str) -> None:

@@ -70,6 +70,14 @@ def test_rows_arrive_typed_and_rejects_are_kept(spark, inbox):
     assert entries["a.gz"].bytes == os.path.getsize(inbox.folder + "/a.gz")
 
 
+def test_rejects_of_a_source_share_a_file_and_keep_their_library(spark, inbox):
+    inbox.put("a.gz", [record(str(i), library=f"L{i}", MW="x") for i in range(20)])
+    ingest(spark, inbox.folder, inbox.root)
+    assert len(parquet_files(inbox)) == 1
+    rejected = {r.ID: r.Library_ID for r in read_rejects(spark, inbox.root).collect()}
+    assert rejected == {str(i): f"L{i}" for i in range(20)}
+
+
 def test_a_second_run_takes_only_new_files(spark, inbox):
     inbox.put("a.gz", [record("1")])
     ingest(spark, inbox.folder, inbox.root)
