@@ -6,6 +6,8 @@ engine with ``md5`` can reproduce it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +28,10 @@ def hex_to_long(digest_col: Column, start: int, length: int) -> Column:
 
 
 def random_key(digest_col: Column, length: int) -> Column:
-    """``length`` characters of the alphabet, three hex digits for each (at most ten)."""
+    """``length`` characters of the alphabet, three hex digits for each.
+
+    At most ten, the length of an ID in the record format: a digest has 32 hex digits.
+    """
     if not 1 <= length <= 10:
         raise ValueError("length must be between 1 and 10")
     chars = [
@@ -53,14 +58,29 @@ def coin(digest_col: Column) -> Column:
 def int_vector(digest_col: Column, length: int) -> Column:
     """Comma-joined vector of ``length`` integers 0..1000, for lengths up to 2048.
 
+    2048 is the length of a vector in the record format, and the bound below which no square
+    overflows.
+
     Squares of an arithmetic progression modulo a prime: two digest pieces choose start and
     step, so an element costs a few integer operations rather than a hash. They are sized so
-    that no square overflows a long. The progression is a sequence of its own, since whatever
-    the element function refers to from outside is evaluated again for each element.
+    that no square overflows a long. The arithmetic is done on whole batches in an Arrow-fed
+    function: the same with a lambda over an array is interpreted and boxed for each element.
     """
     if not 1 <= length <= 2048:
         raise ValueError("length must be between 1 and 2048")
     start = hex_to_long(digest_col, 1, 7)
     step = hex_to_long(digest_col, 8, 5) + 1
-    points = F.sequence(start, start + (length - 1) * step, step)
-    return F.array_join(F.transform(points, lambda x: x * x % PRIME % ELEMENT_COUNT), ",")
+    return _vectors(length)(start, step)
+
+
+def _vectors(length: int):
+    @F.pandas_udf("string")
+    def vectors(start: pd.Series, step: pd.Series) -> pd.Series:
+        texts = np.array([str(i) for i in range(ELEMENT_COUNT)], object)
+        along, out = np.arange(length), []
+        for first, width in zip(start.to_numpy(), step.to_numpy(), strict=True):
+            points = first + width * along
+            out.append(",".join(texts[points * points % PRIME % ELEMENT_COUNT]))
+        return pd.Series(out, dtype=object)
+
+    return vectors

@@ -52,7 +52,12 @@ TABLE_SCHEMA = _record_schema(T.DoubleType())
 # Columns that travel with a row from the scan to the table.
 SOURCE_PATH = "source_path"
 CORRUPT_RECORD = "corrupt_record"
-SOURCE_COLUMNS = (SOURCE_PATH, CORRUPT_RECORD)
+EXCESS_FIELDS = "excess_fields"
+SOURCE_COLUMNS = (SOURCE_PATH, CORRUPT_RECORD, EXCESS_FIELDS)
+
+# Reasons for rejection that are not the name of a missing column.
+FIELD_COUNT = "FIELD_COUNT"
+LIBRARY_NAME = "LIBRARY_NAME"
 
 # What a rejected row keeps besides the twelve columns. All null on loaded rows.
 REJECT_FIELDS = [

@@ -22,6 +22,7 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "staged_preview": (t.staged_preview, t.STAGED_PREVIEW_SQL),
     "loaded_rows": (t.loaded_rows, t.LOADED_ROWS_SQL),
     "rejects": (t.rejects, t.REJECTS_SQL),
+    "malformed_rows": (t.malformed_rows, t.MALFORMED_ROWS_SQL),
     "null_profile": (t.null_profile, t.NULL_PROFILE_SQL),
     "repartition_layout": (t.repartition_layout, t.REPARTITION_LAYOUT_SQL),
     "table_layout": (t.table_layout, t.TABLE_LAYOUT_SQL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,47 @@ SELECT * FROM (
 WHERE reasons <> ''"""
 
 
+def malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on rows with a field too many, rows cut short, null IDs and unusable libraries.
+
+    The lines are written as text: the first column tells which fault a line has, the last is the
+    one that is cut off or has a tab in it.
+    """
+    folder, root = scratch_dir(spark, "inbox"), scratch_dir(spark, "table")
+    key = F.substring("ID", 2, 20).cast("long")
+    fields = [F.coalesce(c, F.lit("")) for c in COLUMNS]
+    fields[0] = F.when(key % 5 == 1, "").otherwise(fields[0])
+    fields[1] = (
+        F.when(key % 5 == 2, F.lit("__HIVE_DEFAULT_PARTITION__"))
+        .when(key % 5 == 3, F.repeat(F.lit("L"), 300))
+        .otherwise(fields[1])
+    )
+    fields[9] = F.when(key % 3 == 1, F.concat(fields[9], F.lit("\tx"))).otherwise(fields[9])
+    full, cut = F.concat_ws("\t", *fields), F.concat_ws("\t", *fields[:10])
+    line = F.when(key % 3 == 2, cut).otherwise(full)
+    rows = records(spark, sf_dir).select(line.alias("line"), F.lit("all").alias("label"))
+    header = spark.createDataFrame([("\t".join(COLUMNS), "all")], "line string, label string")
+    # One file with one header line: a task of its own sorts it to the front.
+    text = header.withColumn("at", F.lit(0)).union(rows.withColumn("at", F.lit(1)))
+    ordered = text.repartition(1).sortWithinPartitions("at")
+    writer = ordered.select("line", "label").write.partitionBy("label").option("compression", "gzip")
+    writer.option("extension", "tsv").text(folder)
+    ingest(spark, folder, root, options=replace(INBOX, extension=".gz"))
+    loaded = read_table(spark, root).select(F.lit("").alias("reasons"))
+    refused = read_rejects(spark, root).select(F.array_join("reject_reasons", ",").alias("reasons"))
+    return loaded.union(refused).groupBy("reasons").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+MALFORMED_ROWS_SQL = f"""{RECORDS_CTE},
+marked AS (SELECT *, CAST(substr(ID, 2) AS BIGINT) AS k FROM records)
+SELECT reasons, count(*) AS n_rows FROM (
+  SELECT concat_ws(',', CASE WHEN k % 5 = 1 THEN 'ID' END,
+    CASE WHEN TRY_CAST(MW AS FLOAT) IS NULL THEN 'MW' END,
+    CASE WHEN k % 5 IN (2, 3) THEN 'LIBRARY_NAME' END,
+    CASE WHEN k % 3 = 1 THEN 'FIELD_COUNT' END) AS reasons FROM marked)
+GROUP BY reasons"""
+
+
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, new_table(spark, sf_dir))
     return table.groupBy("Library_ID").agg(
@@ -195,10 +237,8 @@ LOOKUP_SQL = f"{RECORDS_CTE} SELECT {TABLE_COLUMNS_SQL} FROM records WHERE ID =
 
 
 def lookup_in_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ID is looked up once more within the library it was found in, and in one that does
-    not exist."""
+    """The ID is looked up within each library, and in one that does not exist."""
     table = read_table(spark, new_table(spark, sf_dir))
-    library = lookup_by_id(table, "O77").first().Library_ID
-    return lookup_by_id(table, "O77", library).unionByName(
-        lookup_by_id(table, "O77", f"not {library}")
-    )
+    urgent, other = (lookup_by_id(table, "O77", x) for x in ("1-URGENT", "no such library"))
+    names = ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    return reduce(DataFrame.unionByName, [urgent, other, *(lookup_by_id(table, "O77", x) for x in names)])

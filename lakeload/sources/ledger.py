@@ -22,6 +22,7 @@ ENTRY_SCHEMA = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("reason", T.StringType()),
         T.StructField("bytes", T.LongType()),
+        T.StructField("modified", T.LongType()),
         T.StructField("rows_loaded", T.LongType()),
         T.StructField("rows_rejected", T.LongType()),
         T.StructField("extra_columns", T.ArrayType(T.StringType())),

@@ -20,7 +20,9 @@ from lakeload.sources.ledger import FAILED, QUARANTINED
 HEADER_LIMIT = 16 << 20
 CHUNK = 1 << 20
 
-PROBE_SCHEMA = "path string, length long, header array<string>, status string, reason string"
+PROBE_SCHEMA = (
+    "path string, length long, modified long, header array<string>, status string, reason string"
+)
 VERIFY_SCHEMA = "path string, reason string"
 
 
@@ -30,7 +32,7 @@ class HeaderTooLong(Exception):
 
 
 _DAMAGE = (EOFError, gzip.BadGzipFile, zlib.error)
-_NO_HEADER = (HeaderTooLong, csv.Error)
+_NO_HEADER = (csv.Error,)
 
 
 def _open(path: str):
@@ -47,22 +49,28 @@ def parse_header(line: str) -> list[str]:
     return next(reader)
 
 
-def read_header(path: str) -> list[str] | None:
-    """Names in the first line that is not blank, or None when there is no such line."""
+def read_header(path: str, limit: int = HEADER_LIMIT) -> list[str] | None:
+    """Names in the first line that is not blank, or None when there is no such line.
+
+    Each piece of the file is looked at once. A line longer than ``limit`` is an error, not a
+    verdict on the file: it stays pending.
+    """
     with _open(path) as stream:
-        buffered = b""
-        while len(buffered) < HEADER_LIMIT:
+        pieces: list[bytes] = []  # of the line that has not ended yet
+        held = 0
+        while held < limit:
             chunk = stream.read(1 << 16)
-            buffered += chunk
-            # The last piece may go on in the next chunk, so it counts only at the end.
-            lines = re.split(rb"\r\n|\n|\r", buffered)
-            for line in lines if not chunk else lines[:-1]:
-                text = line.decode("utf-8-sig", errors="replace")
+            *ended, rest = re.split(rb"\r\n|\n|\r", chunk)
+            for line in ended if chunk else [rest]:
+                text = b"".join([*pieces, line]).decode("utf-8-sig", errors="replace")
                 if text.strip():
                     return parse_header(text)
+                pieces, held = [], 0
             if not chunk:
                 return None
-    raise HeaderTooLong(f"no line end in the first {HEADER_LIMIT} bytes")
+            pieces.append(rest)
+            held += len(rest)
+    raise HeaderTooLong(f"no line end in {limit} bytes")
 
 
 def is_hidden(name: str) -> bool:
@@ -73,12 +81,15 @@ def is_hidden(name: str) -> bool:
 
 
 def _probe(path: str) -> dict:
-    row = dict.fromkeys(("length", "header", "status", "reason"))
+    row = dict.fromkeys(("length", "modified", "header", "status", "reason"))
     if is_hidden(path.rpartition("/")[2]):
         return {"path": path, **row, "status": FAILED, "reason": "HIDDEN_NAME"}
     try:
         fs, inside = resolve(path)
-        row["length"] = fs.get_file_info(inside).size
+        info = fs.get_file_info(inside)
+        row["length"] = info.size
+        # Before the content is read: a file replaced later has another time.
+        row["modified"] = info.mtime_ns // 1_000_000 if info.mtime_ns else None
         row["header"] = read_header(path)
         if row["header"] is None:
             row.update(status=QUARANTINED, reason="NO_HEADER")

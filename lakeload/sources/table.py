@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.functions.paths import glob_escape, qualify
+from lakeload.functions.paths import glob_escape, normalize, qualify
 from lakeload.functions.schema import (
     COLUMNS,
     LOADED,
@@ -160,7 +160,10 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame:
 
 
 def register_table(spark: SparkSession, name: str, root: str) -> None:
-    """Make the loaded rows queryable by name in the session catalog."""
+    """Make the loaded rows queryable by name in the session catalog.
+
+    A name that belongs to a table elsewhere is an error, not a table to be taken for this one.
+    """
     root = create_table(spark, root)
     columns = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}"
@@ -171,4 +174,8 @@ def register_table(spark: SparkSession, name: str, root: str) -> None:
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
         f"PARTITIONED BY (src, Library_ID) LOCATION '{location}'"
     )
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'")
+    found = described.first()
+    if found is None or normalize(found.data_type).rstrip("/") != f"{rows_path(root)}/verdict={LOADED}":
+        raise ValueError(f"{name} is not the table at {root}")
     spark.sql(f"MSCK REPAIR TABLE {name}")

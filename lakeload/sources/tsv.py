@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeload.functions.paths import glob_escape, scanned_path
-from lakeload.functions.schema import CORRUPT_RECORD, SOURCE_COLUMNS, SOURCE_PATH
+from lakeload.functions.schema import CORRUPT_RECORD, EXCESS_FIELDS, SOURCE_COLUMNS, SOURCE_PATH
 from lakeload.operators.align import align_columns
 from lakeload.sources.probe import probe_headers
 
@@ -56,6 +57,18 @@ def column_names(header: Sequence[str]) -> list[str]:
     ]
 
 
+def _more_fields_than(width: int) -> Column:
+    """Whether a raw line has more fields than the header; a quoted field's tabs do not count.
+
+    The scan keeps a line only where the number of fields is not the header's, so good rows cost a
+    null check.
+    """
+    quoted = r'(^|\t)"(?:[^"\\]|\\.)*"'
+    plain = F.regexp_replace(CORRUPT_RECORD, quoted, "$1")
+    tabs = F.length(plain) - F.length(F.replace(plain, F.lit("\t"), F.lit("")))
+    return F.coalesce(tabs >= width, F.lit(False))
+
+
 def read_tsv(spark: SparkSession, paths: Sequence[str], header: Sequence[str]) -> DataFrame:
     """Scan files that share one header: all columns as text, plus where each row came from.
 
@@ -76,7 +89,7 @@ def read_tsv(spark: SparkSession, paths: Sequence[str], header: Sequence[str]) -
         .option("ignoreMissingFiles", False)
         .option("recursiveFileLookup", True)
         .csv([glob_escape(path) for path in paths])
-        .withColumn(SOURCE_PATH, scanned_path())
+        .withColumns({SOURCE_PATH: scanned_path(), EXCESS_FIELDS: _more_fields_than(len(header))})
     )
 
 

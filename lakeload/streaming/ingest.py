@@ -170,15 +170,15 @@ def delete_loaded(files: DataFrame, root: str) -> int:
     """Remove source files that are safely in the table; returns how many.
 
     Runs after the stream has ended, never inside a batch: a replay needs its files. A file
-    that changed since it was loaded is kept, and so is every quarantined or failed one.
+    whose length or time of change is not that of the probe is kept, and so is every quarantined or failed one.
     """
     spark = files.sparkSession
     root = qualify(spark, root)
     entries = latest_entries(read_ledger(spark, root))
-    loaded = entries.filter(F.col("status") == LOADED).select("path", "bytes", "recorded_at")
+    loaded = entries.filter(F.col("status") == LOADED).select("path", "bytes", "modified")
     unchanged = files.join(loaded, "path").filter(
         (F.col("length") == F.col("bytes"))
-        & (F.col("modificationTime") <= F.col("recorded_at"))
+        & (F.unix_millis("modificationTime") == F.col("modified"))
     )
     note = f"{root}/_removal/{uuid.uuid4().hex}"
     note_paths(unchanged, note)

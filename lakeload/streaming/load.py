@@ -84,6 +84,9 @@ def load_files(
     _write_sound(spark, sound, root, load_id, options, outcome)
     for leftover in (_staging_path(root, load_id), _stale_path(root, load_id)):
         remove_folder(spark, leftover)
+    # A refused file may have rows in the table from an earlier delivery; they stay.
+    kept = [source_key(path) for path in outcome.refused]
+    outcome.counts.update(_count_rows(spark, root, kept))
     entries = [_entry(file, outcome) for file in probed]
     ledger.append_entries(
         spark.createDataFrame(entries, ledger.ENTRY_SCHEMA), root, load_id
@@ -265,6 +268,7 @@ def _entry(file: Row, outcome: Outcome) -> tuple:
         status,
         reason,
         file.length,
+        file.modified,
         outcome.counts.get((src, ledger.LOADED), 0),
         outcome.counts.get((src, REJECTED), 0),
         extra_columns(file.header) if file.header else [],
@@ -273,4 +277,9 @@ def _entry(file: Row, outcome: Outcome) -> tuple:
 
 
 def _first_line(error: Exception) -> str:
-    return next(iter(str(error).strip().splitlines()), type(error).__name__)
+    """First line of the innermost Java cause, or of the error itself."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while cause is not None and cause.getCause() is not None:
+        cause = cause.getCause()
+    text = str(error) if cause is None else cause.toString()
+    return next(iter(text.strip().splitlines()), type(error).__name__)

@@ -192,6 +192,8 @@ def test_damaged_redelivery_leaves_the_old_rows(spark, inbox):
     ingest(spark, inbox.folder, inbox.root, options=TAKE_KNOWN)
     assert states(spark, inbox) == {"a.gz": "quarantined"}
     assert len(ids(spark, inbox)) == 500
+    entry = ledger.latest_entries(ledger.read_ledger(spark, inbox.root)).first()
+    assert entry.rows_loaded == 500  # what the table holds, not what this delivery brought
 
 
 @pytest.mark.parametrize("verify_first", [False, True])
@@ -279,6 +281,43 @@ def test_cleanup_removes_only_unchanged_loaded_sources(spark, inbox):
     assert ids(spark, inbox) == ["1", "2"]
 
 
+def test_cleanup_keeps_a_source_replaced_by_one_of_equal_length(spark, inbox):
+    path = inbox.put("a.gz", [record("1")])
+    ingest(spark, inbox.folder, inbox.root)
+    inbox.put("a.gz", [record("1")])
+    os.utime(path, ns=(0, os.stat(path).st_mtime_ns - 5_000_000_000))
+    assert delete_loaded(discover_files(spark, inbox.folder), inbox.root) == 0
+    assert os.path.exists(path)
+
+
+def test_a_row_with_too_many_fields_is_rejected_with_its_line(spark, inbox):
+    values = list(record("2").values())
+    long_line = "\t".join([*values, "more"])
+    quoted = "\t".join(["3", *values[1:11], '"a\tb"'])
+    text = tsv([record("1")]) + long_line + "\n" + quoted + "\n" + "\t".join(values[:10]) + "\n"
+    inbox.put_text("a.gz", text)
+    ingest(spark, inbox.folder, inbox.root)
+    assert ids(spark, inbox) == ["1", "2", "3"]
+    row = read_rejects(spark, inbox.root).first()
+    assert (row.reject_reasons, row.corrupt_record) == (["FIELD_COUNT"], long_line)
+
+
+@pytest.mark.parametrize("name", ["L" * 300, "__HIVE_DEFAULT_PARTITION__", ":" * 90])
+def test_a_library_that_cannot_be_a_folder_costs_its_rows_only(spark, inbox, name):
+    inbox.put("a.gz", [record("1"), record("2", library=name)])
+    ingest(spark, inbox.folder, inbox.root)
+    assert ids(spark, inbox) == ["1"]
+    row = read_rejects(spark, inbox.root).first()
+    assert (row.Library_ID, row.reject_reasons) == (name, ["LIBRARY_NAME"])
+
+
+def test_a_name_that_points_elsewhere_is_not_taken(spark, inbox, tmp_path):
+    register_table(spark, "lakeload_elsewhere", str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="not the table"):
+        register_table(spark, "lakeload_elsewhere", inbox.root)
+    spark.sql("DROP TABLE lakeload_elsewhere")
+
+
 def test_many_headers_take_several_writes(spark, inbox):
     rng = random.Random(1)
     for i in range(6):

@@ -262,7 +262,7 @@ def test_sink_writes_bounded_gzip_files_with_headers(spark, inbox):
 
 def entries(spark, *states):
     at = spark.sql("SELECT now()").first()[0]
-    rows = [(p, p, s, None, 1, 0, 0, [], at) for p, s in states]
+    rows = [(p, p, s, None, 1, 1, 0, 0, [], at) for p, s in states]
     return spark.createDataFrame(rows, ENTRY_SCHEMA)
 
 
