@@ -31,9 +31,9 @@ from lakeload.llm.lexicon import Lexicon, compile_lexicon, mapped_file
 # Words compiled into the lexicon: speed only, and a bound for what is broadcast.
 LEXICON_WORDS = 60_000
 # Distinct words a counting task holds before it hands them on.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 # Unseen words a worker remembers, and the longest it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 64
 _NEVER, _ID = 1 << 62, (1 << 32) - 1
 # Control characters that Python's split takes for blanks.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"

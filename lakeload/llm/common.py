@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from lakeload.functions.paths import scratch_dir
 # Rows a join side may have to be broadcast; they are keys and numbers, some 50 bytes each.
 BROADCAST_ROWS = 1_000_000
 # Bytes of text a task works on at a time; a longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_of(column: str = "text") -> Column:
@@ -41,6 +42,17 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the machine, for the tasks of other stages.
+
+    Workers live on between stages; without this each keeps the most that any stage needed.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may lack it
+    if trim is not None:
+        trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -55,6 +67,7 @@ def slices(
             held += length
         if start < len(lengths):
             yield batch.slice(start)
+        give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
