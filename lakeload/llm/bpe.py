@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeload.llm.common import slices, text_of
-from lakeload.llm.lexicon import Lexicon, compile_lexicon, mapped_file
+from lakeload.llm.lexicon import Lexicon, compile_lexicon
 
 # Words compiled into the lexicon: speed only, and a bound for what is broadcast.
 LEXICON_WORDS = 60_000
@@ -175,6 +175,11 @@ def _vocabulary(data: str) -> Vocabulary:
     return Vocabulary(data)
 
 
+@lru_cache(maxsize=1)
+def _lexicon(data: bytes) -> Lexicon:
+    return Lexicon(data)
+
+
 def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``word`` and ``n``: each piece between blanks in all texts; counted in tasks first."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -212,7 +217,7 @@ class Encoder:
 
     def __init__(self, vocabulary: str, lexicon: bytes) -> None:
         self.vocabulary = _vocabulary(vocabulary)
-        self.lexicon = Lexicon(mapped_file(lexicon))
+        self.lexicon = _lexicon(lexicon)
         self.seen: dict[str, list[int]] = {}
 
     def _unseen(self, piece: str) -> list[int]:

@@ -3,14 +3,12 @@
 Sorted words are added one by one and finished states are merged with equal ones (Daciuk and
 others, 2000), so words share prefixes and suffixes. Each arc carries a number; the numbers along
 a word's path add up to its place in the sorted list, which is the transducer's output and leads
-to the word's ids. The arrays lie in one file that tasks map into memory, so all workers of a
-machine share its pages.
+to the word's ids. The arrays lie in one file that tasks map into memory, so that pages which the
+walk does not touch need not stay there.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
 import tempfile
 
 import numpy as np
@@ -98,23 +96,23 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
     return b"".join([sizes.tobytes(), *(arrays[name].tobytes() for name in FIELDS)])
 
 
-def mapped_file(data: bytes) -> str:
-    """A file with these bytes in the task's temporary folder; workers that share it share it."""
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    path = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(path):
-        fd, made = tempfile.mkstemp(dir=tempfile.gettempdir())
-        with os.fdopen(fd, "wb") as file:
-            file.write(data)
-        os.replace(made, path)
-    return path
+def mapped(data: bytes) -> np.ndarray:
+    """The bytes as a read-only memory map of a file in the task's temporary folder.
+
+    The file's name goes at once and its pages with the map, so that nothing stays behind, even
+    if the worker is killed.
+    """
+    with tempfile.TemporaryFile() as file:
+        file.write(data)
+        file.flush()
+        return np.asarray(np.memmap(file, np.uint8, "r"))
 
 
 class Lexicon:
     """The transducer over a memory-mapped file."""
 
-    def __init__(self, path: str) -> None:
-        raw = np.asarray(np.memmap(path, np.uint8, "r"))
+    def __init__(self, data: bytes) -> None:
+        raw = mapped(data)
         at = 8 * len(FIELDS)
         for name, n in zip(FIELDS, raw[:at].view("<i8"), strict=True):
             width = 4 if name == "ids" else 8

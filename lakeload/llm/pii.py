@@ -41,7 +41,8 @@ _PATTERNS = {
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
     "ssn": re.compile(r"(?<![\w.+-])\d{3}-\d\d-\d{4}(?![\w-])"),
     "phone": re.compile(
-        r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}"
+        r"(?<![\w.+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
+        r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}"
         r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\w-])"
     ),
 }
@@ -230,6 +231,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _spans(kind: str, pattern: re.Pattern, text: str, key: bytes) -> Iterator[tuple[int, int]]:
+    """Matches, cut back to the longest valid start where more groups were taken for a part."""
+    for match in pattern.finditer(text):
+        value = match.group()
+        ends = [len(value)]
+        if kind in ("card", "iban"):
+            ends += [i for i in range(len(value) - 1, 0, -1) if value[i] in " -"]
+        for end in ends:
+            if pattern.fullmatch(value[:end]) and pseudonym(kind, value[:end], key) is not None:
+                yield match.start(), match.start() + end
+                break
+
+
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and replacement of each value, in order of position."""
     taken: list[tuple[int, int, str, str]] = []
@@ -259,7 +273,7 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         add("email", _emails(text))
     if _DIGITS.search(text):
         for kind, pattern in _PATTERNS.items():
-            add(kind, (m.span() for m in pattern.finditer(text)))
+            add(kind, _spans(kind, pattern, text, key))
     return taken
 
 
