@@ -29,11 +29,15 @@ def test_permutation_is_one_to_one():
         assert sorted(pii.permute(i, size, KEY, "t") for i in range(size)) == list(range(size))
 
 
+def shape(text):
+    return re.sub("[A-Z]", "X", re.sub("[a-z]", "x", re.sub("[0-9]", "9", text)))
+
+
 def test_pseudonyms_keep_format_and_validity():
     text = "Ann.9@mail7.example.com 4111 1111 1111 1111 GB82 WEST 1234 5698 7654 32 2020-02-29 +1 (476) 555-6291 10.0.0.1 123-45-6789"
     made, counts = pii.pseudonymize_text(text, KEY)
     assert set(counts.values()) == {1} and made != text
-    assert re.sub(r"\d", "9", re.sub("[a-z]", "x", made[:20])) == re.sub(r"\d", "9", re.sub("[a-z]", "x", text[:20]))
+    assert shape(made[:23]) == shape(text[:23])
     again, counts = pii.pseudonymize_text(made, KEY)
     assert set(counts.values()) == {1}
     datetime.date.fromisoformat(re.search(r"\d{4}-\d\d-\d\d", made).group())
