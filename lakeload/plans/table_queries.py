@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeload.functions.paths import scratch_dir
 from lakeload.functions.schema import COLUMNS
-from lakeload.operators.layout import spread
+from lakeload.operators.layout import DEFAULT_PARTITIONS
 from lakeload.operators.lookup import lookup_by_id, preview
 from lakeload.plans.fixtures import (
     INBOX,
@@ -26,6 +26,7 @@ from lakeload.plans.fixtures import (
     write_inbox,
 )
 from lakeload.sources.table import read_rejects, read_table, register_table
+from lakeload.sources.tsv import write_tsv
 from lakeload.streaming.ingest import ingest
 
 
@@ -79,14 +80,10 @@ def malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fields[9] = F.when(key % 3 == 1, F.concat(fields[9], F.lit("\tx"))).otherwise(fields[9])
     full, cut = F.concat_ws("\t", *fields), F.concat_ws("\t", *fields[:10])
-    line = F.when(key % 3 == 2, cut).otherwise(full)
-    rows = records(spark, sf_dir).select(line.alias("line"), F.lit("all").alias("label"))
-    header = spark.createDataFrame([("\t".join(COLUMNS), "all")], "line string, label string")
-    # One file with one header line: a task of its own sorts it to the front.
-    text = header.withColumn("at", F.lit(0)).union(rows.withColumn("at", F.lit(1)))
-    ordered = text.repartition(1).sortWithinPartitions("at")
-    writer = ordered.select("line", "label").write.partitionBy("label").option("compression", "gzip")
-    writer.option("extension", "tsv").text(folder)
+    # One column, named as the header line, which the writer puts on top of each file.
+    line = F.when(key % 3 == 2, cut).otherwise(full).alias("\t".join(COLUMNS))
+    as_it_is = dict(sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    records(spark, sf_dir).select(line).write.csv(folder, header=True, compression="gzip", **as_it_is)
     ingest(spark, folder, root, options=replace(INBOX, extension=".gz"))
     loaded = read_table(spark, root).select(F.lit("").alias("reasons"))
     refused = read_rejects(spark, root).select(F.array_join("reject_reasons", ",").alias("reasons"))
@@ -118,18 +115,19 @@ FROM records WHERE {VALID_SQL} GROUP BY Library_ID"""
 
 
 def repartition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows dealt over ten part files in one parallel write."""
-    folder = scratch_dir(spark, "spread")
-    spread(records(spark, sf_dir)).write.parquet(folder)
-    return spark.read.parquet(folder).agg(
-        F.countDistinct("_metadata.file_path").alias("n_parts"),
-        F.count(F.lit(1)).alias("n_rows"),
+    """A load with ten partitions: the tasks that wrote each source, small as it is."""
+    folder, root = scratch_dir(spark, "inbox"), scratch_dir(spark, "table")
+    write_tsv(records(spark, sf_dir).withColumn("label", F.lit("all")), folder, "label")
+    ingest(spark, folder, root, options=replace(INBOX, partitions=DEFAULT_PARTITIONS))
+    task = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    per_source = F.countDistinct(task) / F.countDistinct("src")
+    return read_table(spark, root).agg(
+        F.round(per_source).cast("long").alias("n_parts"), F.count(F.lit(1)).alias("n_rows")
     )
 
 
-REPARTITION_LAYOUT_SQL = (
-    "SELECT CAST(10 AS BIGINT) AS n_parts, count(*) AS n_rows FROM orders"
-)
+REPARTITION_LAYOUT_SQL = f"""{RECORDS_CTE}
+SELECT CAST(10 AS BIGINT) AS n_parts, count(*) AS n_rows FROM records WHERE {VALID_SQL}"""
 
 
 def table_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +145,9 @@ FROM records WHERE {VALID_SQL} GROUP BY Library_ID"""
 
 
 def split_source_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source treated as a large one: no two files of a source share a range of IDs."""
+    """Every source spread over ranges: no two files of a source share a range of IDs."""
     root = scratch_dir(spark, "table")
-    options = replace(INBOX, split_bytes=0, partitions=4)
+    options = replace(INBOX, partitions=4)
     ingest(spark, new_inbox(spark, sf_dir), root, options=options)
     file = ["src", "Library_ID", "file"]
     ranges = (
@@ -183,7 +181,7 @@ def hot_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = F.substring("ID", 2, 20).cast("long") % 3 == 0
     rows = records(spark, sf_dir).withColumn("ID", F.when(hot, "HOT").otherwise(F.col("ID")))
     write_inbox(rows, "Library_ID", folder)
-    ingest(spark, folder, root, options=replace(INBOX, split_bytes=0, partitions=6))
+    ingest(spark, folder, root, options=replace(INBOX, partitions=6))
     hits = lookup_by_id(read_table(spark, root), "HOT")
     return hits.groupBy("Library_ID").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("FP2").alias("n_vectors")

@@ -51,8 +51,9 @@ def ingest_stream(
     """Ingest the files of a folder that no earlier run has seen, then stop.
 
     A stream of file names, not of rows: files differ in their headers, and a row stream has
-    one schema. The checkpoint remembers the names, so an interrupted run goes on where it
-    stopped; a micro-batch holds a bounded number of names.
+    one schema. The checkpoint remembers the names of ``max_file_age``, so an interrupted run goes
+    on where it stopped; a micro-batch holds a bounded number of names. At the end the folder is
+    compared with the ledger, in tasks, for files that came late and are older than that.
     """
     root = prepare(spark, root)
     listing = (
@@ -60,8 +61,8 @@ def ingest_stream(
         .schema(LISTING_SCHEMA)
         .options(**listing_options(options.extension))
         .option("maxFilesPerTrigger", options.files_per_load(spark))
-        # The default ignores files much older than the newest one seen.
-        .option("maxFileAge", "36500d")
+        # Bounds the names that the stream remembers; the first run takes files of any age.
+        .option("maxFileAge", options.max_file_age)
         .load(glob_escape(folder))
     )
     names = listed_paths(listing, folder, options.recursive).select("path")
@@ -82,6 +83,9 @@ def ingest_stream(
         .start()
     )
     query.awaitTermination()
+    # The stream may have seen a path that had no content yet, or passed over an old one.
+    found = discover_files(spark, folder, options.extension, options.recursive)
+    _load_in_rounds(_unrecorded(found, root).orderBy("path"), root, options)
 
 
 def ingest_files(
@@ -154,14 +158,12 @@ def ingest(
         if listed:
             ingest_files(listed_files(spark, listed), root, options)
         ingest_stream(spark, folder, root, options, checkpoint)
-        found = discover_files(spark, folder, options.extension, options.recursive)
-        # The checkpoint may have seen a path that had no content yet.
-        _load_in_rounds(_unrecorded(found, root).orderBy("path"), root, options)
     else:
         found = discover_files(spark, folder, options.extension, options.recursive)
         listed_and_found = combine_files(listed_files(spark, listed), found)
         ingest_files(listed_and_found, root, options)
     if delete_consumed:
+        found = discover_files(spark, folder, options.extension, options.recursive)
         delete_loaded(found, root)
     return latest_entries(read_ledger(spark, root))
 

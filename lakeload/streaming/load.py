@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeload.functions.paths import glob_escape, source_key
 from lakeload.functions.schema import REJECTED, ROW_STORE_SCHEMA
 from lakeload.operators.align import extra_columns
-from lakeload.operators.layout import DEFAULT_PARTITIONS, cluster_across, cluster_within
+from lakeload.operators.layout import cluster_across, cluster_within
 from lakeload.operators.validate import classify_rows
 from lakeload.sources import ledger, table
 from lakeload.sources.discovery import DEFAULT_EXTENSION
@@ -32,9 +32,12 @@ class IngestOptions:
     """Settings of an ingest run.
 
     ``max_files``: files in one load; by default enough to keep every core busy twice.
-    ``split_bytes``: a source file larger than this is spread over several tasks ahead of the
-    write, ``partitions`` of them or as many as ``file_bytes`` calls for. A smaller one is
-    ordered and written by the task that scans it, without a shuffle.
+    ``partitions``: ranges of IDs, each written by a task of its own, that every source file is
+    spread over, whatever its size; a file larger than ``file_bytes`` gets one for each such part
+    of it, if that is more. A source with one range is ordered and written by the task that
+    scans it, without a shuffle.
+    ``max_file_age``: the stream forgets the names of files that are older than the newest one by
+    so much; such files, should they come late, are found by the ledger.
     ``verify_first``: decompress every file once before loading. By default only the files of
     a load that failed are examined, which saves a pass over the input.
     """
@@ -44,15 +47,19 @@ class IngestOptions:
     recursive: bool = False
     ignore_duplicates: bool = True
     max_files: int | None = None
-    partitions: int = DEFAULT_PARTITIONS
-    split_bytes: int = 512 << 20
+    partitions: int = 1
     file_bytes: int = 256 << 20
+    max_file_age: str = "30d"
     verify_first: bool = False
     headers_per_write: int = 32
 
     def files_per_load(self, spark: SparkSession) -> int:
         return self.max_files or max(500, 2 * spark.sparkContext.defaultParallelism)
 
+    def ranges(self, length: int) -> int:
+        """Ranges of IDs that a source file of this length is spread over."""
+        return max(1, self.partitions, -(-length // self.file_bytes))
+
 
 @dataclass
 class Outcome:
@@ -109,12 +116,18 @@ def _write_sound(
     options: IngestOptions,
     outcome: Outcome,
 ) -> None:
-    """Write all files together; on an error set the damaged ones aside and write the rest."""
+    """Write all files together; on an error set the damaged ones aside and write the rest.
+
+    An error of Spark's that is no scan's (a full disk, a lost permission, a cancelled job) is no
+    file's fault: it ends the load, and its files stay pending.
+    """
     if not options.verify_first:
         try:
             outcome.counts.update(_write(spark, files, root, load_id, options))
             return
-        except Exception:
+        except Exception as error:
+            if _is_systemic(error):
+                raise
             _LOG.warning("load %s failed, looking for damaged files", load_id, exc_info=True)
             files = _quarantine_damaged(spark, files, outcome)
     _write_or_refuse(spark, files, root, load_id, options, outcome)
@@ -135,6 +148,8 @@ def _write_or_refuse(
     try:
         outcome.counts.update(_write(spark, files, root, load_id, options))
     except Exception as error:
+        if _is_systemic(error):
+            raise
         if len(files) == 1:
             _LOG.warning("file %s failed", files[0].path, exc_info=True)
             outcome.refused[files[0].path] = (ledger.FAILED, _first_line(error))
@@ -163,15 +178,15 @@ def _write(
         return {}
     sources = [source_key(f.path) for f in files]
     stale = _note_stored_files(spark, root, sources, load_id)
-    large = [f for f in files if f.length > options.split_bytes]
-    small = [f for f in files if f.length <= options.split_bytes]
+    split = [f for f in files if options.ranges(f.length) > 1]
+    whole = [f for f in files if options.ranges(f.length) == 1]
     rows_seen = 0
-    for group in _header_batches(small, options.headers_per_write):
+    for group in _header_batches(whole, options.headers_per_write):
         rows_seen += _observed(
             _classified(spark, group, options),
             lambda rows: table.append_rows(cluster_within(rows), root, replace=bool(stale)),
         )
-    for group in _header_batches(large, options.headers_per_write):
+    for group in _header_batches(split, options.headers_per_write):
         rows_seen += _write_split(spark, group, root, load_id, options, bool(stale))
     if stale:
         remove_noted(spark, stale)
@@ -195,7 +210,7 @@ def _write_split(
     options: IngestOptions,
     replace: bool,
 ) -> int:
-    """Write large files: to a staged Parquet folder first, from there in ID ranges.
+    """Write files that get several ranges: to a staged Parquet folder first, from there in ranges.
 
     gzip is read by one task per file, and range partitioning samples its input: straight from
     the text that would be two slow passes. The staged copy can be split, so the sampling, the
@@ -209,10 +224,8 @@ def _write_split(
         .option("maxRecordsPerFile", 100_000)
         .parquet(staged),
     )
-    partitions = sum(
-        max(options.partitions, -(-f.length // options.file_bytes)) for f in files
-    )
-    rows = table.partition_ready(
+    partitions = sum(options.ranges(f.length) for f in files)
+    rows =table.partition_ready(
         spark.read.schema(ROW_STORE_SCHEMA).parquet(glob_escape(staged))
     )
     table.append_rows(cluster_across(rows, partitions), root, replace)
@@ -276,10 +289,26 @@ def _entry(file: Row, outcome: Outcome) -> tuple:
     )
 
 
-def _first_line(error: Exception) -> str:
-    """First line of the innermost Java cause, or of the error itself."""
+def _causes(error: Exception) -> Iterable[str]:
+    """The texts of an error: its own, then those of its Java causes, the innermost last."""
+    yield str(error)
     cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
-    while cause is not None and cause.getCause() is not None:
+    while cause is not None:
+        yield cause.toString()
         cause = cause.getCause()
-    text = str(error) if cause is None else cause.toString()
+
+
+def _is_systemic(error: Exception) -> bool:
+    """Whether Spark failed elsewhere than in a scan, so that no file is to blame.
+
+    A scan's error names a file that has gone or has the file scan among its frames.
+    """
+    own, *java = _causes(error)
+    marks = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "execution.datasources.FileScanRDD")
+    return bool(java) and not any(mark in text for text in (own, *java) for mark in marks)
+
+
+def _first_line(error: Exception) -> str:
+    """First line of the innermost Java cause, or of the error itself."""
+    *_, text = _causes(error)
     return next(iter(text.strip().splitlines()), type(error).__name__)

@@ -269,6 +269,44 @@ def test_row_count_mismatch_is_an_error_not_a_load(spark, inbox, monkeypatch):
     assert states(spark, inbox) == {"a.gz": "failed"}
 
 
+def test_an_unwritable_table_ends_the_load_and_blames_no_file(spark, inbox, monkeypatch):
+    for name in "abc":
+        inbox.put(f"{name}.gz", [record(name)])
+    attempts, real = [], load.table.append_rows
+
+    def refuse(rows, root, replace=False):
+        attempts.append(root)
+        real(rows, "/proc/no-such-folder", replace)
+
+    monkeypatch.setattr(load.table, "append_rows", refuse)
+    with pytest.raises(Exception):
+        ingest(spark, inbox.folder, inbox.root)
+    assert len(attempts) == 1 and loads(spark, inbox) == 0
+    monkeypatch.setattr(load.table, "append_rows", real)
+    ingest(spark, inbox.folder, inbox.root)
+    assert ids(spark, inbox) == ["a", "b", "c"]
+
+
+def test_one_cut_file_among_many_costs_one_repeat(spark, inbox, monkeypatch):
+    data = gzip.compress(tsv([record(f"x{i}", FP1=str(i) * 9) for i in range(30_000)]).encode())
+    inbox.put_bytes("cut.gz", data[:-100])
+    for i in range(49):
+        inbox.put(f"{i:02d}.gz", [record(str(i))])
+    writes, real = [], load._write
+    monkeypatch.setattr(load, "_write", lambda *a: writes.append(len(a[1])) or real(*a))
+    ingest(spark, inbox.folder, inbox.root)
+    assert writes == [50, 49] and len(ids(spark, inbox)) == 49
+    assert states(spark, inbox)["cut.gz"] == "quarantined"
+
+
+def test_partitions_hold_for_small_sources(spark, inbox):
+    inbox.put("a.gz", [record(f"i{i:03d}") for i in range(400)])
+    ingest(spark, inbox.folder, inbox.root, options=IngestOptions(partitions=4))
+    assert len(parquet_files(inbox)) == 4
+    assert IngestOptions(partitions=4).ranges(1) == 4
+    assert IngestOptions(file_bytes=10).ranges(35) == 4 and IngestOptions().ranges(0) == 1
+
+
 def test_cleanup_removes_only_unchanged_loaded_sources(spark, inbox):
     inbox.put("loaded.gz", [record("1")])
     inbox.put_bytes("plain.gz", b"ID\n1\n")
@@ -354,7 +392,7 @@ def test_split_source_with_a_hot_id(spark, inbox):
     rows = [record("HOT" if i % 3 == 0 else f"i{i:05d}", FP4=str(i)) for i in range(6000)]
     random.Random(0).shuffle(rows)
     inbox.put("a.gz", rows)
-    ingest(spark, inbox.folder, inbox.root, options=IngestOptions(split_bytes=0, partitions=8))
+    ingest(spark, inbox.folder, inbox.root, options=IngestOptions(partitions=8))
     sizes = (
         read_table(spark, inbox.root)
         .groupBy(F.col("_metadata.file_path").alias("file"))
