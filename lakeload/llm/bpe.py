@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import slices, text_of
+from lakeload.llm.common import slices, text_of, written
 from lakeload.llm.lexicon import Lexicon, compile_lexicon
 
 # Words compiled into the lexicon: speed only, and a bound for what is broadcast.
@@ -206,8 +206,22 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> bytes:
-    """Lexicon file of the most frequent words of all texts, at most ``words`` of them."""
-    rows = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(words).collect()
+    """Lexicon file of the most frequent words of all texts, at most ``words`` of them.
+
+    Words of one class of frequency are taken all or none, so the classes' sizes tell which words to
+    fetch: at most ``words`` of them come to the driver, whatever the number of partitions.
+    """
+    counts = written(word_counts(docs, vocabulary), "word-counts")
+    # Exact for small counts, then in steps of about a hundredth: some thousand classes at most.
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.lit(4096) + F.floor(F.log2("n") * 64))
+    classes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()
+    least, left = None, words
+    for row in sorted(classes, key=lambda r: -r.level):
+        left -= row["size"]
+        if left < 0:
+            break
+        least = row.level
+    rows = [] if least is None else counts.where(level >= least).select("word").collect()
     vocab = _vocabulary(vocabulary)
     return compile_lexicon({r.word: vocab.encode(r.word) for r in rows if len(r.word.encode()) <= 64})
 
