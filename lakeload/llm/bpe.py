@@ -208,10 +208,11 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> bytes:
     """Lexicon file of the most frequent words of all texts, at most ``words`` of them.
 
-    Words of one class of frequency are taken all or none, so the classes' sizes tell which words to
+    Words seen once, the bulk of the distinct ones, cost the same merged or looked up: they are
+    counted, but not written. Words of one class of frequency are taken all or none, so the classes' sizes tell which words to
     fetch: at most ``words`` of them come to the driver, whatever the number of partitions.
     """
-    counts = written(word_counts(docs, vocabulary), "word-counts")
+    counts = written(word_counts(docs, vocabulary).where("n > 1"), "word-counts")
     # Exact for small counts, then in steps of about a hundredth: some thousand classes at most.
     level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.lit(4096) + F.floor(F.log2("n") * 64))
     classes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()
