@@ -1,4 +1,4 @@
-"""Command line: ``python -m lakeload generate|ingest|lookup|preview``."""
+"""Command line: ``python -m lakeload generate|ingest|compact|lookup|preview``."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import SparkSession
 
 from lakeload.operators.generate import sample_records
 from lakeload.operators.lookup import lookup_by_id, preview
-from lakeload.sources.table import read_table
+from lakeload.sources.table import read_table, rows_near
 from lakeload.sources.tsv import write_tsv
+from lakeload.streaming.compact import compact
 from lakeload.streaming.ingest import ingest
 from lakeload.streaming.load import IngestOptions
 
@@ -32,6 +33,9 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--partitions", type=int, default=IngestOptions.partitions)
     load.add_argument("--delete-consumed", action="store_true")
 
+    gather = commands.add_parser("compact", help="gather the rows of all sources by library and ID")
+    gather.add_argument("table")
+
     find = commands.add_parser("lookup", help="show the rows with an ID")
     find.add_argument("table")
     find.add_argument("id")
@@ -64,8 +68,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         entries.groupBy("status").agg(
             {"path": "count", "rows_loaded": "sum", "rows_rejected": "sum"}
         ).show()
+    elif args.command == "compact":
+        print(f"{compact(spark, args.table)} libraries written")
     elif args.command == "lookup":
-        lookup_by_id(read_table(spark, args.table), args.id, args.library).show()
+        near = rows_near(spark, args.table, args.id, args.library)
+        lookup_by_id(near, args.id, args.library).show()
     else:
         preview(read_table(spark, args.table)).show()
 

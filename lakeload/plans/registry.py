@@ -32,6 +32,8 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "long_vectors": (t.long_vectors, t.LONG_VECTORS_SQL),
     "lookup_by_id": (t.lookup, t.LOOKUP_SQL),
     "lookup_in_library": (t.lookup_in_library, t.LOOKUP_SQL),
+    "compacted_lookup": (t.compacted_lookup, t.LOOKUP_SQL),
+    "compacted_reingest": (t.compacted_reingest, t.COMPACTED_REINGEST_SQL),
     "pending_files": (i.pending, i.PENDING_SQL),
     "incremental_ingest": (i.incremental, i.INCREMENTAL_SQL),
     "replay_idempotent": (i.replay, i.REPLAY_SQL),

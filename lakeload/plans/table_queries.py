@@ -25,8 +25,9 @@ from lakeload.plans.fixtures import (
     records,
     write_inbox,
 )
-from lakeload.sources.table import read_rejects, read_table, register_table
+from lakeload.sources.table import read_rejects, read_table, register_table, rows_near
 from lakeload.sources.tsv import write_tsv
+from lakeload.streaming.compact import compact
 from lakeload.streaming.ingest import ingest
 
 
@@ -240,3 +241,38 @@ def lookup_in_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent, other = (lookup_by_id(table, "O77", x) for x in ("1-URGENT", "no such library"))
     names = ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     return reduce(DataFrame.unionByName, [urgent, other, *(lookup_by_id(table, "O77", x) for x in names)])
+
+
+def compacted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookup after a compaction: of compacted rows, the files whose range holds the ID."""
+    root = new_table(spark, sf_dir)
+    compact(spark, root)
+    return lookup_by_id(rows_near(spark, root, "O77"), "O77")
+
+
+def compacted_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each library after a compaction, a new delivery of all files, and another compaction
+    of what came last. No row is doubled, and none is lost."""
+    folder, root = new_inbox(spark, sf_dir), scratch_dir(spark, "table")
+    ingest(spark, folder, root, options=INBOX)
+    compact(spark, root)
+    ingest(spark, folder, root, options=replace(INBOX, ignore_duplicates=False))
+    between = read_table(spark, root).groupBy("Library_ID").agg(F.count(F.lit(1)).alias("n_between"))
+    between = written_counts(between)
+    compact(spark, root)
+    after = read_table(spark, root).groupBy("Library_ID").agg(
+        F.count(F.lit(1)).alias("n_after"), F.countDistinct("ID").alias("n_ids")
+    )
+    return between.join(after, "Library_ID")
+
+
+def written_counts(counts: DataFrame) -> DataFrame:
+    """Counts written down, since the files that they come from are about to go."""
+    path = scratch_dir(counts.sparkSession, "counts")
+    counts.write.parquet(path)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
+
+
+COMPACTED_REINGEST_SQL = f"""{RECORDS_CTE}
+SELECT Library_ID, count(*) AS n_between, count(*) AS n_after, count(DISTINCT ID) AS n_ids
+FROM records WHERE {VALID_SQL} GROUP BY Library_ID"""

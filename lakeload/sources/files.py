@@ -30,6 +30,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
 def path_frame(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """A bounded list of paths as a DataFrame, spread over the cluster's cores."""
     return spark.createDataFrame([(path,) for path in paths], "path string")
@@ -87,12 +94,17 @@ def remove_noted(spark: SparkSession, note: str) -> int:
     Deleting from a note, not from a listing of the files themselves: a task that is run again
     would list what it has already deleted. Absent files count as removed.
     """
-    noted = spark.read.schema("path string").parquet(glob_escape(note))
-    removed = map_paths(noted, _remove, "path string").count()
+    removed = remove_listed(spark, note)
     remove_folder(spark, note)
     return removed
 
 
+def remove_listed(spark: SparkSession, note: str) -> int:
+    """Delete the files of a note and keep the note."""
+    noted = spark.read.schema("path string").parquet(glob_escape(note))
+    return map_paths(noted, _remove, "path string").count()
+
+
 def _is_folder(path: str) -> dict:
     fs, inside = resolve(path)
     return {"path": path, "found": fs.get_file_info(inside).type == pafs.FileType.Directory}

@@ -1,0 +1,171 @@
+"""The manifest of compacted rows: their files, their sources, and what they made obsolete.
+
+``compacted/generation=N/Library_ID=…`` holds rows ordered by ID, with ``src`` as a stored column.
+``manifest/N`` describes the state after the Nth compaction: ``files`` has the range of IDs of each
+file, ``sources`` the rows of each source in each library. The newest manifest with a ``committed``
+folder counts. What it made obsolete is noted in ``_obsolete/N`` ahead of the commit and removed
+after it; while that note is there, rows outside the manifest's files are obsolete.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakeload.functions.paths import glob_escape
+from lakeload.functions.schema import LOADED, TABLE_SCHEMA
+from lakeload.sources.files import child_names, make_folder, remove_folder, remove_listed
+
+FILES_SCHEMA = "path string, Library_ID string, low string, high string, n_rows long"
+SOURCES_SCHEMA = "src string, Library_ID string, n_rows long"
+ROWS_SCHEMA = T.StructType([*TABLE_SCHEMA.fields, T.StructField("src", T.StringType())])
+
+
+def compacted_path(root: str) -> str:
+    return f"{root}/compacted"
+
+
+def generation_path(root: str, number: int) -> str:
+    return f"{compacted_path(root)}/generation={number}"
+
+
+def manifest_path(root: str, number: int) -> str:
+    return f"{root}/manifest/{number}"
+
+
+def obsolete_path(root: str, number: int) -> str:
+    return f"{root}/_obsolete/{number}"
+
+
+def superseded_path(root: str) -> str:
+    return f"{root}/superseded"
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """The state after a compaction; ``settled`` once what it made obsolete is removed."""
+
+    root: str
+    number: int
+    files: DataFrame
+    sources: DataFrame
+    settled: bool
+
+    def rows(self, paths: Sequence[str]) -> DataFrame:
+        """Compacted rows in these folders or files: the twelve columns and ``src``."""
+        spark = self.files.sparkSession
+        read = spark.read.schema(ROWS_SCHEMA).option("basePath", compacted_path(self.root))
+        return read.parquet(*[glob_escape(p) for p in paths]).select(*ROWS_SCHEMA.names)
+
+    def folders(self, libraries: DataFrame | None = None) -> list[str]:
+        """Folders that hold the compacted rows, one for each library, or for those given."""
+        files = self.files if libraries is None else self.files.join(libraries, "Library_ID", "left_semi")
+        folder = F.regexp_replace("path", "/[^/]+$", "").alias("folder")
+        return sorted(r.folder for r in files.select(folder).distinct().collect())
+
+    def files_with(self, target_id: str, library_id: str | None = None) -> list[str]:
+        """Files whose range of IDs holds this one: one for each library unless rows fill more."""
+        wanted = F.lit(target_id).between(F.col("low"), F.col("high"))
+        if library_id is not None:
+            wanted &= F.col("Library_ID") == library_id
+        return sorted(r.path for r in self.files.where(wanted).select("path").collect())
+
+
+def _committed(spark: SparkSession, root: str) -> list[int]:
+    numbers = (int(n) for n in child_names(spark, f"{root}/manifest"))
+    return sorted(n for n in numbers if "committed" in child_names(spark, manifest_path(root, n)))
+
+
+def read_manifest(spark: SparkSession, root: str) -> Manifest | None:
+    """The manifest that counts; none before the first compaction."""
+    committed = _committed(spark, root)
+    if not committed:
+        return None
+    path, number = manifest_path(root, committed[-1]), committed[-1]
+    return Manifest(
+        root,
+        number,
+        spark.read.schema(FILES_SCHEMA).parquet(glob_escape(f"{path}/files")),
+        spark.read.schema(SOURCES_SCHEMA).parquet(glob_escape(f"{path}/sources")),
+        str(number) not in child_names(spark, f"{root}/_obsolete"),
+    )
+
+
+def write_manifest(root: str, number: int, files: DataFrame, sources: DataFrame) -> None:
+    """Commit the state after a compaction. Safe to repeat until it is committed."""
+    path = manifest_path(root, number)
+    sources.write.mode("overwrite").parquet(f"{path}/sources")
+    files.write.mode("overwrite").parquet(f"{path}/files")
+    make_folder(files.sparkSession, f"{path}/committed")
+
+
+def settle(spark: SparkSession, root: str, rows_folder: str) -> None:
+    """Remove what the last compaction made obsolete, if that has not been done.
+
+    Nothing is loaded between a commit and this, so all that lies in ``rows_folder`` is obsolete.
+    """
+    noted = [int(n) for n in child_names(spark, f"{root}/_obsolete")]
+    if not noted:
+        return
+    committed = _committed(spark, root)
+    for number in noted:
+        if committed and number == committed[-1]:
+            remove_listed(spark, obsolete_path(root, number))
+            for folder in (rows_folder, superseded_path(root)):
+                remove_folder(spark, folder)
+            make_folder(spark, rows_folder)
+        remove_folder(spark, obsolete_path(root, number))
+    for number in committed[:-1]:
+        remove_folder(spark, manifest_path(root, number))
+
+
+def superseded(spark: SparkSession, root: str) -> DataFrame:
+    """Column ``src``: compacted sources that have been loaded again since."""
+    make_folder(spark, superseded_path(root))
+    return spark.read.schema("src string").parquet(glob_escape(superseded_path(root)))
+
+
+def supersede(spark: SparkSession, root: str, sources: Sequence[str]) -> None:
+    """Note which of these sources, just loaded, have older rows among the compacted ones."""
+    manifest = read_manifest(spark, root)
+    if manifest is None or not sources:
+        return
+    again = manifest.sources.join(_named(spark, sources), "src", "left_semi").select("src").distinct()
+    if not again.isEmpty():
+        again.write.mode("append").parquet(superseded_path(root))
+
+
+def _named(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in sources], "src string")
+
+
+def stored_sources(rows: DataFrame) -> list[str]:
+    """Keys of the sources with files outside the manifest, from the listing already made."""
+    found = (re.search("/src=([^/]+)/", path) for path in rows.inputFiles())
+    return sorted({match[1] for match in found if match})
+
+
+def masked_sources(manifest: Manifest, fresh: DataFrame) -> DataFrame | None:
+    """Column ``src``: compacted sources whose compacted rows no longer count; None if there are none.
+
+    Those with rows in ``fresh``, the rows outside the manifest, and those noted as superseded.
+    """
+    spark = manifest.files.sparkSession
+    names = _named(spark, stored_sources(fresh)).union(superseded(spark, manifest.root))
+    masked = manifest.sources.join(names, "src", "left_semi").select("src").distinct()
+    return None if masked.isEmpty() else masked
+
+
+def held_rows(spark: SparkSession, root: str, sources: Sequence[str]) -> dict[tuple[str, str], int]:
+    """Compacted rows that count, of these sources, by source and verdict."""
+    manifest = read_manifest(spark, root)
+    if manifest is None or not sources:
+        return {}
+    held = manifest.sources.join(_named(spark, sources), "src", "left_semi")
+    held = held.join(superseded(spark, root), "src", "left_anti")
+    return {(r.src, LOADED): r.n for r in held.groupBy("src").agg(F.sum("n_rows").alias("n")).collect()}

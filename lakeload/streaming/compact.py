@@ -1,0 +1,101 @@
+"""Compaction: the rows of many sources gathered by library and ordered by ID."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeload.functions.paths import glob_escape, scanned_path
+from lakeload.functions.schema import LOADED
+from lakeload.operators.layout import cluster_across
+from lakeload.sources import manifest as m
+from lakeload.sources import table
+from lakeload.sources.files import note_paths, remove_folder
+from lakeload.streaming.ingest import prepare
+
+COMPACT_KEYS = ("Library_ID", "ID")
+# Bytes of stored rows that a task gathers.
+FILE_BYTES = 256 << 20
+
+
+def compact(spark: SparkSession, root: str, file_bytes: int = FILE_BYTES) -> int:
+    """Gather the rows of sources loaded since the last compaction with those compacted before.
+
+    Rows are dealt by ranges of (library, ID, position) and written ordered, so that files of a
+    library hold disjoint ranges of IDs; an ID that holds very many rows fills several files. Only
+    libraries with new rows, or with rows of a source that was loaded again, are written; each is
+    read whole, so compact when a fair share of a library is new. Returns how many were written.
+
+    No ingest may run meanwhile. A crash before the commit leaves the table as it was, one after
+    it is ended by the next ingest or compaction. DataFrames made before read files that go.
+    """
+    root = prepare(spark, root)
+    before = m.read_manifest(spark, root)
+    number = before.number + 1 if before else 1
+    work = f"{root}/_compaction"
+    fresh = table.read_fresh(spark, root)
+    # Partition values only: footers are read, no rows.
+    counted = fresh.groupBy("src", "Library_ID").agg(F.count(F.lit(1)).alias("n_rows"))
+    incoming = _kept(counted, f"{work}/incoming", m.SOURCES_SCHEMA)
+    touched, old = incoming, None
+    if before:
+        again = incoming.select("src").union(m.superseded(spark, root)).distinct()
+        replaced = before.sources.join(again, "src", "left_semi")
+        replaced = _kept(replaced.select("src", "Library_ID", "n_rows"), f"{work}/replaced", m.SOURCES_SCHEMA)
+        touched = incoming.union(replaced)
+    touched = _kept(touched.select("Library_ID").distinct(), f"{work}/touched", "Library_ID string")
+    libraries = touched.count()
+    if not libraries:
+        remove_folder(spark, work)
+        return 0
+    expected, folders = _total(incoming), []
+    if before:
+        folders = before.folders(touched)
+        expected += _total(before.sources.join(touched, "Library_ID", "left_semi")) - _total(replaced)
+    rows = fresh
+    if folders:
+        old = before.rows(folders).join(replaced.select("src").distinct(), "src", "left_anti")
+        rows = old.select(*fresh.columns).union(fresh)
+    obsolete = table.stored_files(spark, [table.verdict_path(root, LOADED), *folders])
+    length = obsolete.agg(F.sum("length")).first()[0] or 0
+    target = m.generation_path(root, number)
+    _write(rows, target, max(1, -(-length // file_bytes)))
+    written = spark.read.schema(m.ROWS_SCHEMA).parquet(glob_escape(target))
+    files = written.groupBy(scanned_path().alias("path"), "Library_ID").agg(
+        F.min("ID").alias("low"), F.max("ID").alias("high"), F.count(F.lit(1)).alias("n_rows")
+    )
+    sources = written.groupBy("src", "Library_ID").agg(F.count(F.lit(1)).alias("n_rows"))
+    files = _kept(files, f"{work}/files", m.FILES_SCHEMA)
+    if _total(files) != expected:
+        raise RuntimeError(f"compacted {_total(files)} rows instead of {expected}")
+    if before:
+        files = files.union(before.files.join(touched, "Library_ID", "left_anti").select(*files.columns))
+        others = before.sources.join(touched, "Library_ID", "left_anti")
+        sources = sources.union(others.select(*sources.columns))
+    note_paths(obsolete, m.obsolete_path(root, number))
+    m.write_manifest(root, number, files, sources)
+    m.settle(spark, root, table.verdict_path(root, LOADED))
+    remove_folder(spark, work)
+    return libraries
+
+
+def _kept(rows: DataFrame, path: str, schema: str) -> DataFrame:
+    """The rows, written to a folder of this compaction: their size is known when they are joined."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(glob_escape(path))
+
+
+def _total(counted: DataFrame) -> int:
+    return counted.agg(F.sum("n_rows")).first()[0] or 0
+
+
+def _write(rows: DataFrame, target: str, partitions: int) -> None:
+    # Not nullable, lest the writer sort a second time; a loaded row has a library.
+    keyed = rows.withColumn("Library_ID", F.coalesce("Library_ID", F.lit("")))
+    (
+        cluster_across(keyed, partitions, COMPACT_KEYS)
+        .write.mode("overwrite")
+        .options(**table.PARQUET_OPTIONS)
+        .partitionBy("Library_ID")
+        .parquet(target)
+    )

@@ -18,6 +18,7 @@ from lakeload.operators.validate import classify_rows
 from lakeload.sources import ledger, table
 from lakeload.sources.discovery import DEFAULT_EXTENSION
 from lakeload.sources.files import note_paths, path_frame, remove_folder, remove_noted
+from lakeload.sources.manifest import held_rows, supersede
 from lakeload.sources.probe import probe_headers, verify_files
 from lakeload.sources.tsv import group_by_header, read_aligned
 
@@ -93,7 +94,7 @@ def load_files(
         remove_folder(spark, leftover)
     # A refused file may have rows in the table from an earlier delivery; they stay.
     kept = [source_key(path) for path in outcome.refused]
-    outcome.counts.update(_count_rows(spark, root, kept))
+    outcome.counts.update({**held_rows(spark, root, kept), **_count_rows(spark, root, kept)})
     entries = [_entry(file, outcome) for file in probed]
     ledger.append_entries(
         spark.createDataFrame(entries, ledger.ENTRY_SCHEMA), root, load_id
@@ -195,6 +196,7 @@ def _write(
         raise RuntimeError(
             f"scanned {rows_seen} rows but the table holds {sum(counts.values())}"
         )
+    supersede(spark, root, sources)
     return counts
 
 
@@ -225,7 +227,7 @@ def _write_split(
         .parquet(staged),
     )
     partitions = sum(options.ranges(f.length) for f in files)
-    rows =table.partition_ready(
+    rows = table.partition_ready(
         spark.read.schema(ROW_STORE_SCHEMA).parquet(glob_escape(staged))
     )
     table.append_rows(cluster_across(rows, partitions), root, replace)

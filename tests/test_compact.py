@@ -1,0 +1,126 @@
+"""Compaction: lookups, re-deliveries, untouched libraries, crashes."""
+
+import gzip
+import os
+
+import pytest
+from conftest import record
+
+from lakeload.functions.paths import qualify
+from lakeload.operators.lookup import lookup_by_id
+from lakeload.sources import ledger
+from lakeload.sources import manifest as m
+from lakeload.sources.table import create_table, read_rejects, read_table, register_table, rows_near
+from lakeload.streaming import compact as compact_module
+from lakeload.streaming.compact import compact
+from lakeload.streaming.ingest import ingest
+from lakeload.streaming.load import IngestOptions
+
+TAKE_KNOWN = IngestOptions(ignore_duplicates=False)
+
+
+def held(spark, inbox):
+    rows = read_table(spark, inbox.root).select("ID", "Library_ID", "Sub_ID_1").collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def deliver(spark, inbox, options=IngestOptions(), **files):
+    for name, rows in files.items():
+        inbox.put(f"{name}.tsv.gz", rows)
+    return ingest(spark, inbox.folder, inbox.root, options=options)
+
+
+def opened(hits):
+    """Files that the scans of a lookup read, and its rows."""
+    rows = hits.collect()
+    leaves = hits._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(s.metrics().apply("numFiles").value() for s in scans), rows
+
+
+def test_lookup_over_fifty_sources_opens_at_most_two_files(spark, inbox):
+    files = {f"f{i}": [record(f"{n:04d}", "L1") for n in range(i, 400, 50)] for i in range(50)}
+    deliver(spark, inbox, **files)
+    before = held(spark, inbox)
+    assert opened(lookup_by_id(read_table(spark, inbox.root), "0077"))[0] == 50
+    compact(spark, inbox.root, file_bytes=30_000)
+    assert m.read_manifest(spark, qualify(spark, inbox.root)).files.count() > 3
+    assert held(spark, inbox) == before
+    n_files, rows = opened(lookup_by_id(rows_near(spark, inbox.root, "0077"), "0077"))
+    assert n_files <= 2 and [r.ID for r in rows] == ["0077"]
+    assert lookup_by_id(rows_near(spark, inbox.root, "0077", "L2"), "0077", "L2").count() == 0
+    deliver(spark, inbox, late=[record("0077", "L1", Sub_ID_1="late")])
+    assert lookup_by_id(rows_near(spark, inbox.root, "0077"), "0077").count() == 2
+
+
+def test_redelivery_replaces_compacted_rows(spark, inbox):
+    deliver(spark, inbox, a=[record("1", "A/B %"), record("2", "L2")], b=[record("3", "L2")])
+    assert compact(spark, inbox.root) == 2
+    # One row leaves its library, the other goes; the second time all rows are rejected.
+    deliver(spark, inbox, TAKE_KNOWN, a=[record("1", "L3", Sub_ID_1="new")])
+    expected = [("1", "L3", "new"), ("3", "L2", "s1")]
+    assert held(spark, inbox) == expected
+    assert compact(spark, inbox.root) == 3
+    assert held(spark, inbox) == expected
+    deliver(spark, inbox, TAKE_KNOWN, a=[record("1", "L3", MW="bad")])
+    assert held(spark, inbox) == [("3", "L2", "s1")]
+    assert compact(spark, inbox.root) == 2  # b was taken again as well, L3 is left empty
+    assert held(spark, inbox) == [("3", "L2", "s1")]
+    assert read_rejects(spark, inbox.root).count() == 1
+
+
+def test_only_touched_libraries_are_written(spark, inbox):
+    deliver(spark, inbox, a=[record("1", "L1")], b=[record("2", "L2")])
+    compact(spark, inbox.root)
+    root = qualify(spark, inbox.root)
+    first = {r.Library_ID: r.path for r in m.read_manifest(spark, root).files.collect()}
+    assert compact(spark, inbox.root) == 0
+    deliver(spark, inbox, c=[record("3", "L2")])
+    assert compact(spark, inbox.root) == 1
+    second = {r.Library_ID: r.path for r in m.read_manifest(spark, root).files.collect()}
+    assert second["L1"] == first["L1"] and second["L2"] != first["L2"]
+    assert not os.path.exists(first["L2"].removeprefix("file:"))
+    assert [r[0] for r in held(spark, inbox)] == ["1", "2", "3"]
+
+
+@pytest.mark.parametrize("step", ["note_paths", "write_manifest", "settle"])
+def test_a_crash_neither_loses_nor_doubles_rows(spark, inbox, monkeypatch, step):
+    deliver(spark, inbox, a=[record("1"), record("2", "L2")], b=[record("3")])
+    compact(spark, inbox.root)
+    deliver(spark, inbox, TAKE_KNOWN, b=[record("4")])
+    expected = held(spark, inbox)
+    assert [r[0] for r in expected] == ["1", "2", "4"]
+
+    def crash(*_):
+        raise InterruptedError
+
+    with monkeypatch.context() as patched:
+        patched.setattr(compact_module if step == "note_paths" else m, step, crash)
+        with pytest.raises(InterruptedError):
+            compact(spark, inbox.root)
+    assert held(spark, inbox) == expected
+    create_table(spark, inbox.root)
+    assert held(spark, inbox) == expected
+    deliver(spark, inbox, c=[record("5")])
+    compact(spark, inbox.root)
+    assert [r[0] for r in held(spark, inbox)] == ["1", "2", "4", "5"]
+
+
+def test_damaged_redelivery_keeps_compacted_rows(spark, inbox):
+    deliver(spark, inbox, a=[record(str(i)) for i in range(200)])
+    compact(spark, inbox.root)
+    whole = gzip.compress(os.urandom(5000))
+    inbox.put_bytes("a.tsv.gz", whole[:2000])
+    deliver(spark, inbox, TAKE_KNOWN)
+    assert len(held(spark, inbox)) == 200
+    entry = ledger.latest_entries(ledger.read_ledger(spark, inbox.root)).first()
+    assert (entry.status, entry.rows_loaded) == (ledger.QUARANTINED, 200)
+
+
+def test_empty_table_and_catalog_name(spark, inbox):
+    assert compact(spark, inbox.root) == 0
+    assert held(spark, inbox) == []
+    deliver(spark, inbox, a=[record("1")])
+    compact(spark, inbox.root)
+    with pytest.raises(ValueError):
+        register_table(spark, "lakeload_compacted", inbox.root)
