@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeload.llm.common import checked_broadcast, row_key, slices, text_of, without, written
@@ -90,16 +90,6 @@ def pigeonhole_tables() -> list[Table]:
     return [(a, b), (b, c), (c, a)]
 
 
-def sampled_tables(bits: int, tables: int, exact: int, seed: int = SEED) -> list[Table]:
-    """Tables of ``exact`` and 23 decoded bits drawn from ``bits``; pairs meet by likelihood."""
-    draw = np.random.default_rng(seed)
-    out = []
-    for _ in range(tables):
-        at = draw.permutation(bits)[: exact + LENGTH].tolist()
-        out.append((tuple(at[:exact]), tuple(at[exact:])))
-    return out
-
-
 def _bits(lanes: np.ndarray, positions: tuple[int, ...]) -> np.ndarray:
     """Bits at ``positions`` of rows of 64-bit lanes, as one number each."""
     out = np.zeros(len(lanes), np.int64)
@@ -152,16 +142,6 @@ def simhash64(text: str) -> tuple[int, ...]:
     return (majority(shingle_hashes(text)),)
 
 
-def word_simhash128(text: str) -> tuple[int, ...]:
-    """Two lanes over the distinct words: an edit touches one word, but five shingles."""
-    words = set(text.encode("utf-8").lower().split())
-    digest = xxhash.xxh64_intdigest
-    return tuple(
-        majority(np.fromiter((digest(w, seed) for w in words), np.uint64, len(words)))
-        for seed in (SEED, SEED + 1)
-    )
-
-
 def fingerprints(
     docs: DataFrame, make: Callable[[str], tuple[int, ...]] = simhash64, lanes: int = 1
 ) -> DataFrame:
@@ -191,18 +171,6 @@ def _distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ many).sum(axis=-1, dtype=np.int64)
 
 
-def _near_in_bucket(ids: np.ndarray, lanes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each member the nearest of the members before it, if within ``bits``."""
-    a, b = [], []
-    for i in range(1, len(ids)):
-        far = _distance(lanes[i], lanes[:i])
-        at = int(far.argmin())
-        if far[at] <= bits:
-            a.append(ids[i])
-            b.append(ids[at])
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
 def _linked_in_bucket(ids: np.ndarray, lanes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join all members with a link into the same classes: one less than members."""
     free, a, b = np.ones(len(ids), bool), [], []
@@ -221,27 +189,6 @@ def _linked_in_bucket(ids: np.ndarray, lanes: np.ndarray, bits: int) -> tuple[np
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _heads_in_bucket(ids: np.ndarray, lanes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a large bucket: members tie to the nearest head; who has none becomes a head."""
-    a, b, heads = [], [], np.zeros(0, np.int64)
-    for start in range(0, len(ids), BUCKET):
-        part = np.arange(start, min(start + BUCKET, len(ids)))
-        best, at = np.full(len(part), 1 << 30), np.zeros(len(part), np.int64)
-        for head in heads.tolist():
-            far = _distance(lanes[head], lanes[part])
-            closer = far < best
-            best[closer], at[closer] = far[closer], head
-        tied = best <= bits
-        a += ids[part[tied]].tolist()
-        b += ids[at[tied]].tolist()
-        rest = part[~tied]
-        own_a, own_b = _near_in_bucket(ids[rest], lanes[rest], bits)
-        a += own_a.tolist()
-        b += own_b.tolist()
-        heads = np.concatenate([heads, rest[~np.isin(ids[rest], own_a)]])
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
 def _keyed(nodes: DataFrame, tables: list[Table], lanes: int) -> DataFrame:
     names = [f"f{i}" for i in range(lanes)]
 
@@ -278,8 +225,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def _bucket_edges(nodes: DataFrame, tables: list[Table], lanes: int, bits: int, exact: bool) -> DataFrame:
-    """Edges found in buckets; with ``exact``, those of large buckets as (middle, node) to be joined."""
+def _bucket_edges(nodes: DataFrame, tables: list[Table], lanes: int, bits: int) -> DataFrame:
+    """Edges found in buckets; those of large buckets as (middle, node) to be joined."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bool, np.ndarray, np.ndarray]] = []
@@ -296,10 +243,7 @@ def _bucket_edges(nodes: DataFrame, tables: list[Table], lanes: int, bits: int,
         for _, ids, *columns in _buckets(batches):
             made = np.stack(columns, axis=1).astype(np.uint64)
             if len(ids) <= BUCKET:
-                find = _linked_in_bucket if exact else _near_in_bucket
-                held.append((False, *find(ids, made, bits)))
-            elif not exact:
-                held.append((False, *_heads_in_bucket(ids, made, bits)))
+                held.append((False, *_linked_in_bucket(ids, made, bits)))
             else:
                 for start in range(0, len(ids), 4096):
                     part = ids[start : start + 4096]
@@ -333,7 +277,7 @@ def golay_links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """
     if bits != 2:
         raise ValueError("the pigeonhole tables and middle words are made for two bits")
-    found = written(_bucket_edges(nodes, pigeonhole_tables(), 1, bits, True), "bucket-edges")
+    found = written(_bucket_edges(nodes, pigeonhole_tables(), 1, bits), "bucket-edges")
     groups = found.where("wide").groupBy("a").agg(F.min("b").alias("least"))
     joined = found.where("wide").join(groups, "a").where(F.col("b") != F.col("least"))
     tied = joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -360,8 +304,18 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 
 # --- One document of each group -------------------------------------------------------------------
 
-WORD_TABLES, WORD_EXACT, WORD_BITS = 8, 18, 20
 SIMILARITY, WORDS = 0.8, 5
+# One text in so many is looked at to tell common shingles, which come last in a prefix, and the
+# most of them that tasks get. Both change what a run costs and not what it finds.
+SAMPLE, LEAST_COMMON, COMMON = 16, 4, 200_000
+# Members of a bucket compared with each other, or with as many others, in one task.
+BLOCK = 512
+
+
+def _shingle_set(text: str, words: int) -> np.ndarray:
+    """Distinct shingle hashes of a text; texts without words share one."""
+    found = np.unique(shingle_hashes(text, words))
+    return (found if len(found) else np.zeros(1, np.uint64)).astype(np.int64)
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -369,41 +323,116 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [
-                np.unique(shingle_hashes(t, size)).astype(np.int64)
-                for t in batch.column("text").to_pylist()
-            ]
+            sets = [_shingle_set(t, size) for t in batch.column("text").to_pylist()]
             arrays = [batch.column("text_key"), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["text_key", "shingles"])
 
     return docs.select("text_key", "text").mapInArrow(work, "text_key long, shingles array<long>")
 
 
-def similar_texts(
-    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
-) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``node``, ``least`` id) and edges (``a``, ``b``) between texts of that similarity.
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many texts of a sample share, and in how many each is."""
+    some = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLE)) == 0)
+    each = _shingle_sets(some, words).select(F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.where(F.col("n") >= LEAST_COMMON), "common")
+    least = LEAST_COMMON
+    while counts.where(F.col("n") >= least).count() > COMMON:
+        least *= 2
+    found = counts.where(F.col("n") >= least).toArrow()
+    shingles, often = found.column("shingle").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], often[order]
+
+
+def _prefixes(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``node``, its number ``n`` of shingles, and those of its prefix with their ``place``.
 
-    A node is a distinct text, named by its hash. Candidates meet under Golay keys of a 128-bit
-    SimHash over distinct words, which an edit changes less than one over shingles; the Jaccard
-    similarity of their ``words``-word shingles then decides. In a bucket a text is tied to its
-    nearest predecessor, so a group of copies gives a tree and not all pairs.
+    Shingles have one order for all texts: rare ones by hash, then common ones from the less common
+    on. Sets of that similarity have more shingles in common than one of them has after its prefix,
+    so the first that they share is in the prefixes of both.
     """
-    prints = written(fingerprints(docs, word_simhash128, 2), "word-prints")
-    nodes = written(
-        prints.groupBy(F.col("text_key").alias("node")).agg(
-            F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1")
-        ),
-        "text-nodes",
-    )
-    tables = sampled_tables(128, WORD_TABLES, WORD_EXACT)
-    pairs = _bucket_edges(nodes, tables, 2, WORD_BITS, False).select("a", "b").distinct()
-    candidates = written(pairs, "candidates")
-    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    wanted = written(ends.join(nodes, "node").select("node", "least"), "candidate-nodes")
-    plain = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
-    same = (F.col("text_key") == F.col("node")) & F.col("_id").eqNullSafe(F.col("least"))
-    chosen = plain.join(checked_broadcast(wanted), same, "left_semi")
+    common, often = _common(texts, words)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, lengths, found = [], [], [np.zeros(0, np.int64)]
+            for text in batch.column("text").to_pylist():
+                own = _shingle_set(text, words)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.argsort(np.where(common[at] == own, often[at], 0), kind="stable")]
+                length = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
+                sizes.append(len(own))
+                lengths.append(length)
+                found.append(own[:length])
+            lengths = np.array(lengths, np.int64)
+            firsts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            columns = [
+                np.repeat(batch.column("text_key").to_numpy(), lengths),
+                np.repeat(np.array(sizes, np.int32), lengths),
+                (np.arange(lengths.sum()) - firsts).astype(np.int32),
+                np.concatenate(found),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "place", "shingle"])
+
+    return texts.select("text_key", "text").mapInArrow(work, "node long, n int, place int, shingle long")
+
+
+def _enough(n: Column, place: Column, other_n: Column, other_place: Column, similarity: float) -> Column:
+    """Whether sets may be that similar whose first shingle in common is at these places."""
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (n + other_n) - F.lit(1e-6))
+    return F.least(n - place, other_n - other_place) >= need
+
+
+def _cross_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each bucket's members that are of different classes and may be similar.
+
+    ``members`` has ``shingle``, ``node``, ``n``, ``place``, its class ``root``, and the number
+    ``blocks`` into which the bucket is dealt. Each two blocks meet under a key of their own, so the
+    members of a large bucket are spread over tasks.
+    """
+    own = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks"))
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    first, one_block = F.col("own") <= F.col("other"), F.col("own") == F.col("other")
+    rows = dealt.select(key, "node", "root", "n", "place", first.cast("long").alias("first"), one_block.cast("long").alias("one"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_a, held_b, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            made = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (held_a, held_b)]
+            held_a.clear()
+            held_b.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["a", "b"])
+
+        for _, node, root, n, place, first, one in _buckets(batches):
+            everyone = np.arange(len(node))
+            for i in np.flatnonzero(first).tolist():
+                # In one block each two members meet once, else only with those of the other block.
+                others = everyone[i + 1 :] if one[i] else np.flatnonzero(first == 0)
+                need = np.ceil(similarity / (1 + similarity) * (n[i] + n[others]) - 1e-6)
+                may = np.minimum(n[i] - place[i], n[others] - place[others]) >= need
+                near = node[others[may & (root[others] != root[i])]]
+                if len(near):
+                    held_a.append(np.minimum(node[i], near))
+                    held_b.append(np.maximum(node[i], near))
+                    size += len(near)
+                if size > 100_000:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "node")
+    return sorted_rows.mapInArrow(work, "a long, b long").distinct()
+
+
+def _similar(candidates: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs ``a``, ``b`` among ``candidates``, a written table, whose texts are that similar."""
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    wanted = checked_broadcast(written(wanted, "candidate-nodes"))
+    chosen = texts.join(wanted, F.col("text_key") == F.col("node"), "left_semi")
     sets = written(
         _shingle_sets(chosen, words).groupBy("text_key").agg(F.first("shingles").alias("shingles")),
         "shingle-sets",
@@ -412,8 +441,55 @@ def similar_texts(
     two = sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    edges = candidates.join(one, "a").join(two, "b").where(both >= F.lit(similarity) * union)
-    return nodes.select("node", "least"), edges.select("a", "b")
+    near = one.join(checked_broadcast(candidates), "a").join(two, "b").where(both >= F.lit(similarity) * union)
+    return written(near.select("a", "b"), "similar")
+
+
+def similar_texts(
+    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``node``, ``least`` id) and edges (``a``, ``b``) whose classes are those of all pairs
+    of texts of that similarity.
+
+    A node is a distinct text, named by its hash; similarity is the Jaccard similarity of the sets
+    of ``words``-word shingles. Texts that are similar share a shingle of their prefixes, which is a
+    bucket's key. Each member is compared with the least of its bucket, which joins a group of
+    copies by a tree. Then all members that are still in different classes are compared, but for
+    pairs that sizes and places in the order exclude. Buckets of all sizes go the same way.
+    """
+    keyed = docs.select(*row_key())
+    nodes = keyed.groupBy(F.col("text_key").alias("node")).agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")
+    )
+    nodes = written(nodes, "text-nodes")
+    plain = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+    again = written(nodes.where("rows > 1").select("node", "least"), "copied-texts")
+    other = (F.col("text_key") == F.col("node")) & ~F.col("_id").eqNullSafe(F.col("least"))
+    texts = plain.join(checked_broadcast(again), other, "left_anti").select("text_key", "text")
+
+    prefixes = written(_prefixes(texts, similarity, words), "prefixes")
+    head = F.min(F.struct("node", "n", "place")).alias("head")
+    buckets = prefixes.groupBy("shingle").agg(head, F.max("node").alias("last"))
+    buckets = written(buckets.where(F.col("head.node") != F.col("last")).select("shingle", "head"), "buckets")
+    met = prefixes.join(checked_broadcast(buckets), "shingle").distinct()
+    met = written(met.select("shingle", "node", "n", "place", "head"), "met")
+
+    may = _enough(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"), similarity)
+    tied = met.where((F.col("node") != F.col("head.node")) & may)
+    heads = written(tied.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    edges = _similar(heads, texts, similarity, words)
+
+    rooted = met.join(components(edges), "node", "left")
+    rooted = rooted.select("shingle", "node", "n", "place", F.coalesce("component", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    size = F.count(F.lit(1)).alias("size")
+    mixed = rooted.groupBy("shingle").agg(size, F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.where("low != high and size > 2")  # of two, one is the head
+    mixed = written(mixed.select("shingle", F.ceil(F.col("size") / BLOCK).alias("blocks")), "mixed")
+    pairs = _cross_pairs(rooted.join(checked_broadcast(mixed), "shingle"), similarity)
+    pairs = written(pairs.join(heads, ["a", "b"], "left_anti"), "candidates")
+    edges = edges.union(_similar(pairs, texts, similarity, words))
+    return nodes.select("node", "least"), edges
 
 
 def copies(docs: DataFrame) -> DataFrame:
