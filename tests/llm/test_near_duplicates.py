@@ -67,3 +67,15 @@ def test_two_edits_of_one_text_stay_with_it(spark, frame):
         texts += [" ".join(words), *edits]
     found, expected = classes(spark, frame, texts)
     assert found == expected
+
+
+def test_similar_texts_of_unlike_words_are_found(spark, frame):
+    rng = random.Random(2)
+    pool = vocabulary(rng)
+    texts = []
+    for _ in range(20):  # few distinct words, to which the copy adds a line of others
+        words = rng.choices(rng.sample(pool, 7), k=300)
+        texts += [" ".join(words), " ".join(words + rng.sample(pool, 15))]
+    found, expected = classes(spark, frame, texts)
+    assert found == expected
+    assert len(found) == 20
