@@ -79,3 +79,18 @@ def test_similar_texts_of_unlike_words_are_found(spark, frame):
     found, expected = classes(spark, frame, texts)
     assert found == expected
     assert len(found) == 20
+
+
+def test_large_groups_keep_their_links(spark, frame):
+    rng = random.Random(3)
+    pool = vocabulary(rng)
+    words = rng.choices(pool, k=120)
+    texts = [" ".join(words)]
+    for _ in range(1200):  # each but for the first is similar to few others
+        first = edited(rng, words, pool, 2)
+        texts.append(" ".join(first))
+        if rng.random() < 0.1:
+            texts.append(" ".join(edited(rng, first, pool, 2)))
+    texts = sorted(set(texts))
+    found, expected = classes(spark, frame, texts)
+    assert found == expected
