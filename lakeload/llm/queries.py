@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.llm import bpe, chat, decontaminate, fingerprint, pii, quality, secrets, simhash, toxicity, urlfilter
+from lakeload.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    exact,
+    fingerprint,
+    negatives,
+    pii,
+    quality,
+    search,
+    secrets,
+    simhash,
+    toxicity,
+    urlfilter,
+)
 from lakeload.llm.common import table
 
 # The key of the pseudonyms in the registered query; a deployment passes its own.
@@ -75,6 +89,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat,
         op9_decontamination,
         op10_simhash,
+        op11_exact,
+        op12_negatives,
+        op13_search,
     )
 }
 
@@ -112,4 +142,10 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
-ORACLE_SQL = {"op2_urls": URLS_SQL, "op8_chat": chat.CHAT_SQL}
+ORACLE_SQL = {
+    "op2_urls": URLS_SQL,
+    "op8_chat": chat.CHAT_SQL,
+    "op11_exact": exact.EXACT_SQL,
+    "op12_negatives": negatives.NEGATIVES_SQL,
+    "op13_search": search.SEARCH_SQL,
+}
