@@ -3,48 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lakeload.functions.paths import glob_escape, normalized_path, qualify
+from lakeload.functions.paths import normalized_path, qualify, scratch_dir
+from lakeload.sources.files import LISTED, children, path_frame
 
 DEFAULT_EXTENSION = ".gz"
 
-LISTING_SCHEMA = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("modificationTime", T.TimestampType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
-
-
-def listing_options(extension: str) -> dict[str, str]:
-    """Reader options shared by the batch listing and the file-name stream.
-
-    The whole tree is listed; a listing of one level would still go into folders that look
-    like partitions, and fail on those that look like partitions of different tables. A file
-    that goes away between listing and use is no longer listed; it does not fail the job.
-    """
-    return {
-        "pathGlobFilter": "*" + glob_escape(extension),
-        "recursiveFileLookup": "true",
-        "ignoreMissingFiles": "true",
-    }
-
-
-def listed_paths(listing: DataFrame, folder: str, recursive: bool) -> DataFrame:
-    """Normalized listing of a folder; only its own files unless ``recursive``."""
-    named = listing.select(
-        normalized_path(F.col("path")).alias("path"), "length", "modificationTime"
-    )
-    if recursive:
-        return named
-    parent = qualify(listing.sparkSession, folder)
-    return named.filter(F.regexp_replace("path", "/[^/]*$", "") == F.lit(parent))
+# What is known of a file in a listing.
+LISTING = "path string, length long, modificationTime timestamp"
 
 
 def discover_files(
@@ -53,18 +23,40 @@ def discover_files(
     extension: str = DEFAULT_EXTENSION,
     recursive: bool = False,
 ) -> DataFrame:
-    """Files with the extension in a folder of any file system Spark can read.
+    """Files with the extension in a folder: ``path``, ``length`` and ``modificationTime``.
 
-    Full paths are kept. File content is never read: only listing columns are selected. Files
-    without a single byte are not listed; they appear once they have content.
+    Folders are listed inside tasks, level by level, a folder a row, so the driver holds none of the
+    names; without ``recursive`` no other folder is entered. Names that Spark's readers pass over are
+    not listed. Full paths are kept. Files without a single byte are not listed; they appear once they
+    have content.
     """
-    listing = (
-        spark.read.format("binaryFile")
-        .schema(LISTING_SCHEMA)
-        .options(**listing_options(extension))
-        .load(glob_escape(folder))
-    )
-    return listed_paths(listing, folder, recursive)
+    level = children(path_frame(spark, [qualify(spark, folder)]))
+    if not recursive:
+        return _files(level, extension)
+    found = []
+    while True:
+        level = _noted(level)
+        found.append(_files(level, extension))
+        folders = level.where("is_folder")
+        n_folders = folders.count()
+        if not n_folders:
+            return reduce(DataFrame.union, found)
+        # A folder is a row, so a task's share is some of them, however few rows there are.
+        tasks = min(n_folders, 4 * spark.sparkContext.defaultParallelism)
+        level = children(folders.select("path").repartition(tasks))
+
+
+def _noted(level: DataFrame) -> DataFrame:
+    """A level of the walk, written down: the next one starts from it, and it is listed once."""
+    spark = level.sparkSession
+    path = scratch_dir(spark, "listing")
+    level.write.parquet(path)
+    return spark.read.schema(LISTED).parquet(path)
+
+
+def _files(level: DataFrame, extension: str) -> DataFrame:
+    wanted = ~F.col("is_folder") & (F.col("length") > 0) & F.endswith("path", F.lit(extension))
+    return level.where(wanted).select(normalized_path(F.col("path")).alias("path"), "length", "modificationTime")
 
 
 def listed_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import urlsplit
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -12,9 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lakeload.functions.paths import glob_escape
-
-# Hadoop spells the S3 scheme in several ways.
-_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+from lakeload.sources import storage
+from lakeload.sources.storage import resolve
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -42,31 +41,61 @@ def path_frame(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(path,) for path in paths], "path string")
 
 
-def resolve(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system of a Hadoop-style path, and the path inside it, taken literally."""
-    scheme, colon, rest = path.partition(":")
-    if not colon or "/" in scheme:
-        return pafs.LocalFileSystem(), path
-    if scheme == "file":
-        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
-    authority = urlsplit(path).netloc
-    fs, root = pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{authority}/")
-    inside = path[len(f"{scheme}://{authority}") :].lstrip("/")
-    return fs, f"{root.rstrip('/')}/{inside}" if root.strip("/") else inside
-
-
 def map_paths(files: DataFrame, function: Callable[[str], dict], schema: str) -> DataFrame:
     """Call ``function`` on each value of column ``path`` inside the tasks; one row each."""
+    return flat_map_paths(files, lambda path: [function(path)], schema)
+
+
+def flat_map_paths(
+    files: DataFrame, function: Callable[[str], Iterable[dict]], schema: str
+) -> DataFrame:
+    """Call ``function`` on each value of column ``path`` inside the tasks; a row for each result.
+
+    The session's storage settings go along, as they are now.
+    """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    settings = storage.session_settings(files.sparkSession)
 
     def work(batches: Batches) -> Batches:
+        storage.use(settings)
         for batch in batches:
-            rows = [function(path) for path in batch.column("path").to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for path in batch.column("path").to_pylist():
+                found = iter(function(path))
+                while rows := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("path").mapInArrow(work, schema)
 
 
+LISTED = "path string, is_folder boolean, length long, modificationTime timestamp"
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _children(path: str) -> Iterator[dict]:
+    fs, inside = resolve(path)
+    for info in fs.get_file_info(pafs.FileSelector(inside, recursive=False)):
+        if not _hidden(info.base_name):
+            is_folder = info.type == pafs.FileType.Directory
+            yield {
+                "path": f"{path.rstrip('/')}/{info.base_name}",
+                "is_folder": is_folder,
+                "length": None if is_folder else info.size,
+                "modificationTime": info.mtime,
+            }
+
+
+def children(folders: DataFrame) -> DataFrame:
+    """What lies directly in each of the folders: files, and folders with ``is_folder``.
+
+    Each folder is listed inside a task, none of them walked. One that does not exist is an error.
+    """
+    return flat_map_paths(folders, _children, LISTED)
+
+
 def _remove(path: str) -> dict:
     fs, inside = resolve(path)
     targets = [inside]
@@ -99,6 +128,24 @@ def remove_noted(spark: SparkSession, note: str) -> int:
     return removed
 
 
+def _remove_folder(path: str) -> dict:
+    fs, inside = resolve(path)
+    if fs.get_file_info(inside).type == pafs.FileType.Directory:
+        try:
+            fs.delete_dir(inside)
+        except FileNotFoundError:
+            pass  # another attempt of this task was faster
+    return {"path": path}
+
+
+def remove_noted_folders(spark: SparkSession, note: str) -> int:
+    """Delete the folders of a note, in parallel, then the note; returns how many it named."""
+    noted = spark.read.schema("path string").parquet(glob_escape(note))
+    removed = map_paths(noted, _remove_folder, "path string").count()
+    remove_folder(spark, note)
+    return removed
+
+
 def remove_listed(spark: SparkSession, note: str) -> int:
     """Delete the files of a note and keep the note."""
     noted = spark.read.schema("path string").parquet(glob_escape(note))
