@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,36 +13,48 @@ from pyspark.sql import functions as F
 
 from lakeload.functions.paths import glob_escape, qualify
 from lakeload.sources.discovery import (
-    LISTING_SCHEMA,
+    LISTING,
     combine_files,
     discover_files,
     in_order,
     listed_files,
-    listed_paths,
-    listing_options,
 )
-from lakeload.sources.files import note_paths, remove_noted
+from lakeload.sources.files import note_paths, remove_folder, remove_noted
 from lakeload.sources.ledger import (
     FAILED,
     LOADED,
     create_ledger,
     latest_entries,
+    merge_loads,
     pending_files,
     read_ledger,
+    unconsumed,
 )
 from lakeload.sources.table import create_table
+from lakeload.sources.warehouse import open_warehouse
 from lakeload.streaming.load import IngestOptions, load_files
 
 _NO_OPTIONS = IngestOptions()
 
 
-def prepare(spark: SparkSession, root: str) -> str:
-    """Make table and ledger if absent; returns the qualified root."""
+def prepare(spark: SparkSession, root: str, options: IngestOptions = _NO_OPTIONS) -> str:
+    """Make table, ledger and warehouse table if absent; returns the qualified root."""
     root = create_table(spark, root)
     create_ledger(spark, root)
+    if options.warehouse:
+        open_warehouse(spark, options.warehouse, root, options.buckets)
     return root
 
 
+# How the stream keeps the names that it has seen: on the executors, in memory and on disk.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
 def ingest_stream(
     spark: SparkSession,
     folder: str,
@@ -51,41 +65,70 @@ def ingest_stream(
     """Ingest the files of a folder that no earlier run has seen, then stop.
 
     A stream of file names, not of rows: files differ in their headers, and a row stream has
-    one schema. The checkpoint remembers the names of ``max_file_age``, so an interrupted run goes
-    on where it stopped; a micro-batch holds a bounded number of names. At the end the folder is
-    compared with the ledger, in tasks, for files that came late and are older than that.
+    one schema. Each run lists the folder, in tasks, and adds the listing to a table of names that the
+    stream reads. What the stream has seen within ``max_file_age`` of the newest file is state on the
+    executors, and is dropped; so an interrupted run goes on where it stopped. At the end the listing
+    is compared with the ledger, in tasks, for files that came late and are older than that.
     """
-    root = prepare(spark, root)
-    listing = (
-        spark.readStream.format("binaryFile")
-        .schema(LISTING_SCHEMA)
-        .options(**listing_options(options.extension))
-        .option("maxFilesPerTrigger", options.files_per_load(spark))
-        # Bounds the names that the stream remembers; the first run takes files of any age.
-        .option("maxFileAge", options.max_file_age)
-        .load(glob_escape(folder))
+    root = prepare(spark, root, options)
+    run_id = uuid.uuid4().hex
+    listings = f"{root}/listings"
+    found = discover_files(spark, folder, options.extension, options.recursive)
+    # The stream's own list is of these files of names, and not of the files that they name.
+    found.write.mode("append").parquet(f"{listings}/run={run_id}")
+    names = (
+        spark.readStream.schema(LISTING)
+        .option("recursiveFileLookup", True)
+        .parquet(glob_escape(listings))
+        .withWatermark("modificationTime", _interval(options.max_file_age))
+        .dropDuplicatesWithinWatermark(["path"])
     )
-    names = listed_paths(listing, folder, options.recursive).select("path")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         query_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
-        pending = pending_files(
-            batch, read_ledger(session, root), options.ignore_duplicates
+        # Written down, since state should be asked once.
+        note = f"{root}/_names/{query_id}-{batch_id:09d}"
+        note_paths(batch, note)
+        new = session.read.schema("path string").parquet(glob_escape(note))
+        _load_in_rounds(new, root, options, f"{query_id}-{batch_id:09d}", ask=True)
+        remove_folder(session, note)
+
+    with _settings(spark, _STATE):
+        query = (
+            names.writeStream.foreachBatch(load)
+            .option("checkpointLocation", checkpoint or f"{root}/_checkpoint")
+            .trigger(availableNow=True)
+            .start()
         )
-        paths = sorted(row.path for row in pending.collect())
-        load_files(session, paths, root, f"{query_id}-{batch_id:09d}", options)
-
-    query = (
-        names.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint or f"{root}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
     query.awaitTermination()
-    # The stream may have seen a path that had no content yet, or passed over an old one.
-    found = discover_files(spark, folder, options.extension, options.recursive)
-    _load_in_rounds(_unrecorded(found, root).orderBy("path"), root, options)
+    listed = spark.read.schema(LISTING).parquet(glob_escape(f"{listings}/run={run_id}"))
+    _load_in_rounds(_unrecorded(listed, root), root, options, run_id)
+    remove_folder(spark, listings)  # all of them have been through the stream
+    merge_loads(spark, root)
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed for as long as a query takes to start, which copies them."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def _interval(age: str) -> str:
+    """An age such as ``30d`` as an interval; one that is spelled as an interval stays."""
+    units = {"d": "days", "h": "hours", "m": "minutes", "s": "seconds"}
+    short = re.fullmatch(r"(\d+)\s*([dhms])", age.strip())
+    return f"{short[1]} {units[short[2]]}" if short else age
 
 
 def ingest_files(
@@ -96,24 +139,29 @@ def ingest_files(
     With ``ignore_duplicates`` off every file is read again and its rows are replaced.
     """
     spark = files.sparkSession
-    root = prepare(spark, root)
+    root = prepare(spark, root, options)
     if "position" not in files.columns:
         files = files.withColumn("position", F.lit(None).cast("long"))
     once = files.groupBy("path").agg(F.min("position").alias("position"))
     pending = pending_files(once, read_ledger(spark, root), options.ignore_duplicates)
-    _load_in_rounds(in_order(pending), root, options)
+    _load_in_rounds(pending, root, options, uuid.uuid4().hex)
 
 
-def _load_in_rounds(files: DataFrame, root: str, options: IngestOptions) -> None:
-    """Load sorted files, a bounded number at a time.
+def _load_in_rounds(
+    files: DataFrame, root: str, options: IngestOptions, run_id: str, ask: bool = False
+) -> None:
+    """Load files in order, a bounded number at a time.
 
-    Sorted also because a listing has a partition per large file, and names come to the driver
-    with one job per partition; after a sort there are few.
+    Sorted also because names come to the driver with one job per partition; after a sort there are
+    few. With ``ask`` known files are left out: the ledger is read in the buckets of a round's files.
     """
     spark = files.sparkSession
-    run_id = uuid.uuid4().hex
-    names = (row.path for row in files.select("path").toLocalIterator())
+    if "position" not in files.columns:
+        files = files.withColumn("position", F.lit(None).cast("long"))
+    names = (row.path for row in in_order(files).select("path").toLocalIterator())
     for number, paths in enumerate(_rounds(names, options.files_per_load(spark))):
+        if ask and options.ignore_duplicates:
+            paths = unconsumed(spark, root, paths)
         load_files(spark, paths, root, f"{run_id}-{number:09d}", options)
 
 
@@ -131,12 +179,12 @@ def retry_failed(
     spark: SparkSession, root: str, options: IngestOptions = _NO_OPTIONS
 ) -> None:
     """Try again the files whose last attempt failed; the stream itself has moved past them."""
-    root = prepare(spark, root)
+    root = prepare(spark, root, options)
     entries = read_ledger(spark, root)
     has_failed = F.col("status") == FAILED
     if not entries.filter(has_failed).isEmpty():
         failed = latest_entries(entries).filter(has_failed)
-        _load_in_rounds(failed.orderBy("path"), root, options)
+        _load_in_rounds(failed.select("path"), root, options, uuid.uuid4().hex)
 
 
 def ingest(
@@ -152,7 +200,7 @@ def ingest(
 
     Returns the last ledger entry of every file.
     """
-    root = prepare(spark, root)
+    root = prepare(spark, root, options)
     retry_failed(spark, root, options)
     if options.ignore_duplicates:
         if listed:
