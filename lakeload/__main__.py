@@ -1,16 +1,16 @@
-"""Command line: ``python -m lakeload generate|ingest|compact|lookup|preview``."""
+"""Command line: ``python -m lakeload generate|ingest|publish|lookup|preview``."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from lakeload.operators.generate import sample_records
 from lakeload.operators.lookup import lookup_by_id, preview
-from lakeload.sources.table import read_table, rows_near
+from lakeload.sources.table import read_table
 from lakeload.sources.tsv import write_tsv
-from lakeload.streaming.compact import compact
+from lakeload.sources.warehouse import BUCKETS, open_warehouse, publish_all
 from lakeload.streaming.ingest import ingest
 from lakeload.streaming.load import IngestOptions
 
@@ -33,8 +33,8 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--partitions", type=int, default=IngestOptions.partitions)
     load.add_argument("--delete-consumed", action="store_true")
 
-    gather = commands.add_parser("compact", help="gather the rows of all sources by library and ID")
-    gather.add_argument("table")
+    move = commands.add_parser("publish", help="move loaded rows to a warehouse table")
+    move.add_argument("table")
 
     find = commands.add_parser("lookup", help="show the rows with an ID")
     find.add_argument("table")
@@ -43,6 +43,9 @@ def parser() -> argparse.ArgumentParser:
 
     show = commands.add_parser("preview", help="show the first rows of the table")
     show.add_argument("table")
+    for command in (load, move, find, show):
+        command.add_argument("--warehouse", metavar="NAME", required=command is move)
+        command.add_argument("--buckets", type=int, default=BUCKETS)
     return top
 
 
@@ -56,6 +59,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             recursive=args.recursive,
             ignore_duplicates=not args.take_known,
             partitions=args.partitions,
+            warehouse=args.warehouse,
+            buckets=args.buckets,
         )
         entries = ingest(
             spark,
@@ -68,13 +73,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         entries.groupBy("status").agg(
             {"path": "count", "rows_loaded": "sum", "rows_rejected": "sum"}
         ).show()
-    elif args.command == "compact":
-        print(f"{compact(spark, args.table)} libraries written")
+    elif args.command == "publish":
+        moved = publish_all(spark, args.warehouse, args.table, args.buckets)
+        print(f"{moved} sources moved")
     elif args.command == "lookup":
-        near = rows_near(spark, args.table, args.id, args.library)
-        lookup_by_id(near, args.id, args.library).show()
+        lookup_by_id(_table(spark, args), args.id, args.library).show()
     else:
-        preview(read_table(spark, args.table)).show()
+        preview(_table(spark, args)).show()
+
+
+def _table(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    if args.warehouse:
+        return open_warehouse(spark, args.warehouse, args.table, args.buckets)
+    return read_table(spark, args.table)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -34,6 +34,8 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "lookup_in_library": (t.lookup_in_library, t.LOOKUP_SQL),
     "compacted_lookup": (t.compacted_lookup, t.LOOKUP_SQL),
     "compacted_reingest": (t.compacted_reingest, t.COMPACTED_REINGEST_SQL),
+    "bucketed_lookup": (t.bucketed_lookup, t.BUCKETED_LOOKUP_SQL),
+    "warehouse_growth": (t.warehouse_growth, t.WAREHOUSE_GROWTH_SQL),
     "pending_files": (i.pending, i.PENDING_SQL),
     "incremental_ingest": (i.incremental, i.INCREMENTAL_SQL),
     "replay_idempotent": (i.replay, i.REPLAY_SQL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import replace
 from functools import reduce
@@ -25,9 +26,9 @@ from lakeload.plans.fixtures import (
     records,
     write_inbox,
 )
-from lakeload.sources.table import read_rejects, read_table, register_table, rows_near
+from lakeload.sources.table import read_rejects, read_table, register_table
 from lakeload.sources.tsv import write_tsv
-from lakeload.streaming.compact import compact
+from lakeload.sources.warehouse import publish_all
 from lakeload.streaming.ingest import ingest
 
 
@@ -197,7 +198,7 @@ WHERE {VALID_SQL} AND CAST(substr(ID, 2) AS BIGINT) % 3 = 0 GROUP BY Library_ID"
 
 def catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table under a catalog name, read with SQL."""
-    name = f"lakeload_{uuid.uuid4().hex}"
+    name = _table_name()
     register_table(spark, name, new_table(spark, sf_dir))
     return spark.sql(
         f"SELECT Library_ID, count(*) AS n_rows, max(MW) AS max_mw FROM {name} "
@@ -243,24 +244,29 @@ def lookup_in_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [urgent, other, *(lookup_by_id(table, "O77", x) for x in names)])
 
 
+def _table_name() -> str:
+    return f"lakeload_{uuid.uuid4().hex}"
+
+
 def compacted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lookup after a compaction: of compacted rows, the files whose range holds the ID."""
-    root = new_table(spark, sf_dir)
-    compact(spark, root)
-    return lookup_by_id(rows_near(spark, root, "O77"), "O77")
+    """The same lookup after all rows have moved to a warehouse table."""
+    root, name = new_table(spark, sf_dir), _table_name()
+    publish_all(spark, name, root)
+    return lookup_by_id(spark.table(name), "O77")
 
 
 def compacted_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each library after a compaction, a new delivery of all files, and another compaction
-    of what came last. No row is doubled, and none is lost."""
-    folder, root = new_inbox(spark, sf_dir), scratch_dir(spark, "table")
+    """Rows of each library in the row store, and in the warehouse after a new delivery of all files
+    to it and another one yet. No row is doubled, and none is lost."""
+    folder, root, name = new_inbox(spark, sf_dir), scratch_dir(spark, "table"), _table_name()
     ingest(spark, folder, root, options=INBOX)
-    compact(spark, root)
-    ingest(spark, folder, root, options=replace(INBOX, ignore_duplicates=False))
     between = read_table(spark, root).groupBy("Library_ID").agg(F.count(F.lit(1)).alias("n_between"))
     between = written_counts(between)
-    compact(spark, root)
-    after = read_table(spark, root).groupBy("Library_ID").agg(
+    publish_all(spark, name, root)
+    again = replace(INBOX, ignore_duplicates=False, warehouse=name)
+    for _ in range(2):
+        ingest(spark, folder, root, options=again)
+    after = spark.table(name).groupBy("Library_ID").agg(
         F.count(F.lit(1)).alias("n_after"), F.countDistinct("ID").alias("n_ids")
     )
     return between.join(after, "Library_ID")
@@ -276,3 +282,57 @@ def written_counts(counts: DataFrame) -> DataFrame:
 COMPACTED_REINGEST_SQL = f"""{RECORDS_CTE}
 SELECT Library_ID, count(*) AS n_between, count(*) AS n_after, count(DISTINCT ID) AS n_ids
 FROM records WHERE {VALID_SQL} GROUP BY Library_ID"""
+
+
+def _selected_buckets(df: DataFrame) -> str:
+    """What the scan of a bucketed table says about the buckets that it reads."""
+    conf, key = df.sparkSession.conf, "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # else the planner prunes buckets too, but does not say so
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(key, before)
+    return re.search(r"SelectedBucketsCount: (\d+ out of \d+)", plan)[1]
+
+
+def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup over fifty sources, each loaded into the warehouse: one bucket of 16 is read."""
+    folder, root, name = scratch_dir(spark, "inbox"), scratch_dir(spark, "table"), _table_name()
+    part = (F.substring("ID", 2, 20).cast("long") % 50).cast("string")
+    write_tsv(records(spark, sf_dir).withColumn("label", part), folder, "label")
+    ingest(spark, folder, root, options=replace(INBOX, warehouse=name))
+    hits = lookup_by_id(spark.table(name), "O77")
+    n_sources = spark.table(name).select("src").distinct().count()
+    return hits.withColumns({"n_sources": F.lit(n_sources), "buckets": F.lit(_selected_buckets(hits))})
+
+
+BUCKETED_LOOKUP_SQL = f"""{RECORDS_CTE}
+SELECT {TABLE_COLUMNS_SQL}, CAST(50 AS INTEGER) AS n_sources, '1 out of 16' AS buckets
+FROM records WHERE ID = 'O77'"""
+
+
+def warehouse_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each library under the catalog name after a first load and after a second one, and the
+    libraries that a query of one library lists."""
+    folder, root, name = scratch_dir(spark, "inbox"), scratch_dir(spark, "table"), _table_name()
+    options, rows = replace(INBOX, warehouse=name), records(spark, sf_dir)
+    counts = []
+    for delivery in (F.col("Sub_ID_1") == "O", F.col("Sub_ID_1") != "O"):
+        write_inbox(rows.filter(delivery), "Library_ID", folder)
+        ingest(spark, folder, root, options=options)
+        counted = spark.sql(f"SELECT Library_ID, count(*) AS n FROM {name} GROUP BY Library_ID")
+        counts.append(written_counts(counted))
+    table = spark.table(name)
+    listed = []
+    for library in [r.Library_ID for r in counts[1].select("Library_ID").collect()]:
+        files = table.where(F.col("Library_ID") == library).select("ID").inputFiles()
+        listed.append((library, len({path.split("/Library_ID=")[1].split("/")[0] for path in files})))
+    seen = spark.createDataFrame(listed, "Library_ID string, n_listed long")
+    first = counts[0].withColumnRenamed("n", "n_first")
+    return counts[1].join(first, "Library_ID").join(seen, "Library_ID")
+
+
+WAREHOUSE_GROWTH_SQL = f"""{RECORDS_CTE}
+SELECT Library_ID, count(*) FILTER (Sub_ID_1 = 'O') AS n_first, count(*) AS n, CAST(1 AS BIGINT) AS n_listed
+FROM records WHERE {VALID_SQL} GROUP BY Library_ID"""

@@ -26,7 +26,6 @@ from lakeload.functions.schema import (
     TABLE_SCHEMA,
 )
 from lakeload.sources.files import existing_folders, make_folder
-from lakeload.sources.manifest import Manifest, masked_sources, read_manifest, settle
 
 # A record is mostly vectors of digits, tens of kilobytes in all. They never repeat, so no
 # dictionary is tried, and the fastest zstd level also packs them best. Small pages let the
@@ -58,14 +57,10 @@ def verdict_path(root: str, verdict: str) -> str:
 
 
 def create_table(spark: SparkSession, root: str) -> str:
-    """Make the table's folders if absent; returns the qualified root. Safe to repeat.
-
-    Also ends a compaction that was interrupted after its commit.
-    """
+    """Make the table's folders if absent; returns the qualified root. Safe to repeat."""
     root = qualify(spark, root)
     for verdict in (LOADED, REJECTED):
         make_folder(spark, verdict_path(root, verdict))
-    settle(spark, root, verdict_path(root, LOADED))
     return root
 
 
@@ -152,46 +147,13 @@ def _read_verdict(
     )
 
 
-def read_fresh(spark: SparkSession, root: str) -> DataFrame:
-    """Loaded rows that are not compacted yet: the twelve columns, then ``src``."""
-    return _read_verdict(spark, root, LOADED, TABLE_SCHEMA.fields).select(*COLUMNS, "src")
-
-
-def _with_fresh(spark: SparkSession, manifest: Manifest, compacted: DataFrame) -> DataFrame:
-    """Compacted rows that still count, and those that came after the compaction."""
-    if not manifest.settled:
-        return compacted
-    fresh = read_fresh(spark, manifest.root)
-    masked = masked_sources(manifest, fresh)
-    if masked is not None:
-        compacted = compacted.join(masked, "src", "left_anti").select(*COLUMNS, "src")
-    return compacted.union(fresh) if fresh.inputFiles() else compacted
-
-
 def read_table(spark: SparkSession, root: str) -> DataFrame:
     """Loaded rows: the twelve columns in canonical order, then ``src``.
 
-    Lists the table's folders now; keep the result for repeated lookups, up to the next compaction,
-    which removes files.
+    Lists the table's folders now; keep the result for repeated lookups. Rows that were published
+    to a warehouse table are read by its name instead.
     """
-    manifest = read_manifest(spark, qualify(spark, root))
-    if manifest is None:
-        return read_fresh(spark, root)
-    return _with_fresh(spark, manifest, manifest.rows(manifest.folders()))
-
-
-def rows_near(
-    spark: SparkSession, root: str, target_id: str, library_id: str | None = None
-) -> DataFrame:
-    """Like ``read_table``, but of compacted rows only the files whose range holds the ID.
-
-    The manifest names them, so a lookup lists and opens one or two files of a library, however
-    large it is, and the sources that came since the last compaction.
-    """
-    manifest = read_manifest(spark, qualify(spark, root))
-    if manifest is None:
-        return read_fresh(spark, root)
-    return _with_fresh(spark, manifest, manifest.rows(manifest.files_with(target_id, library_id)))
+    return _read_verdict(spark, root, LOADED, TABLE_SCHEMA.fields).select(*COLUMNS, "src")
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
@@ -206,11 +168,9 @@ def register_table(spark: SparkSession, name: str, root: str) -> None:
     """Make the loaded rows queryable by name in the session catalog.
 
     A name that belongs to a table elsewhere is an error, not a table to be taken for this one.
-    So is a compacted table, whose rows lie in several places: make a view of ``read_table``.
+    The catalog learns here what folders there are; a warehouse table learns with each load.
     """
     root = create_table(spark, root)
-    if read_manifest(spark, root) is not None:
-        raise ValueError(f"{root} is compacted: register a view of read_table instead")
     columns = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}"
         for f in [*TABLE_SCHEMA.fields, T.StructField("src", T.StringType())]

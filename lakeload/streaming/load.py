@@ -15,12 +15,12 @@ from lakeload.functions.schema import REJECTED, ROW_STORE_SCHEMA
 from lakeload.operators.align import extra_columns
 from lakeload.operators.layout import cluster_across, cluster_within
 from lakeload.operators.validate import classify_rows
-from lakeload.sources import ledger, table
+from lakeload.sources import ledger, table, warehouse
 from lakeload.sources.discovery import DEFAULT_EXTENSION
 from lakeload.sources.files import note_paths, path_frame, remove_folder, remove_noted
-from lakeload.sources.manifest import held_rows, supersede
 from lakeload.sources.probe import probe_headers, verify_files
 from lakeload.sources.tsv import group_by_header, read_aligned
+from lakeload.sources.warehouse import BUCKETS
 
 _LOG = logging.getLogger(__name__)
 
@@ -39,6 +39,8 @@ class IngestOptions:
     scans it, without a shuffle.
     ``max_file_age``: the stream forgets the names of files that are older than the newest one by
     so much; such files, should they come late, are found by the ledger.
+    ``warehouse``: the catalog name of a warehouse table, of ``buckets`` buckets, that each load moves its
+    rows to; without one they stay in the row store.
     ``verify_first``: decompress every file once before loading. By default only the files of
     a load that failed are examined, which saves a pass over the input.
     """
@@ -53,6 +55,8 @@ class IngestOptions:
     max_file_age: str = "30d"
     verify_first: bool = False
     headers_per_write: int = 32
+    warehouse: str | None = None
+    buckets: int = BUCKETS
 
     def files_per_load(self, spark: SparkSession) -> int:
         return self.max_files or max(500, 2 * spark.sparkContext.defaultParallelism)
@@ -94,7 +98,9 @@ def load_files(
         remove_folder(spark, leftover)
     # A refused file may have rows in the table from an earlier delivery; they stay.
     kept = [source_key(path) for path in outcome.refused]
-    outcome.counts.update({**held_rows(spark, root, kept), **_count_rows(spark, root, kept)})
+    outcome.counts.update(_count_rows(spark, root, kept))
+    if options.warehouse:
+        outcome.counts.update(warehouse.held_rows(spark, options.warehouse, kept))
     entries = [_entry(file, outcome) for file in probed]
     ledger.append_entries(
         spark.createDataFrame(entries, ledger.ENTRY_SCHEMA), root, load_id
@@ -196,7 +202,8 @@ def _write(
         raise RuntimeError(
             f"scanned {rows_seen} rows but the table holds {sum(counts.values())}"
         )
-    supersede(spark, root, sources)
+    if options.warehouse:
+        warehouse.publish(spark, options.warehouse, root, sources, options.buckets)
     return counts
 
 

@@ -10,9 +10,9 @@ from conftest import record, tsv
 from pyspark.sql import functions as F
 
 from lakeload.functions.paths import qualify, source_key
-from lakeload.functions.schema import COLUMNS
+from lakeload.functions.schema import COLUMNS, PARTITION_COLUMNS
 from lakeload.operators.lookup import lookup_by_id, preview
-from lakeload.sources import ledger
+from lakeload.sources import ledger, table
 from lakeload.sources.discovery import discover_files
 from lakeload.sources.table import read_rejects, read_table, register_table
 from lakeload.streaming import ingest as ingest_module
@@ -45,14 +45,6 @@ def parquet_files(inbox):
     ]
 
 
-def executed_writes(spark):
-    """Physical plans of the row-store writes so far."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    runs = store.executionsList()
-    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
-    return [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and "[verdict" in p]
-
-
 def test_rows_arrive_typed_and_rejects_are_kept(spark, inbox):
     inbox.put("a.gz", [record("1", MW="0.1"), record("2", MW="abc"), record(None)])
     inbox.put("b.gz", [record("3")], [c for c in COLUMNS if c != "FP3"])
@@ -378,14 +370,25 @@ def test_rounds_of_a_batch_run(spark, inbox):
 # Layout
 
 
-def test_small_sources_are_written_without_a_shuffle_and_with_one_sort(spark, inbox):
+def test_small_sources_are_written_without_a_shuffle_and_with_one_sort(spark, inbox, monkeypatch):
+    written = []
+    append = table.append_rows
+
+    def noted(rows, *args, **kwargs):
+        written.append(rows.select("*")._jdf.queryExecution().executedPlan())
+        append(rows, *args, **kwargs)
+
+    monkeypatch.setattr(table, "append_rows", noted)
     for name in "ab":
         inbox.put(f"{name}.gz", [record(f"{name}{i}") for i in range(100)])
-    before = len(executed_writes(spark))
     ingest(spark, inbox.folder, inbox.root)
-    (plan,) = executed_writes(spark)[before:]
-    tree = plan.split("\n\n")[0]
-    assert "Exchange" not in tree and tree.count("Sort") == 1 and tree.count("Scan csv") == 1
+    (plan,) = written
+    tree = plan.toString()
+    assert "Exchange" not in tree and tree.count("Sort ") == 1 and tree.count("FileScan csv") == 1
+    # The order that the writer asks for, on columns that are not nullable: it adds no sort of its own.
+    order = plan.outputOrdering()
+    keys = [order.apply(i).child() for i in range(3)]
+    assert [(k.name(), k.nullable()) for k in keys] == [(c, False) for c in PARTITION_COLUMNS]
 
 
 def test_split_source_with_a_hot_id(spark, inbox):
