@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.functions.paths import scratch_dir
+from lakeload.sources.files import remove_folder
 
 # Rows a join side may have to be broadcast; they are keys and numbers, some 50 bytes each.
 BROADCAST_ROWS = 1_000_000
@@ -31,7 +32,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.written_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``written`` has made, once all that is read from it has been written in turn.
+
+    Of a table that was not written as it is, nothing is removed.
+    """
+    for df in tables:
+        if getattr(df, "written_path", None):
+            remove_folder(df.sparkSession, df.written_path)
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

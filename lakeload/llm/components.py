@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import written
+from lakeload.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has columns ``a`` and ``b`` of one comparable type. Large and small stars alternate
     (Kiveris and others, 2014) until the edges no longer change, a number of rounds that grows
-    with the logarithm of the longest path. Each round is written to the shared folder. A node
+    with the logarithm of the longest path. Each round is written to the shared folder, in place of the
+    one before, and the result is a table to ``discard``. A node
     with very many neighbours is a skewed join key, not a group: its least neighbour is
     aggregated before the shuffle.
     """
@@ -42,6 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
         if state == seen or not state[0]:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = state
-        stars = written(_small_star(_large_star(stars)), "stars")
+            found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            found.written_path = stars.written_path
+            return found
+        seen, before = state, stars
+        stars = written(_small_star(_large_star(before)), "stars")
+        discard(before)

@@ -5,7 +5,7 @@ principle some segment is equal and another differs in one bit at most. The equa
 it is; the other is decoded with the binary Golay code [23,12,7], a perfect code: each word of 23
 bits lies within three bits of just one codeword. A word three bits away also gets the keys of
 the five codewords four bits away from it, so that words one bit apart always share a key. Rows
-that meet under a key are compared bit by bit.
+that meet under a key are compared bit by bit. Of each component of links one document may stay.
 
 Results for odd input: a null text counts as the empty one, whose fingerprint is zero and which
 links like any other; a null id takes part with its text but is the least id of no class; texts
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import checked_broadcast, row_key, slices, text_of, without, written
+from lakeload.llm.common import checked_broadcast, discard, row_key, slices, text_of, without, written
 from lakeload.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -281,7 +281,21 @@ def golay_links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     groups = found.where("wide").groupBy("a").agg(F.min("b").alias("least"))
     joined = found.where("wide").join(groups, "a").where(F.col("b") != F.col("least"))
     tied = joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return found.where("not wide").select("a", "b").union(tied).distinct()
+    links = written(found.where("not wide").select("a", "b").union(tied).distinct(), "links")
+    discard(found)
+    return links
+
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id``, ``text_key``, ``f0``), and ``f0``, ``least`` id and ``root`` of each fingerprint."""
+    prints = written(fingerprints(docs), "fingerprints")
+    nodes = written(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(golay_links(nodes.select(F.col("f0").alias("node"), "f0")))
+    rooted = nodes.join(found, nodes["f0"] == found["node"], "left")
+    root = F.coalesce("component", "f0").alias("root")
+    owners = written(rooted.select("f0", "least", root), "roots")
+    discard(nodes, found)
+    return prints, owners
 
 
 def simhash_classes(docs: DataFrame) -> DataFrame:
@@ -290,12 +304,7 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
     Fingerprints link at two differing bits or fewer; a component's id is its least ``doc_id``.
     Equal fingerprints are one node, so copies cost a row of an aggregate and no pair.
     """
-    prints = written(fingerprints(docs).select("doc_id", "f0"), "fingerprints")
-    nodes = written(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(golay_links(nodes.select(F.col("f0").alias("node"), "f0")))
-    rooted = nodes.join(found, nodes["f0"] == found["node"], "left")
-    root = F.coalesce("component", "f0").alias("root")
-    owners = written(rooted.select("f0", "least", root), "roots")
+    prints, owners = _rooted(docs)
     ids = owners.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = owners.join(ids, "root").select("f0", "component_id")
     print_hex = F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint")
@@ -304,216 +313,31 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 
 # --- One document of each group -------------------------------------------------------------------
 
-SIMILARITY, WORDS = 0.8, 5
-# One text in so many is looked at to tell common shingles, which come last in a prefix, and the
-# most of them that tasks get. Both change what a run costs and not what it finds.
-SAMPLE, LEAST_COMMON, COMMON = 16, 4, 200_000
-# Members of a bucket compared with each other, or with as many others, in one task.
-BLOCK = 512
-
-
-def _shingle_set(text: str, words: int) -> np.ndarray:
-    """Distinct shingle hashes of a text; texts without words share one."""
-    found = np.unique(shingle_hashes(text, words))
-    return (found if len(found) else np.zeros(1, np.uint64)).astype(np.int64)
-
-
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``text_key`` and the distinct shingle hashes of each row's text."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [_shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            arrays = [batch.column("text_key"), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["text_key", "shingles"])
-
-    return docs.select("text_key", "text").mapInArrow(work, "text_key long, shingles array<long>")
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many texts of a sample share, and in how many each is."""
-    some = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLE)) == 0)
-    each = _shingle_sets(some, words).select(F.explode("shingles").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts.where(F.col("n") >= LEAST_COMMON), "common")
-    least = LEAST_COMMON
-    while counts.where(F.col("n") >= least).count() > COMMON:
-        least *= 2
-    found = counts.where(F.col("n") >= least).toArrow()
-    shingles, often = found.column("shingle").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], often[order]
-
-
-def _prefixes(texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """``node``, its number ``n`` of shingles, and those of its prefix with their ``place``.
-
-    Shingles have one order for all texts: rare ones by hash, then common ones from the less common
-    on. Sets of that similarity have more shingles in common than one of them has after its prefix,
-    so the first that they share is in the prefixes of both.
-    """
-    common, often = _common(texts, words)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sizes, lengths, found = [], [], [np.zeros(0, np.int64)]
-            for text in batch.column("text").to_pylist():
-                own = _shingle_set(text, words)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    own = own[np.argsort(np.where(common[at] == own, often[at], 0), kind="stable")]
-                length = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
-                sizes.append(len(own))
-                lengths.append(length)
-                found.append(own[:length])
-            lengths = np.array(lengths, np.int64)
-            firsts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            columns = [
-                np.repeat(batch.column("text_key").to_numpy(), lengths),
-                np.repeat(np.array(sizes, np.int32), lengths),
-                (np.arange(lengths.sum()) - firsts).astype(np.int32),
-                np.concatenate(found),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "place", "shingle"])
-
-    return texts.select("text_key", "text").mapInArrow(work, "node long, n int, place int, shingle long")
-
-
-def _enough(n: Column, place: Column, other_n: Column, other_place: Column, similarity: float) -> Column:
-    """Whether sets may be that similar whose first shingle in common is at these places."""
-    need = F.ceil(F.lit(similarity / (1 + similarity)) * (n + other_n) - F.lit(1e-6))
-    return F.least(n - place, other_n - other_place) >= need
-
-
-def _cross_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of each bucket's members that are of different classes and may be similar.
-
-    ``members`` has ``shingle``, ``node``, ``n``, ``place``, its class ``root``, and the number
-    ``blocks`` into which the bucket is dealt. Each two blocks meet under a key of their own, so the
-    members of a large bucket are spread over tasks.
-    """
-    own = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks"))
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    key = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key")
-    first, one_block = F.col("own") <= F.col("other"), F.col("own") == F.col("other")
-    rows = dealt.select(key, "node", "root", "n", "place", first.cast("long").alias("first"), one_block.cast("long").alias("one"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_a, held_b, size = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            made = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (held_a, held_b)]
-            held_a.clear()
-            held_b.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["a", "b"])
-
-        for _, node, root, n, place, first, one in _buckets(batches):
-            everyone = np.arange(len(node))
-            for i in np.flatnonzero(first).tolist():
-                # In one block each two members meet once, else only with those of the other block.
-                others = everyone[i + 1 :] if one[i] else np.flatnonzero(first == 0)
-                need = np.ceil(similarity / (1 + similarity) * (n[i] + n[others]) - 1e-6)
-                may = np.minimum(n[i] - place[i], n[others] - place[others]) >= need
-                near = node[others[may & (root[others] != root[i])]]
-                if len(near):
-                    held_a.append(np.minimum(node[i], near))
-                    held_b.append(np.maximum(node[i], near))
-                    size += len(near)
-                if size > 100_000:
-                    yield flush()
-                    size = 0
-        yield flush()
-
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "node")
-    return sorted_rows.mapInArrow(work, "a long, b long").distinct()
-
-
-def _similar(candidates: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs ``a``, ``b`` among ``candidates``, a written table, whose texts are that similar."""
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    wanted = checked_broadcast(written(wanted, "candidate-nodes"))
-    chosen = texts.join(wanted, F.col("text_key") == F.col("node"), "left_semi")
-    sets = written(
-        _shingle_sets(chosen, words).groupBy("text_key").agg(F.first("shingles").alias("shingles")),
-        "shingle-sets",
-    )
-    one = sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    near = one.join(checked_broadcast(candidates), "a").join(two, "b").where(both >= F.lit(similarity) * union)
-    return written(near.select("a", "b"), "similar")
-
-
-def similar_texts(
-    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
-) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``node``, ``least`` id) and edges (``a``, ``b``) whose classes are those of all pairs
-    of texts of that similarity.
-
-    A node is a distinct text, named by its hash; similarity is the Jaccard similarity of the sets
-    of ``words``-word shingles. Texts that are similar share a shingle of their prefixes, which is a
-    bucket's key. Each member is compared with the least of its bucket, which joins a group of
-    copies by a tree. Then all members that are still in different classes are compared, but for
-    pairs that sizes and places in the order exclude. Buckets of all sizes go the same way.
-    """
-    keyed = docs.select(*row_key())
-    nodes = keyed.groupBy(F.col("text_key").alias("node")).agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")
-    )
-    nodes = written(nodes, "text-nodes")
-    plain = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
-    again = written(nodes.where("rows > 1").select("node", "least"), "copied-texts")
-    other = (F.col("text_key") == F.col("node")) & ~F.col("_id").eqNullSafe(F.col("least"))
-    texts = plain.join(checked_broadcast(again), other, "left_anti").select("text_key", "text")
-
-    prefixes = written(_prefixes(texts, similarity, words), "prefixes")
-    head = F.min(F.struct("node", "n", "place")).alias("head")
-    buckets = prefixes.groupBy("shingle").agg(head, F.max("node").alias("last"))
-    buckets = written(buckets.where(F.col("head.node") != F.col("last")).select("shingle", "head"), "buckets")
-    met = prefixes.join(checked_broadcast(buckets), "shingle").distinct()
-    met = written(met.select("shingle", "node", "n", "place", "head"), "met")
-
-    may = _enough(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place"), similarity)
-    tied = met.where((F.col("node") != F.col("head.node")) & may)
-    heads = written(tied.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
-    edges = _similar(heads, texts, similarity, words)
-
-    rooted = met.join(components(edges), "node", "left")
-    rooted = rooted.select("shingle", "node", "n", "place", F.coalesce("component", "node").alias("root"))
-    rooted = written(rooted, "rooted")
-    size = F.count(F.lit(1)).alias("size")
-    mixed = rooted.groupBy("shingle").agg(size, F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("low != high and size > 2")  # of two, one is the head
-    mixed = written(mixed.select("shingle", F.ceil(F.col("size") / BLOCK).alias("blocks")), "mixed")
-    pairs = _cross_pairs(rooted.join(checked_broadcast(mixed), "shingle"), similarity)
-    pairs = written(pairs.join(heads, ["a", "b"], "left_anti"), "candidates")
-    edges = edges.union(_similar(pairs, texts, similarity, words))
-    return nodes.select("node", "least"), edges
-
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``text_key``) of all rows but the one that stays of each group.
+    """(``doc_id``, ``text_key``) of all rows but the one that stays of each component, written.
 
-    The least id of a group stays, of several texts under it that with the least hash. Rows alike
-    in id and text share a key, so of those the one that stays is not told apart here.
+    The least id of a component stays, of several texts under it that with the least hash; a known id
+    stays rather than none. Rows alike in id and text share a key, so of those the one that stays is
+    not told apart here.
     """
-    nodes, edges = similar_texts(docs)
-    found = components(edges)
-    rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
-    # Null ids come last: a known id stays rather than none.
-    order = F.struct(F.col("least").isNull().alias("unknown"), F.col("least"), F.col("node"))
-    rooted = written(rooted, "rooted")
-    stays = rooted.groupBy("root").agg(F.min(order).alias("stays"))
-    classes = rooted.join(stays, "root").select("node", "stays")
-    keys = docs.select(*row_key()).alias("d").join(classes, F.col("text_key") == F.col("node"))
-    kept = (F.col("text_key") == F.col("stays.node")) & F.col("doc_id").eqNullSafe(F.col("stays.least"))
-    return keys.where(~kept).select("doc_id", "text_key")
+    prints, owners = _rooted(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    # Once for each fingerprint, then for each component: copies are aggregated before any join.
+    firsts = prints.groupBy("f0").agg(F.min(order).alias("first"))
+    named = written(firsts.join(owners.select("f0", "root"), "f0"), "firsts")
+    stays = named.groupBy("root").agg(F.min("first").alias("stays"))
+    classes = named.join(stays, "root").select("f0", "stays")
+    rows = prints.join(classes, "f0")
+    kept = (F.col("text_key") == F.col("stays.text_key")) & F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
+    gone = written(rows.where(~kept).select("doc_id", "text_key"), "copies")
+    discard(prints, owners, named)
+    return gone
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, all columns kept."""
-    single = without(docs, written(copies(docs), "copies"))
+    """``docs`` with one row of each component of linked fingerprints, all columns kept."""
+    single = without(docs, copies(docs))
     # Rows alike in id and text: keep one. Only keys that occur twice are shuffled.
     again = single.select(*row_key()).groupBy("doc_id", "text_key").count().where("count > 1")
     again = written(again.select("doc_id", "text_key"), "repeated")

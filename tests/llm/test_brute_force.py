@@ -115,22 +115,6 @@ def test_links_of_large_buckets_are_exact(spark, monkeypatch):
     assert {r.node: r.component for r in found} == {w: c for w, c in expected.items() if w != c}
 
 
-def test_one_of_each_keeps_what_is_not_similar(spark, frame):
-    draw = random.Random(5)
-    base = [[f"w{draw.randrange(500)}" for _ in range(300)] for _ in range(20)]
-    rows, i = [], 0
-    for words in base:
-        copy, far = list(words), list(words)
-        copy[50] = "changed"
-        for at in range(0, 300, 10):
-            far[at] = "other"
-        for kind in (words, words, copy, far):
-            rows.append((i, " ".join(kind)))
-            i += 1
-    kept = sorted(r.doc_id for r in simhash.one_of_each(frame(rows)).collect())
-    assert kept == sorted([4 * k for k in range(20)] + [4 * k + 3 for k in range(20)])
-
-
 def test_fingerprints_of_edits(spark):
     got = {r.doc_id: r for r in queries.op3_fingerprints(spark, SF_DIR).collect()}
     plain, gaps = texts(spark), []

@@ -1,96 +1,81 @@
-"""The near-duplicate stage against all pairs, compared by plain sets."""
+"""The near-duplicate stage against fingerprints compared pair by pair."""
 
 import random
 
 from lakeload.llm import simhash
+from lakeload.llm.simhash import simhash64
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def vocabulary(rng, size=4000):
-    return ["".join(rng.choices(LETTERS, k=rng.randint(2, 8))) for _ in range(size)]
+def texts_of_groups(rng, groups=12):
+    """Copies with a few changed words, of texts long enough that some differ in no more than two bits."""
+    pool = ["".join(rng.choices(LETTERS, k=rng.randint(2, 8))) for _ in range(3000)]
+    for _ in range(groups):
+        base = rng.choices(pool, k=rng.randint(200, 1200))
+        yield " ".join(base)
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = rng.choice(pool)
+            yield " ".join(words)
 
 
-def edited(rng, words, pool, edits):
-    words = list(words)
-    for _ in range(edits):
-        words[rng.randrange(len(words))] = rng.choice(pool)
-    return words
-
-
-def jaccard(one, two):
-    both = len(one & two)
-    return both / (len(one) + len(two) - both)
-
-
-def shingles(text):
-    words = text.split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def classes(spark, frame, texts):
-    """Classes by the stage, and by comparing all pairs, as sets of row numbers."""
-    docs = frame(list(enumerate(texts)))
-    nodes, edges = simhash.similar_texts(docs)
-    ids = {r.node: r.least for r in nodes.collect()}
-    root = {r.node: r.component for r in simhash.components(edges).collect()}
-    found = {}
-    for node, row in ids.items():
-        found.setdefault(root.get(node, node), set()).add(row)
-    sets = [shingles(t) for t in texts]
-    above = list(range(len(texts)))
+def plain_stays(rows):
+    """(id, text) of the rows that stay: of each component the least id, known ones first."""
+    prints = [simhash64(t or "")[0] for _, t in rows]
+    above = list(range(len(rows)))
 
     def top(i):
         while above[i] != i:
-            above[i] = above[above[i]]
             i = above[i]
         return i
 
-    for i, one in enumerate(sets):
+    for i, one in enumerate(prints):
         for j in range(i):
-            if min(len(one), len(sets[j])) >= 0.8 * max(len(one), len(sets[j])) and top(i) != top(j):
-                if jaccard(one, sets[j]) >= 0.8:
-                    above[top(i)] = top(j)
-    expected = {}
-    for i in range(len(texts)):
-        expected.setdefault(top(i), set()).add(i)
-    return sorted(map(sorted, found.values())), sorted(map(sorted, expected.values()))
-
-
-def test_two_edits_of_one_text_stay_with_it(spark, frame):
-    rng = random.Random(1)
-    pool = vocabulary(rng)
-    texts = []
-    for _ in range(60):  # about 0.85 to the original, about 0.72 between two edits
-        words = rng.choices(pool, k=120)
-        edits = [" ".join(edited(rng, words, pool, 2)) for _ in range(6)]
-        texts += [" ".join(words), *edits]
-    found, expected = classes(spark, frame, texts)
-    assert found == expected
-
-
-def test_similar_texts_of_unlike_words_are_found(spark, frame):
-    rng = random.Random(2)
-    pool = vocabulary(rng)
-    texts = []
-    for _ in range(20):  # few distinct words, to which the copy adds a line of others
-        words = rng.choices(rng.sample(pool, 7), k=300)
-        texts += [" ".join(words), " ".join(words + rng.sample(pool, 15))]
-    found, expected = classes(spark, frame, texts)
-    assert found == expected
-    assert len(found) == 20
-
-
-def test_large_groups_keep_their_links(spark, frame):
-    rng = random.Random(3)
-    pool = vocabulary(rng)
-    words = rng.choices(pool, k=120)
-    texts = [" ".join(words)]
-    for _ in range(1200):  # each but for the first is similar to few others
-        first = edited(rng, words, pool, 2)
-        texts.append(" ".join(first))
-        if rng.random() < 0.1:
-            texts.append(" ".join(edited(rng, first, pool, 2)))
-    texts = sorted(set(texts))
-    found, expected = classes(spark, frame, texts)
+            if (one ^ prints[j]).bit_count() <= 2:
+                above[top(i)] = top(j)
+    stays = {}
+    for i, (doc, _) in enumerate(rows):
+        root = top(i)
+        stays[root] = min(stays.get(root, (True, 0)), (doc is None, doc or 0))
+    return sorted(stays.values())
+
+
+def kept(frame, rows):
+    out = simhash.one_of_each(frame(rows))
+    return out, sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+
+
+def test_one_of_each_component_stays(frame):
+    rng = random.Random(5)
+    rows = list(enumerate(texts_of_groups(rng)))
+    rng.shuffle(rows)
+    rows += [(None, rows[0][1]), (None, "alone and without an id"), (900, ""), (901, None), (902, " . "[:1])]
+    out, found = kept(frame, rows)
+    expected = plain_stays(rows)
     assert found == expected
+    assert len(expected) < len(rows) - 30  # groups there are
+    assert out.columns == frame(rows).columns
+
+
+def test_a_large_group_leaves_one(frame, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rng = random.Random(6)
+    base = [f"word{rng.randrange(500)}" for _ in range(900)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(40, 160):
+        words = list(base)
+        words[rng.randrange(900)] = f"other{i}"
+        rows.append((i, " ".join(words)))
+    rows.append((500, "a clean text that is like no other here"))
+    _, found = kept(frame, rows)
+    assert found == plain_stays(rows)
+    assert (False, 500) in found
+
+
+def test_rows_alike_in_id_and_text(frame):
+    rows = [(7, "the same text twice"), (7, "the same text twice"), (7, "quite another text under that id here")]
+    out, found = kept(frame, rows)
+    assert found == [(False, 7), (False, 7)]
+    assert sorted(r.text for r in out.collect()) == sorted({t for _, t in rows})
