@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each component of SimHash fingerprints that link at two bits or fewer."""
     return simhash.one_of_each(docs)
 
 
@@ -50,7 +50,7 @@ STAGES = [
     ("tokens", tokenized),
 ]
 
-# Language model, similarity classes and tokenizer are not SQL; tests compare with brute force.
+# Language model, fingerprint classes and tokenizer are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
