@@ -1,6 +1,6 @@
 """URL rules by a sort-merge range join.
 
-A host's labels in reverse, each closed by a comma, make a key under which a host and all its
+A host's labels in reverse, each closed by a zero character, make a key under which a host and all its
 subdomains form one interval. Urls and the starts of rule intervals are sorted together; a sweep
 keeps a stack of the intervals that hold the current key. Intervals are nested or apart, so the
 stack is never deeper than a host has labels. Each entry has its rules' paths by length.
@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULE_SCHEMA = "host string, path string, action string"
-# Rows of one sorted range, and rows sampled for each bound between ranges.
-RANGE_ROWS, SAMPLED = 20_000, 30
+# Rows of one sorted range, rows sampled for each bound between ranges, and the most ranges there are: a
+# range is swept as a stream, so it may be long, and what the driver holds of them is bounded.
+RANGE_ROWS, SAMPLED, RANGES = 20_000, 30, 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,12 +39,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    """Labels in reverse order, each followed by a comma."""
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(","))
+    """Labels in reverse order, each followed by a zero character, which is spelled otherwise in a label."""
+    plain = F.replace(F.replace(host, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, "\\.")), "\x00"), F.lit("\x00"))
 
 
 def _after(key: bytes) -> bytes:
-    """The least key behind all that start with ``key``, which ends in a comma."""
+    """The least key behind all that start with ``key``, which ends in a zero character."""
     return key[:-1] + bytes([key[-1] + 1])
 
 
@@ -82,7 +84,7 @@ class Stack:
 def _bounds(keys: DataFrame, rows: int) -> list[tuple[bytes, int]]:
     """Bounds of sorted ranges, from a sample that balances the ranges and changes no result."""
     total = keys.count()
-    n = -(-total // rows)
+    n = min(RANGES, -(-total // rows))
     if n < 2:
         return []
     share = min(1.0, SAMPLED * n / total)
