@@ -7,7 +7,8 @@ document and different values different ones. Nothing is looked up and nothing i
 Results for odd input: a null text stays null, an empty one empty, null ids and repeated rows
 pass through; texts are scanned whole, whatever their length; a value that fails its check (a
 card number with a wrong check digit, 31 February) is left as it is; of overlapping values the
-kind listed first wins, then the earlier one. Other columns of the input are not read.
+kind listed first wins, then the earlier one; an empty table gives no rows. Other columns of the input
+are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +27,23 @@ from pyspark.sql import functions as F
 from lakeload.llm.common import slices
 
 ROUNDS = 10
+# Characters of an email address that are permuted together: half of so many are mixed by one digest.
+EMAIL = 96
 KINDS = ("email", "iban", "card", "date", "ip", "ssn", "phone")
 # First and last day of the permuted calendar.
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
 
+# Country codes of one and of two digits; all others have three.
+ONE_DIGIT_CODES = ("1", "7")
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 "
+    "60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
 _DIGITS = re.compile(r"\d")
-_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})$")
+# Local parts are read backwards from the @, whatever their length.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}")
 _PATTERNS = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -89,20 +100,28 @@ def _refill(pattern: str, digits: str) -> str:
 
 
 def _email(value: str, key: bytes) -> str | None:
+    """Letters and digits, but those of the top-level domain, are permuted together, in a name of over
+    ``EMAIL`` characters in pieces of so many."""
     name, _, top = value.rpartition(".")
+    pieces = [name[i : i + EMAIL] for i in range(0, len(name), EMAIL)]
+    made = [_email_piece(piece, key, f"email{i or ''}") for i, piece in enumerate(pieces)]
+    return "".join(made) + "." + top
+
+
+def _email_piece(name: str, key: bytes, tweak: str) -> str:
     kinds = [10 if c.isdigit() else 26 if c.isalpha() else 0 for c in name]
     number, size = 0, 1
     for c, n in zip(name.lower(), kinds, strict=True):
         if n:
             number, size = number * n + (ord(c) - (48 if n == 10 else 97)), size * n
-    number, out = permute(number, size, key, "email"), []
+    number, out = permute(number, size, key, tweak), []
     for c, n in zip(reversed(name), reversed(kinds), strict=True):
         if n:
             number, d = divmod(number, n)
             made = chr(d + (48 if n == 10 else 97))
             c = made.upper() if c.isupper() else made
         out.append(c)
-    return "".join(reversed(out)) + "." + top
+    return "".join(reversed(out))
 
 
 def _card(value: str, key: bytes) -> str | None:
@@ -142,29 +161,34 @@ def _iban(value: str, key: bytes) -> str | None:
 
 
 def _date(value: str, key: bytes) -> str | None:
-    """Year first with hyphens; else month first if that is a date, else day first (days 13 on)."""
+    """Year first with hyphens; else month first if that is a date, else day first (days 13 on).
+
+    Days up to 12 and those above are permuted apart, whatever the format: the image can then be read
+    in the order of the original.
+    """
     a, b, c = re.split(r"[-/.]", value)
     separator = value[len(a)]
     if separator == "-":
-        orders = [((int(a), int(b), int(c)), "{0:04d}-{1:02d}-{2:02d}", False)]
+        orders = [((int(a), int(b), int(c)), "{0:04d}-{1:02d}-{2:02d}")]
     elif separator == ".":
-        orders = [((int(c), int(b), int(a)), "{2:02d}.{1:02d}.{0:04d}", False)]
+        orders = [((int(c), int(b), int(a)), "{2:02d}.{1:02d}.{0:04d}")]
     else:
         orders = [
-            ((int(c), int(a), int(b)), "{1:02d}/{2:02d}/{0:04d}", False),
-            ((int(c), int(b), int(a)), "{2:02d}/{1:02d}/{0:04d}", True),
+            ((int(c), int(a), int(b)), "{1:02d}/{2:02d}/{0:04d}"),
+            ((int(c), int(b), int(a)), "{2:02d}/{1:02d}/{0:04d}"),
         ]
-    for parts, form, late in orders:
+    for parts, form in orders:
         try:
-            day = datetime.date(*parts).toordinal() - FIRST_DAY
+            date = datetime.date(*parts)
         except ValueError:
             continue
+        day = date.toordinal() - FIRST_DAY
         if not 0 <= day < DAYS:
             return None
-        while True:
+        while True:  # in all formats alike, so that equal dates stay equal
             day = permute(day, DAYS, key, "date")
             made = datetime.date.fromordinal(day + FIRST_DAY)
-            if not late or made.day > 12:
+            if (made.day > 12) == (date.day > 12):
                 return form.format(made.year, made.month, made.day)
     return None
 
@@ -193,9 +217,17 @@ def _ssn(value: str, key: bytes) -> str | None:
 
 
 def _phone(value: str, key: bytes) -> str | None:
-    """The country code stays; all other digits are permuted together."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-    kept = head.group() if head else "+" if value[0] == "+" else ""
+    """The country code stays; all other digits are permuted together.
+
+    Where the code ends is told by its digits, not by what stands between them, so that a number has
+    one pseudonym however it is spaced.
+    """
+    kept = ""
+    if value[0] == "+":
+        code = "".join(_DIGITS.findall(value))
+        length = 1 if code[0] in ONE_DIGIT_CODES else 2 if code[:2] in TWO_DIGIT_CODES else 3
+        places = [m.end() for m in _DIGITS.finditer(value)]
+        kept = value[: places[length - 1]]
     rest = value[len(kept) :]
     digits = "".join(_DIGITS.findall(rest))
     if not 7 <= len(digits) <= 15:
@@ -224,13 +256,27 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
-        local = _LOCAL.search(text[max(0, at - 64) : at])
         domain = _DOMAIN.match(text, at + 1)
-        if local and domain:
-            yield at - len(local.group()), domain.end()
+        start = _local_start(text, at) if domain else at
+        if start < at:
+            yield start, domain.end()
         at = text.find("@", at + 1)
 
 
+def _local_start(text: str, at: int) -> int:
+    """Where the local part that ends at ``at`` starts: with a letter or digit, as far back as it goes."""
+    size = 64
+    while True:
+        low = max(0, at - size)
+        start = at - _LOCAL.match(text[low:at][::-1]).end()
+        if start > low or not low:
+            break
+        size *= 2
+    while start < at and text[start] in "._%+-":
+        start += 1
+    return start
+
+
 def _spans(kind: str, pattern: re.Pattern, text: str, key: bytes) -> Iterator[tuple[int, int]]:
     """Matches, cut back to the longest valid start where more groups were taken for a part."""
     for match in pattern.finditer(text):
