@@ -2,8 +2,9 @@
 
 Strong spans (assignments, access identifiers, long hexadecimal runs) are always reported. Weak
 candidates (account names, short assigned values, mixed blobs, endpoints) are reported only where
-the parts that complement them lie within a scope around them: a range join of each text's spans
-with themselves, done as range windows that count roles, so that no pairs are made.
+the parts that complement them lie within a scope around them and are no part of the same
+characters: a range join of each text's spans with themselves, done as range windows that look for the
+nearest end and the farthest start of each role, so that no pairs are made.
 
 Results for odd input: a null text counts as the empty one and has no spans; null ids and
 repeated rows pass through, one result each; texts are scanned whole; spans with the same start
@@ -99,11 +100,17 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     real = F.coalesce(real, F.lit(False))
     ranks = {role: [KINDS.index(k) for k in kinds] for role, kinds in
              {"identifier": _IDENTIFIERS, "secret": _SECRETS, "endpoint": ("endpoint",)}.items()}
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    has = {
-        role: F.max(real & F.col("rank").isin(among)).over(near) for role, among in ranks.items()
-    }
-    counted = starts.select("*", real.alias("real"), *[has[r].alias(f"near_{r}") for r in has])
+    by_start = Window.partitionBy("row").orderBy("start")
+    before, after = by_start.rangeBetween(-scope, -1), by_start.rangeBetween(0, scope)
+
+    def has(among: list[int]) -> Column:
+        """Whether a span of these kinds ends before this one starts, or starts after it ends."""
+        own = real & F.col("rank").isin(among)
+        ended = F.min(F.when(own, F.col("end"))).over(before) <= F.col("start")
+        started = F.max(F.when(own, F.col("start"))).over(after) >= F.col("end")
+        return F.coalesce(ended, F.lit(False)) | F.coalesce(started, F.lit(False))
+
+    counted = starts.select("*", real.alias("real"), *[has(among).alias(f"near_{role}") for role, among in ranks.items()])
     strong = F.col("rank") < len(STRONG)
     linked = (
         F.when(F.col("rank") == KINDS.index("account"), F.col("near_secret"))
