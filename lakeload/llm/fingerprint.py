@@ -15,6 +15,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from lakeload.llm.common import slices, text_of, written
 
 PLACES, SEED = 64, 7
 # Rows of a range of ids, which one task reads in order.
-RANGE_ROWS = 5000
+RANGE_ROWS, SAMPLED, RANGES = 5000, 30, 4096
 # Weighted words whose draws a worker keeps, about half a kilobyte each.
 HELD = 150_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -160,25 +161,43 @@ def fingerprints(docs: DataFrame, places: int = PLACES) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {kind}, fingerprint string")
 
 
+def _is_text(docs: DataFrame) -> bool:
+    return docs.schema["doc_id"].dataType.simpleString() == "string"
+
+
+def _bounds(docs: DataFrame, n: int, total: int) -> list:
+    """Bounds of ``n`` ranges of ids, from a sample that balances the ranges and changes no result."""
+    if n < 2:
+        return []
+    order = F.col("doc_id") if _is_text(docs) else F.col("doc_id").cast("double")
+    ids = docs.select(order.alias("id")).where("id IS NOT NULL").sample(min(1.0, SAMPLED * n / total), seed=1)
+    found = sorted(r.id for r in ids.collect())
+    return sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
+
+
 def ranges_with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """Documents dealt out by ranges of ``doc_id``, sorted, each range with the row that follows it.
 
     Columns ``part``, ``follower`` (true for the added row, which comes last), ``doc_id`` and
-    ``text``. Texts are shuffled once. The driver holds a bound and a first row's key for each range.
+    ``text``. Texts are shuffled once. The driver holds a bound and a first row's key for each
+    range, of which there are ``RANGES`` at most.
     """
     plain = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
-    ids = docs.select(F.col("doc_id").cast("double").alias("id"))
-    n = max(1, -(-ids.count() // rows))
-    shares = [i / n for i in range(1, n)]
-    bounds = np.array(sorted(set(ids.approxQuantile("id", shares, 0.1 / n))) if shares else [])
+    total = docs.count()
+    n = min(RANGES, max(1, -(-total // rows)))
+    bounds = _bounds(docs, n, total)
 
     @F.pandas_udf("long")
-    def part_of(number):
+    def part_of(ids):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, number.fillna(-np.inf).to_numpy(), "right"))
+        known = ids.notna()
+        parts = [bisect_right(bounds, i) if k else 0 for i, k in zip(ids.tolist(), known)]
+        return pd.Series(parts, dtype="int64")
 
-    dealt = plain.withColumn("part", part_of(F.col("doc_id").cast("double")))
+    # Ids in text keep their own order, all others that of numbers.
+    order = F.col("doc_id") if _is_text(docs) else F.col("doc_id").cast("double")
+    dealt = plain.withColumn("part", part_of(order))
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
     heads = dealt.groupBy("part").agg(first).orderBy("part").collect()
     if not heads:
