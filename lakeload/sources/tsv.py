@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeload.functions.paths import glob_escape, scanned_path
-from lakeload.functions.schema import CORRUPT_RECORD, EXCESS_FIELDS, SOURCE_COLUMNS, SOURCE_PATH
-from lakeload.operators.align import align_columns
+from lakeload.functions.schema import (
+    COLUMNS,
+    CORRUPT_RECORD,
+    EXCESS_FIELDS,
+    SOURCE_COLUMNS,
+    SOURCE_PATH,
+)
+from lakeload.operators.align import align_columns, matched_columns
 from lakeload.sources.probe import probe_headers
 
 
@@ -93,24 +99,52 @@ def read_tsv(spark: SparkSession, paths: Sequence[str], header: Sequence[str]) -
     )
 
 
-def group_by_header(files: Iterable) -> list[tuple[tuple[str, ...], list[str]]]:
-    """Probed files (``path``, ``header``) as (header, paths) groups in a stable order.
+def group_by_width(files: Iterable) -> list[list]:
+    """Probed files (``path``, ``header``) in groups of headers with as many columns, in a stable order.
 
-    One scan can read only files with equal headers: a scan takes its names from one file and
-    applies them to all by position.
+    One scan can read only files with as many columns: it takes its names from one file and applies
+    them to all by position, and tells malformed lines by their number of fields.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        groups.setdefault(tuple(file.header), []).append(file.path)
-    return sorted((header, sorted(paths)) for header, paths in groups.items())
+    groups: dict[int, list] = {}
+    for file in sorted(files, key=lambda f: f.path):
+        groups.setdefault(len(file.header), []).append(file)
+    return [groups[width] for width in sorted(groups)]
 
 
-def read_aligned(spark: SparkSession, files: Iterable) -> DataFrame:
-    """Scan probed files with any mix of headers; one scan for each distinct header."""
-    scans = [
-        align_columns(read_tsv(spark, paths, header))
-        for header, paths in group_by_header(files)
+def positions(header: Sequence[str]) -> list[int | None]:
+    """For each canonical column the position of the header's column that holds it, if one does."""
+    names = column_names(header)
+    matched = matched_columns(names)
+    return [names.index(matched[name]) if name in matched else None for name in COLUMNS]
+
+
+def _read_mapped(spark: SparkSession, files: Sequence) -> DataFrame:
+    """Aligned rows of files whose headers differ but have as many columns, in one scan.
+
+    The fields of a row are picked by a map from its file to the positions of the columns, which is
+    joined to the rows: a row for each file of a load, so small enough to be broadcast.
+    """
+    width = len(files[0].header)
+    rows = read_tsv(spark, [f.path for f in files], [f"_c{i}" for i in range(width)])
+    maps = [(f.path, positions(f.header)) for f in files]
+    known = spark.createDataFrame(maps, "_path string, _at array<int>")
+    fields = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    picked = [
+        F.get(fields, F.get("_at", F.lit(i))).alias(name) for i, name in enumerate(COLUMNS)
     ]
+    met = rows.join(F.broadcast(known), F.col(SOURCE_PATH) == F.col("_path"))
+    return met.select(*picked, *SOURCE_COLUMNS)
+
+
+def read_aligned(spark: SparkSession, files: Iterable) -> DataFrame:
+    """Scan probed files with any mix of headers; one scan for each number of columns."""
+    scans = []
+    for group in group_by_width(files):
+        if len({tuple(f.header) for f in group}) == 1:
+            rows = read_tsv(spark, [f.path for f in group], group[0].header)
+            scans.append(align_columns(rows))
+        else:
+            scans.append(_read_mapped(spark, group))
     return reduce(DataFrame.unionByName, scans)
 
 

@@ -7,6 +7,7 @@ import logging
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from lakeload.sources import ledger, table, warehouse
 from lakeload.sources.discovery import DEFAULT_EXTENSION
 from lakeload.sources.files import note_paths, path_frame, remove_folder, remove_noted
 from lakeload.sources.probe import probe_headers, verify_files
-from lakeload.sources.tsv import group_by_header, read_aligned
+from lakeload.sources.tsv import group_by_width, read_aligned
 from lakeload.sources.warehouse import BUCKETS
 
 _LOG = logging.getLogger(__name__)
@@ -54,7 +55,7 @@ class IngestOptions:
     file_bytes: int = 256 << 20
     max_file_age: str = "30d"
     verify_first: bool = False
-    headers_per_write: int = 32
+    scans_per_write: int = 32
     warehouse: str | None = None
     buckets: int = BUCKETS
 
@@ -188,12 +189,12 @@ def _write(
     split = [f for f in files if options.ranges(f.length) > 1]
     whole = [f for f in files if options.ranges(f.length) == 1]
     rows_seen = 0
-    for group in _header_batches(whole, options.headers_per_write):
+    for group in _scan_batches(whole, options.scans_per_write):
         rows_seen += _observed(
             _classified(spark, group, options),
             lambda rows: table.append_rows(cluster_within(rows), root, replace=bool(stale)),
         )
-    for group in _header_batches(split, options.headers_per_write):
+    for group in _scan_batches(split, options.scans_per_write):
         rows_seen += _write_split(spark, group, root, load_id, options, bool(stale))
     if stale:
         remove_noted(spark, stale)
@@ -241,12 +242,11 @@ def _write_split(
     return rows_seen
 
 
-def _header_batches(files: list[Row], headers: int) -> Iterable[list[Row]]:
-    """Files in runs of at most ``headers`` distinct headers, to bound the size of a plan."""
-    by_path = {f.path: f for f in files}
-    groups = [paths for _, paths in group_by_header(files)]
-    for start in range(0, len(groups), headers):
-        yield [by_path[p] for paths in groups[start : start + headers] for p in paths]
+def _scan_batches(files: list[Row], scans: int) -> Iterable[list[Row]]:
+    """Files in runs of at most ``scans`` numbers of columns, to bound the size of a plan."""
+    groups = group_by_width(files)
+    for start in range(0, len(groups), scans):
+        yield [file for group in groups[start : start + scans] for file in group]
 
 
 def _observed(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
@@ -298,26 +298,68 @@ def _entry(file: Row, outcome: Outcome) -> tuple:
     )
 
 
-def _causes(error: Exception) -> Iterable[str]:
-    """The texts of an error: its own, then those of its Java causes, the innermost last."""
-    yield str(error)
-    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
-    while cause is not None:
-        yield cause.toString()
-        cause = cause.getCause()
+# Conditions of errors that are a file's: it cannot be read to its end, or it is not there.
+_FILE_CONDITIONS = ("FAILED_READ_FILE", "PATH_NOT_FOUND")
+# Whoever asks has no right to read: classes of errors, by their simple names.
+_REFUSALS = (
+    "AccessControlException",
+    "AccessDeniedException",
+    "AWSAccessDeniedException",
+    "CredentialInitializationException",
+    "NoAuthWithAWSException",
+    "NoAwsCredentialsException",
+)
+_LOST_FILE = "FileNotFoundException"  # also what a local file without permission gives
+
+
+@dataclass(frozen=True)
+class Cause:
+    """One error of a chain: its class, Spark's condition and SQLSTATE where it has them, its text."""
+
+    kind: str
+    condition: str | None
+    state: str | None
+    text: str
+
+
+def _told(throwable, method: str) -> str | None:
+    """What a Java error tells under this method, if it is an error of Spark's."""
+    try:
+        return getattr(throwable, method)()
+    except (Py4JError, TypeError):
+        return None
+
+
+def _causes(error: Exception) -> list[Cause]:
+    """The Java errors behind an error, the innermost last; none if it is Python's own."""
+    found, throwable = [], getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while throwable is not None:
+        kind = throwable.getClass().getSimpleName()
+        condition, state = (_told(throwable, m) for m in ("getCondition", "getSqlState"))
+        found.append(Cause(kind, condition, state, throwable.toString()))
+        throwable = throwable.getCause()
+    return found
+
+
+def _refused(cause: Cause) -> bool:
+    return cause.kind in _REFUSALS or (cause.kind == _LOST_FILE and "Permission denied" in cause.text)
 
 
 def _is_systemic(error: Exception) -> bool:
-    """Whether Spark failed elsewhere than in a scan, so that no file is to blame.
+    """Whether Spark failed for a reason that no file has, so that none is to blame.
 
-    A scan's error names a file that has gone or has the file scan among its frames.
+    That is so unless an error of the chain is a file's by its condition, and also where the store
+    refuses to be read, for then no file can be.
     """
-    own, *java = _causes(error)
-    marks = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "execution.datasources.FileScanRDD")
-    return bool(java) and not any(mark in text for text in (own, *java) for mark in marks)
+    causes = _causes(error)
+    of_file = any((c.condition or "").partition(".")[0] in _FILE_CONDITIONS for c in causes)
+    return bool(causes) and (not of_file or any(_refused(c) for c in causes))
 
 
 def _first_line(error: Exception) -> str:
-    """First line of the innermost Java cause, or of the error itself."""
-    *_, text = _causes(error)
-    return next(iter(text.strip().splitlines()), type(error).__name__)
+    """First line of the innermost Java cause, or of the error itself; Spark's condition ahead of it."""
+    causes = _causes(error)
+    text = causes[-1].text if causes else str(error)
+    line = next(iter(text.strip().splitlines()), type(error).__name__)
+    conditions = [f"{c.condition} {c.state or ''}".strip() for c in causes if c.condition]
+    return f"[{conditions[-1]}] {line}" if conditions and conditions[-1].split()[0] not in line else line

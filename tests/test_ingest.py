@@ -348,16 +348,114 @@ def test_a_name_that_points_elsewhere_is_not_taken(spark, inbox, tmp_path):
     spark.sql("DROP TABLE lakeload_elsewhere")
 
 
-def test_many_headers_take_several_writes(spark, inbox):
+def test_headers_of_many_widths_take_several_writes(spark, inbox):
     rng = random.Random(1)
     for i in range(6):
-        header = list(COLUMNS)
+        header = [*COLUMNS, *(f"x{n}" for n in range(i // 2))]
         rng.shuffle(header)
-        inbox.put(f"{i}.gz", [record(str(i))], header)
-    ingest(spark, inbox.folder, inbox.root, options=IngestOptions(headers_per_write=2))
+        inbox.put(f"{i}.gz", [{**record(str(i)), **{n: "?" for n in header if n not in COLUMNS}}], header)
+    ingest(spark, inbox.folder, inbox.root, options=IngestOptions(scans_per_write=2))
     assert ids(spark, inbox) == [str(i) for i in range(6)]
 
 
+def test_five_hundred_headers_take_one_scan_and_one_write(spark, inbox, monkeypatch):
+    rng, orders = random.Random(2), set()
+    while len(orders) < 500:
+        orders.add(tuple(rng.sample(COLUMNS[:8], 8) + rng.sample([*COLUMNS[8:11], "Extra"], 4)))
+    for i, header in enumerate(sorted(orders)):
+        values = {**record(f"{i:03d}", MW=str(i), FP3=f"three{i}"), "Extra": "no"}
+        inbox.put(f"{i:03d}.gz", [values], header)
+    plans, append = [], table.append_rows
+
+    def noted(rows, *args, **kwargs):
+        plans.append(rows.select("*")._jdf.queryExecution().executedPlan().toString())
+        append(rows, *args, **kwargs)
+
+    monkeypatch.setattr(table, "append_rows", noted)
+    ingest(spark, inbox.folder, inbox.root)
+    (plan,) = plans
+    assert plan.count("FileScan csv") == 1 and "hashpartitioning" not in plan
+    rows = read_table(spark, inbox.root).collect()
+    assert sorted((r.ID, r.MW, r.FP3) for r in rows) == [(f"{i:03d}", float(i), f"three{i}") for i in range(500)]
+    assert {r.FP5 for r in rows} == {None}
+    entries = ledger.read_ledger(spark, inbox.root).collect()
+    assert len(entries) == 500 and all(r.extra_columns == ["Extra"] for r in entries)
+
+
+class Throwable:
+    """What a Java error tells."""
+
+    def __init__(self, kind, condition=None, text="", cause=None):
+        self.kind, self.condition, self.text, self.cause = kind, condition, text, cause
+
+    def getClass(self):
+        return self
+
+    def getSimpleName(self):
+        return self.kind
+
+    def getCondition(self):
+        if self.condition is None:
+            raise TypeError("'JavaMember' object is not callable")
+        return self.condition
+
+    def getSqlState(self):
+        return "KD001" if self.condition else self.getCondition()
+
+    def toString(self):
+        return f"{self.kind}: {self.text}"
+
+    def getCause(self):
+        return self.cause
+
+
+@pytest.mark.parametrize(
+    "chain, systemic",
+    [
+        ([("SparkException", None, "Job aborted"), ("SparkException", "FAILED_READ_FILE.NO_HINT", ""), ("EOFException", None, "")], False),
+        ([("AnalysisException", "PATH_NOT_FOUND", "")], False),
+        ([("SparkException", None, "Job aborted"), ("IOException", None, "No space left on device")], True),
+        ([("SparkException", None, "a file named FAILED_READ_FILE"), ("IOException", None, "PATH_NOT_FOUND")], True),
+        ([("SparkException", "FAILED_READ_FILE.NO_HINT", ""), ("AccessControlException", None, "no")], True),
+        ([("SparkException", "FAILED_READ_FILE.NO_HINT", ""), ("FileNotFoundException", None, "/a (Permission denied)")], True),
+        ([("SparkException", "FAILED_READ_FILE.FILE_NOT_EXIST", ""), ("FileNotFoundException", None, "/a (No such file)")], False),
+        ([], False),
+    ],
+)
+def test_errors_are_told_apart_by_condition(chain, systemic):
+    throwable = None
+    for kind, condition, text in reversed(chain):
+        throwable = Throwable(kind, condition, text, throwable)
+    error = RuntimeError("own text")
+    error.java_exception = throwable
+    assert load._is_systemic(error) == systemic
+    line = load._first_line(error)
+    assert line.endswith(f"{chain[-1][0]}: {chain[-1][2]}".strip() if chain else "own text")
+    conditions = [c for _, c, _ in chain if c]
+    assert line.startswith(f"[{conditions[-1]} KD001]") if conditions else not line.startswith("[")
+
+
+def test_lost_read_permission_ends_the_load_after_one_attempt(spark, inbox, monkeypatch):
+    for name in "abcd":
+        inbox.put(f"{name}.gz", [record(name)])
+    attempts = []
+
+    def refuse(rows, root, replace=False):
+        attempts.append(root)
+        error = RuntimeError("refused")
+        denied = Throwable("AccessControlException", None, "Permission denied")
+        error.java_exception = Throwable("SparkException", "FAILED_READ_FILE.NO_HINT", "", denied)
+        raise error
+
+    with monkeypatch.context() as patched:
+        patched.setattr(table, "append_rows", refuse)
+        with pytest.raises(Exception, match="refused"):  # noqa: B017
+            ingest(spark, inbox.folder, inbox.root)
+    assert len(attempts) == 1 and loads(spark, inbox) == 0
+    ingest(spark, inbox.folder, inbox.root)
+    assert ids(spark, inbox) == list("abcd")
+
+
 def test_rounds_of_a_batch_run(spark, inbox):
     for i in range(5):
         inbox.put(f"{i}.gz", [record(str(i))])
