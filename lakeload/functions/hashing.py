@@ -7,7 +7,8 @@ engine with ``md5`` can reproduce it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def coin(digest_col: Column) -> Column:
 
 
 def int_vector(digest_col: Column, length: int) -> Column:
-    """Comma-joined vector of ``length`` integers 0..1000, for lengths up to 2048.
+    """Comma-joined vector of ``length`` integers 0..1000, for lengths up to 2048; null for no digest.
 
     2048 is the length of a vector in the record format, and the bound below which no square
     overflows.
@@ -64,7 +65,8 @@ def int_vector(digest_col: Column, length: int) -> Column:
     Squares of an arithmetic progression modulo a prime: two digest pieces choose start and
     step, so an element costs a few integer operations rather than a hash. They are sized so
     that no square overflows a long. The arithmetic is done on whole batches in an Arrow-fed
-    function: the same with a lambda over an array is interpreted and boxed for each element.
+    function: the same with a lambda over an array is interpreted and boxed for each element. Rows
+    without a digest, which a condition leaves out ahead of the call, cost nothing.
     """
     if not 1 <= length <= 2048:
         raise ValueError("length must be between 1 and 2048")
@@ -73,14 +75,27 @@ def int_vector(digest_col: Column, length: int) -> Column:
     return _vectors(length)(start, step)
 
 
+# Rows whose elements are computed at once: some megabytes of numbers.
+_ROWS = 256
+
+
 def _vectors(length: int):
-    @F.pandas_udf("string")
-    def vectors(start: pd.Series, step: pd.Series) -> pd.Series:
-        texts = np.array([str(i) for i in range(ELEMENT_COUNT)], object)
-        along, out = np.arange(length), []
-        for first, width in zip(start.to_numpy(), step.to_numpy(), strict=True):
+    @F.arrow_udf("string")
+    def vectors(start: pa.Array, step: pa.Array) -> pa.Array:
+        texts, along = pa.array([str(i) for i in range(ELEMENT_COUNT)]), np.arange(length)
+        known = start.is_valid()
+        firsts = start.drop_null().to_numpy(zero_copy_only=False)
+        steps = step.filter(known).to_numpy(zero_copy_only=False)
+        parts = [pa.array([], pa.string())]
+        for at in range(0, len(firsts), _ROWS):
+            first, width = firsts[at : at + _ROWS, None], steps[at : at + _ROWS, None]
             points = first + width * along
-            out.append(",".join(texts[points * points % PRIME % ELEMENT_COUNT]))
-        return pd.Series(out, dtype=object)
+            elements = texts.take(pa.array((points * points % PRIME % ELEMENT_COUNT).ravel()))
+            ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * length)
+            parts.append(pc.binary_join(pa.ListArray.from_arrays(ends, elements), ","))
+        made = pa.concat_arrays(parts)
+        # Each known row's place among those that were made; a null place takes a null.
+        places = np.cumsum(known.to_numpy(zero_copy_only=False)) - 1
+        return made.take(pa.array(places, mask=~known.to_numpy(zero_copy_only=False)))
 
     return vectors

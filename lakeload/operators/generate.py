@@ -53,8 +53,8 @@ def generate_records(
     for name in _DENSE_FINGERPRINTS:
         columns[name] = int_vector(row_digest(name), fingerprint_length)
     for name in _SPARSE_FINGERPRINTS:
-        vector = int_vector(row_digest(name), fingerprint_length)
-        columns[name] = F.when(coin(row_digest(name + " present")), vector)
+        present = F.when(coin(row_digest(name + " present")), row_digest(name))
+        columns[name] = int_vector(present, fingerprint_length)
     return rows.select(
         *[columns[name].alias(name) for name in COLUMNS], F.col(file_name).alias("file_name")
     )
