@@ -1,5 +1,6 @@
 """Cases that were once wrong."""
 
+import random
 import re
 
 import pytest
@@ -80,3 +81,39 @@ def test_ids_in_text_are_in_their_own_order(spark):
     for i, after in zip(order, order[1:] + order[:1]):
         edit = fingerprint.edited(plain[i], plain[after])
         assert got[i].edited_sha256 == __import__("hashlib").sha256(edit.encode()).hexdigest()
+
+
+def test_texts_are_rewritten_value_by_value(spark, frame):
+    """Planted values against their own pseudonyms, with everything between them as it was."""
+    pick = random.Random(9)
+
+    def digits(n):
+        return "".join(pick.choices("0123456789", k=n))
+
+    def card():
+        body = pick.choice("3456") + digits(14)
+        return body + str(pii.luhn(body))
+
+    makers = {
+        "email": lambda: f"{pick.choice(['ann', 'b.c', 'Dee-9'])}{digits(2)}@host{digits(1)}.example.org",
+        "card": card,
+        "date": lambda: f"{pick.randrange(1950, 2030)}-{pick.randrange(1, 13):02d}-{pick.randrange(1, 29):02d}",
+        "ip": lambda: ".".join(str(pick.randrange(256)) for _ in range(4)),
+        "ssn": lambda: f"{pick.randrange(100, 600)}-{pick.randrange(10, 99)}-{pick.randrange(1000, 9999)}",
+        "phone": lambda: f"+1 {pick.randrange(200, 999)} {pick.randrange(200, 999)} {digits(4)}",
+    }
+    rows, expected = [], {}
+    for i in range(60):
+        text, made, counts = "start", "start", dict.fromkeys(pii.KINDS, 0)
+        for _ in range(pick.randrange(0, 8)):
+            kind = pick.choice(list(makers))
+            value = makers[kind]()
+            between = pick.choice([" and ", " (", "\n", " é 漢字 ", ", then "])
+            after = ")" if between == " (" else " end"
+            text += between + value + after
+            made += between + pii.pseudonym(kind, value, KEY) + after
+            counts[kind] += 1
+        rows.append((i, text))
+        expected[i] = (made, *counts.values())
+    got = {r.doc_id: tuple(r)[1:] for r in pii.pseudonymize(frame(rows), KEY).collect()}
+    assert got == expected
