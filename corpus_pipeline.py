@@ -1,8 +1,13 @@
 """The corpus pipeline: quality, near duplicates, benchmark leaks, personal data, tokens.
 
 Each stage gets what its predecessor kept, as Parquet, and all but the last return the columns of
-``documents``. Rows stay, go or change by the rules of the operator that a stage calls, which
-also states what it does with nulls, empty and long texts, repeated rows and empty tables.
+``documents``, others that they have included. Rows stay, go or change by the rules of the operator that
+a stage calls, which also states what it does with nulls, empty and long texts, ties and repeated rows.
+The stages keep their order whatever is left: one that gets no rows, or a table without rows beside
+them, returns none, or all that it got, with the same columns.
+
+The key of the pseudonyms is the session's setting ``spark.lakeload.pii.key``; where there is none it is
+that of the registered query.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by pseudonyms of the same format."""
-    return pii.pseudonymize_rows(docs, PII_KEY)
+    key = spark.conf.get("spark.lakeload.pii.key", None)
+    return pii.pseudonymize_rows(docs, key.encode() if key else PII_KEY)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import os
 import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +51,28 @@ def qualify(spark: SparkSession, path: str) -> str:
     return normalize(fs.makeQualified(jpath).toString())
 
 
+@cache
+def _local_scratch() -> str:
+    """A folder of this process, removed at its end."""
+    path, owner = tempfile.mkdtemp(prefix="lakeload-"), os.getpid()
+
+    def remove() -> None:
+        if os.getpid() == owner:  # not at the end of a process that was forked off
+            shutil.rmtree(path, ignore_errors=True)
+
+    atexit.register(remove)
+    return path
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the session's shared checkpoint folder.
 
-    A machine-local folder is made only in local mode, and only when no shared one is named.
+    A machine-local folder is made only in local mode, and only when no shared one is named; it goes
+    with the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = "file:" + tempfile.mkdtemp(prefix="lakeload-")
+        base = "file:" + _local_scratch()
     return qualify(spark, f"{base.rstrip('/')}/lakeload-{label}-{uuid.uuid4().hex}")

@@ -36,6 +36,18 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
 
 
+def _facts(path: str) -> Iterator[dict]:
+    fs, inside = resolve(path)
+    info = fs.get_file_info(inside)
+    if info.type == pafs.FileType.File:
+        yield {"path": path, "length": info.size, "modificationTime": info.mtime}
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """``path``, ``length`` and ``modificationTime`` of the files in column ``path`` that exist."""
+    return flat_map_paths(files, _facts, "path string, length long, modificationTime timestamp")
+
+
 def path_frame(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """A bounded list of paths as a DataFrame, spread over the cluster's cores."""
     return spark.createDataFrame([(path,) for path in paths], "path string")

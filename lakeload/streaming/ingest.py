@@ -19,7 +19,7 @@ from lakeload.sources.discovery import (
     in_order,
     listed_files,
 )
-from lakeload.sources.files import note_paths, remove_folder, remove_noted
+from lakeload.sources.files import file_facts, note_paths, remove_folder, remove_noted
 from lakeload.sources.ledger import (
     FAILED,
     LOADED,
@@ -212,7 +212,9 @@ def ingest(
         ingest_files(listed_and_found, root, options)
     if delete_consumed:
         found = discover_files(spark, folder, options.extension, options.recursive)
-        delete_loaded(found, root)
+        # Listed files may lie elsewhere.
+        named = combine_files(listed_files(spark, listed), found).select("path")
+        delete_loaded(file_facts(named), root)
     return latest_entries(read_ledger(spark, root))
 
 

@@ -601,3 +601,13 @@ def test_staging_level_accepts_rows_with_nulls(spark, inbox):
     ingest(spark, inbox.folder, inbox.root, options=options)
     (row,) = read_table(spark, inbox.root).collect()
     assert (row.ID, row.Library_ID, row.MW) == ("1", None, None)
+
+
+def test_listed_files_elsewhere_are_cleaned_up_too(spark, inbox, tmp_path):
+    elsewhere = tmp_path / "else.gz"
+    elsewhere.write_bytes(gzip.compress(tsv([record("9")]).encode()))
+    inbox.put("a.gz", [record("1")])
+    absent = str(tmp_path / "absent.gz")
+    ingest(spark, inbox.folder, inbox.root, listed=[str(elsewhere), absent], delete_consumed=True)
+    assert ids(spark, inbox) == ["1", "9"]
+    assert not elsewhere.exists() and os.listdir(inbox.folder) == []
