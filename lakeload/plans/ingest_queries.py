@@ -30,6 +30,7 @@ from lakeload.sources.ledger import (
 )
 from lakeload.sources.table import read_table
 from lakeload.streaming.ingest import ingest, ingest_stream
+from lakeload.streaming.progress import report, watched
 
 
 def _label() -> Column:
@@ -201,3 +202,18 @@ SELECT Library_ID AS label,
        count(*) FILTER (NOT (whole AND {VALID_SQL})) AS rows_rejected
 FROM (SELECT *, Library_ID IN ('1-URGENT', '2-HIGH') AS whole FROM records)
 GROUP BY Library_ID, whole"""
+
+
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener hears of two runs: files that are new in each batch, and what the ledger has of it."""
+    root = scratch_dir(spark, "table")
+    with watched(spark) as listener:
+        _two_deliveries(spark, sf_dir, root)
+    return report(spark, root, listener).select("batch", "new_files", "entries", "files_loaded", "rows_loaded")
+
+
+RUN_PROGRESS_SQL = f"""
+SELECT CAST(CASE WHEN day < '{_MIDDLE_DAY}' THEN 0 ELSE 1 END AS BIGINT) AS batch,
+       count(DISTINCT day) AS new_files, count(DISTINCT day) AS entries, count(DISTINCT day) AS files_loaded,
+       CAST(count(*) AS BIGINT) AS rows_loaded
+FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events) GROUP BY 1"""

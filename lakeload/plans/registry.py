@@ -43,4 +43,5 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "quarantine_files": (i.quarantine, i.QUARANTINE_SQL),
     "cleanup_consumed": (i.cleanup, i.CLEANUP_SQL),
     "load_metrics": (i.load_metrics, i.LOAD_METRICS_SQL),
+    "run_progress": (i.run_progress, i.RUN_PROGRESS_SQL),
 }

@@ -33,6 +33,7 @@ from lakeload.sources.ledger import (
 from lakeload.sources.table import create_table
 from lakeload.sources.warehouse import open_warehouse
 from lakeload.streaming.load import IngestOptions, load_files
+from lakeload.streaming.progress import observed
 
 _NO_OPTIONS = IngestOptions()
 
@@ -96,7 +97,7 @@ def ingest_stream(
 
     with _settings(spark, _STATE):
         query = (
-            names.writeStream.foreachBatch(load)
+            observed(names).writeStream.foreachBatch(load)
             .option("checkpointLocation", checkpoint or f"{root}/_checkpoint")
             .trigger(availableNow=True)
             .start()

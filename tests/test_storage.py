@@ -16,6 +16,7 @@ from lakeload.sources.table import read_table
 from lakeload.streaming import ingest as ingest_module
 from lakeload.streaming.ingest import ingest, ingest_stream
 from lakeload.streaming.load import IngestOptions
+from lakeload.streaming.progress import report, watched
 
 # Settings
 
@@ -260,3 +261,18 @@ def test_a_very_late_file_is_found_by_the_ledger(spark, inbox):
         os.utime(path, (at, at))
         ingest(spark, inbox.folder, inbox.root, options=options)
     assert sorted(r.ID for r in read_table(spark, inbox.root).collect()) == ["a", "b", "late"]
+
+
+def test_a_listener_hears_of_each_batch(spark, inbox):
+    inbox.put("a.gz", [record("1"), record("2", MW="x")])
+    inbox.put_bytes("b.gz", b"no gzip")
+    with watched(spark) as listener:
+        ingest_stream(spark, inbox.folder, inbox.root)
+        ingest_stream(spark, inbox.folder, inbox.root)
+        inbox.put("c.gz", [record("3")])
+        ingest_stream(spark, inbox.folder, inbox.root)
+    rows = report(spark, inbox.root, listener).orderBy("batch").collect()
+    seen = [(r.batch, r.listed, r.new_files, r.entries, r.files_loaded, r.rows_loaded, r.rows_rejected) for r in rows]
+    assert seen == [(0, 2, 2, 2, 1, 1, 1), (1, 2, 0, None, None, None, None), (2, 3, 1, 1, 1, 1, 0)]
+    ingest_stream(spark, inbox.folder, inbox.root)
+    assert len(listener.batches) == 3  # it has been taken off
