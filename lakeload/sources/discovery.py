@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.functions.paths import normalized_path, qualify, scratch_dir
@@ -35,23 +35,24 @@ def discover_files(
         return _files(level, extension)
     found = []
     while True:
-        level = _noted(level)
+        level, n_folders = _noted(level)
         found.append(_files(level, extension))
-        folders = level.where("is_folder")
-        n_folders = folders.count()
         if not n_folders:
             return reduce(DataFrame.union, found)
         # A folder is a row, so a task's share is some of them, however few rows there are.
         tasks = min(n_folders, 4 * spark.sparkContext.defaultParallelism)
-        level = children(folders.select("path").repartition(tasks))
+        level = children(level.where("is_folder").select("path").repartition(tasks))
 
 
-def _noted(level: DataFrame) -> DataFrame:
-    """A level of the walk, written down: the next one starts from it, and it is listed once."""
-    spark = level.sparkSession
+def _noted(level: DataFrame) -> tuple[DataFrame, int]:
+    """A level of the walk, written down, and its number of folders, counted as they are written.
+
+    The next level starts from it, and it is listed once.
+    """
+    spark, seen = level.sparkSession, Observation()
     path = scratch_dir(spark, "listing")
-    level.write.parquet(path)
-    return spark.read.schema(LISTED).parquet(path)
+    level.observe(seen, F.count_if("is_folder").alias("folders")).write.parquet(path)
+    return spark.read.schema(LISTED).parquet(path), seen.get["folders"]
 
 
 def _files(level: DataFrame, extension: str) -> DataFrame:

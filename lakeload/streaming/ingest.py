@@ -85,6 +85,8 @@ def ingest_stream(
         .dropDuplicatesWithinWatermark(["path"])
     )
 
+    loads: list[int] = []
+
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         query_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -92,7 +94,7 @@ def ingest_stream(
         note = f"{root}/_names/{query_id}-{batch_id:09d}"
         note_paths(batch, note)
         new = session.read.schema("path string").parquet(glob_escape(note))
-        _load_in_rounds(new, root, options, f"{query_id}-{batch_id:09d}", ask=True)
+        loads.append(_load_in_rounds(new, root, options, f"{query_id}-{batch_id:09d}", ask=True))
         remove_folder(session, note)
 
     with _settings(spark, _STATE):
@@ -104,9 +106,10 @@ def ingest_stream(
         )
     query.awaitTermination()
     listed = spark.read.schema(LISTING).parquet(glob_escape(f"{listings}/run={run_id}"))
-    _load_in_rounds(_unrecorded(listed, root), root, options, run_id)
+    loads.append(_load_in_rounds(_unrecorded(listed, root), root, options, run_id))
     remove_folder(spark, listings)  # all of them have been through the stream
-    merge_loads(spark, root)
+    if any(loads):  # else the ledger is as it was
+        merge_loads(spark, root)
 
 
 @contextmanager
@@ -150,8 +153,8 @@ def ingest_files(
 
 def _load_in_rounds(
     files: DataFrame, root: str, options: IngestOptions, run_id: str, ask: bool = False
-) -> None:
-    """Load files in order, a bounded number at a time.
+) -> int:
+    """Load files in order, a bounded number at a time; returns the number of loads.
 
     Sorted also because names come to the driver with one job per partition; after a sort there are
     few. With ``ask`` known files are left out: the ledger is read in the buckets of a round's files.
@@ -160,10 +163,13 @@ def _load_in_rounds(
     if "position" not in files.columns:
         files = files.withColumn("position", F.lit(None).cast("long"))
     names = (row.path for row in in_order(files).select("path").toLocalIterator())
-    for number, paths in enumerate(_rounds(names, options.files_per_load(spark))):
+    number = 0
+    for paths in _rounds(names, options.files_per_load(spark)):
         if ask and options.ignore_duplicates:
             paths = unconsumed(spark, root, paths)
         load_files(spark, paths, root, f"{run_id}-{number:09d}", options)
+        number += 1
+    return number
 
 
 def _unrecorded(files: DataFrame, root: str) -> DataFrame:

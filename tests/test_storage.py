@@ -215,7 +215,7 @@ def test_names_are_state_and_a_new_run_sees_new_ones_only(spark, inbox, monkeypa
 
     def noted(files, root, options, run_id, ask=False):
         seen.append((ask, sorted(os.path.basename(r.path) for r in files.select("path").collect())))
-        real(files, root, options, run_id, ask)
+        return real(files, root, options, run_id, ask)
 
     monkeypatch.setattr(ingest_module, "_load_in_rounds", noted)
     inbox.put("a.gz", [record("1")])
