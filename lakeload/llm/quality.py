@@ -1,67 +1,157 @@
-"""Quality by an interpolated modified Kneser-Ney model over characters.
+"""Quality by an interpolated modified Kneser-Ney model over words and characters.
 
+A text is a sequence of units: a word that is frequent in the trusted texts is one unit, together with
+the space before it, and every other word is spelled, a character a unit. So an n-gram spans up to
+four frequent words, or the letters of a rare one and what stands before it, and no word is unknown.
 The model's n-grams are counted on trusted texts only. Counts, continuation counts and the totals
 of contexts are tables sharded by n-gram and joined there (Chen and Goodman, 1998). Documents are
 cut into blocks; a block asks for each of its distinct n-grams once, the joins answer with log
 probabilities, and the answers are brought together with the block's texts, which gives each
-document's perplexity. What is moved grows with the distinct n-grams of blocks and not with
-their words. Thresholds are quantiles of a language's trusted perplexities, with a margin, for
-each power of two of the length, since long texts vary less. Both ends count: endless repetition
-is as odd as noise.
+document's perplexity, per character. What is moved grows with the distinct n-grams of blocks and
+not with their words. A block asks for an n-gram once however often it holds it, so that no n-gram has
+more rows than there are blocks.
 
-A character beyond the basic plane counts as U+FFFD, each digit as 0, so four characters are one
-64-bit key, exactly.
+A share of the trusted texts, told by a hash of the id, is held out of the counts. Thresholds are
+quantiles, for each language, of how far the held-out log perplexities lie from their median, with a
+margin. Short texts vary more, so the distance counts by the square root of the length, up to some
+thousand characters, without steps. A language leans on all texts the more the fewer of its own are
+held out. Both ends count: endless repetition is as odd as noise.
+
+A character beyond the basic plane counts as U+FFFD, each digit as 0, and the frequent words take the
+code units that stand for no character, so four units are one 64-bit key, exactly.
 
 Results for odd input: a null text counts as the empty one, which has no event and is kept; a
 null language is a language of its own; null ids are scored like others but trust nothing; labels
 of one id are taken together, and trusted if one of them is; texts are scored whole; repeated
-rows get a row each; without trusted texts nothing is rejected, and a language without them takes
-the band over all; empty tables give no rows; other columns are not read.
+rows get a row each; words of equal count are units in the order of their characters; without
+trusted texts held out nothing is rejected, and a language without them takes the band over all;
+empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import checked_broadcast, row_key, slices, text_of, without, written
+from lakeload.llm.common import checked_broadcast, discard, row_key, slices, text_of, without, written
+from lakeload.llm.exact import Summary
 
 ORDER = 4
 # Bytes of text in a block, which is scored in one piece; a longer text is a block of its own.
 BLOCK_BYTES = 32 << 20
-# Upper quantile of the trusted texts' log perplexities; the lower one is its complement. The band
-# of kept texts is wider on both sides by a multiple of the distance from the median.
-QUANTILE, MARGIN = 0.995, 1.0
-# Texts have bands by powers of two of their length, within these bounds; a band needs so many
-# trusted texts, or that of the whole language holds.
-SIZES, LEAST_TRUSTED = (5, 16), 50
-_START = 2  # stands before the first character
-
-
-def keys_of(text: str) -> np.ndarray:
-    """The key of each character with the three before it."""
-    units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    units = np.where(units > 0xFFFF, np.uint32(0xFFFD), units)
-    units = np.where((units >= 48) & (units <= 57), np.uint32(48), units)
-    u = np.concatenate([np.full(ORDER - 1, _START, np.uint64), units.astype(np.uint64)])
-    n, keys = len(u) - ORDER + 1, np.zeros(len(u) - ORDER + 1, np.uint64)
-    for i in range(ORDER):
-        keys = keys << np.uint64(16) | u[i : i + n]
-    return keys.view(np.int64)
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
+# Upper quantile of the held-out texts' distances from the median; the lower one is its complement. The
+# band of kept texts is wider on both sides by that multiple of the distance.
+QUANTILE, MARGIN = 0.99, 1.0
+# A text of n characters varies as the root of 1 + STEADY / n.
+STEADY = 2000
+# A language counts as if it had so many texts more, which lie as those of all languages do.
+LEANING = 50
+# One in so many trusted texts is held out of the model and sets the thresholds.
+HELD_OUT = 5
+# Least share of all words that makes a word frequent; 1 / SHARE words at most.
+SHARE = 1 / 1024
+_START = np.full(ORDER - 1, 2, np.uint64)  # stands before the first character
+# Code units without a character of their own: they number the frequent words.
+_FIRST_WORD, _LAST_WORD = 0xD800, 0xDFFF
+_FOLDED = re.compile("[0-9]|[\U00010000-\U0010ffff]")
+# Spellings that a task remembers, and the longest of them.
+_KEPT, _KEPT_LENGTH = 1 << 17, 32
+
+
+def _fold(found: re.Match) -> str:
+    return "0" if found[0] <= "9" else "\ufffd"
+
+
+class Units(dict):
+    """Units of a word and the space before it, as bytes: one if the word is frequent, else its characters."""
+
+    def __init__(self, words: list[str]) -> None:
+        if len(words) > _LAST_WORD - _FIRST_WORD + 1:
+            raise ValueError(f"{len(words)} frequent words are too many to be numbered")
+        numbered = {w: np.uint16(_FIRST_WORD + i).tobytes() for i, w in enumerate(words)}
+        super().__init__(numbered)
+        self.numbered = numbered
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = self.spelled(" " + word)
+        if len(word) <= _KEPT_LENGTH:
+            if len(self) >= _KEPT:
+                self.clear()
+                self.update(self.numbered)
+            self[word] = spelled
+        return spelled
+
+    @staticmethod
+    def spelled(text: str) -> bytes:
+        return _FOLDED.sub(_fold, text).encode("utf-16-le")
+
+    def keys_of(self, text: str) -> np.ndarray:
+        """The key of each unit with the three before it."""
+        first, *words = text.split(" ")
+        units = np.frombuffer(self.spelled(first) + b"".join(map(self.__getitem__, words)), "<u2")
+        u = np.concatenate([_START, units.astype(np.uint64)])
+        n, keys = len(units), np.zeros(len(units), np.uint64)
+        for i in range(ORDER):
+            keys = keys << np.uint64(16) | u[i : i + n]
+        return keys.view(np.int64)
+
+
+def frequent_words(texts: DataFrame, share: float = SHARE) -> list[str]:
+    """Words between spaces that make up ``share`` of all words in the column ``text``, most frequent first.
+
+    Misra-Gries summaries of the partitions find all words that may be frequent, 4 / 3 / share of them
+    at most, which are then counted exactly.
+    """
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary, total = Summary(int(np.ceil(4 / share))), 0
+        for batch in slices(batches):
+            counts = Counter()
+            for text in batch.column("text").to_pylist():
+                counts.update(text.split(" "))
+            total += counts.total()
+            summary.add(list(counts), list(counts.values()))
+        rows = [*summary.counters.items(), (None, total - summary.lost)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], schema=likely_schema)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter()
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                counts.update(filter(candidates.__contains__, text.split(" ")))
+        if counts:
+            columns = [pa.array(list(counts)), pa.array(list(counts.values()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+
+    likely_schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    rows = texts.select("text")
+    summaries = written(rows.mapInArrow(likely, "word string, n long"), "summaries")
+    counted = summaries.groupBy("word").agg(F.sum("n").alias("n"))
+    # What summaries lost is at most a quarter of the least count, so three quarters of it remain.
+    rest = counted.where("word IS NULL").first()
+    least = (rest.n if rest else 0) * share
+    candidates = {r.word for r in counted.where((F.col("n") >= least * 0.75) & (F.col("word") != "")).collect()}
+    discard(summaries)
+    found = rows.mapInArrow(exact, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in found.where(F.col("n") >= max(2, least)).orderBy(F.desc("n"), "word").collect()]
+
+
+def gram_counts(texts: DataFrame, words: list[str]) -> DataFrame:
     """``k`` and ``c``: each n-gram of the highest order in the column ``text``, and its count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(words)
         for batch in slices(batches):
-            keys = np.concatenate([keys_of(t) for t in batch.column("text").to_pylist()])
+            keys = np.concatenate([units.keys_of(t) for t in batch.column("text").to_pylist()])
             found, counts = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["k", "c"])
 
@@ -70,28 +160,29 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 def _suffix(key: Column, order: int) -> Column:
-    """The last ``order`` characters of a key."""
+    """The last ``order`` units of a key."""
     return key if order == ORDER else key.bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
 def _context(key: Column) -> Column:
-    """All but the last character."""
+    """All but the last unit."""
     return F.shiftrightunsigned(key, 16)
 
 
 class Model:
     """Sharded tables of the model: for each order the grams' counts and the contexts' sums."""
 
-    def __init__(self, trusted: DataFrame) -> None:
+    def __init__(self, trusted: DataFrame, share: float = SHARE) -> None:
         self.grams, self.contexts = {}, {}
-        grams = written(gram_counts(trusted), "grams")
+        self.words = frequent_words(trusted, share)
+        grams = written(gram_counts(trusted, self.words), "grams")
         for order in range(ORDER, 0, -1):
             self.grams[order] = grams
             if order > 1:
-                # An n-gram's lower-order count is the number of characters that precede it.
+                # An n-gram's lower-order count is the number of units that precede it.
                 shorter = grams.groupBy(_suffix(F.col("k"), order - 1).alias("k"))
                 grams = written(shorter.agg(F.count(F.lit(1)).alias("c")), "grams")
-        self.vocabulary = self.grams[1].count() + 1  # one for characters never seen
+        self.vocabulary = self.grams[1].count() + 1  # one for units never seen
         for order, grams in self.grams.items():
             counts = grams.agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
             self.contexts[order] = self._sums(grams, self.discounts(counts))
@@ -158,14 +249,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
         yield block, batch
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(words: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each block."""
     import pandas as pd
 
-    current, held = None, np.zeros(0, np.int64)
+    units, current, held = Units(words), None, np.zeros(0, np.int64)
 
     def answer() -> pa.RecordBatch:
-        arrays = [pa.array(np.full(len(held), current)), pa.array(held)]
+        arrays = [pa.array(np.full(len(held), current)), pa.array(np.sort(held))]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "k"])
 
     for block, batch in _blocks(batches):
@@ -173,7 +264,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield answer()
             held = np.zeros(0, np.int64)
         current = block
-        texts = [pd.unique(keys_of(t)) for t in batch.column("text").to_pylist()]
+        texts = [pd.unique(units.keys_of(t)) for t in batch.column("text").to_pylist()]
         held = pd.unique(np.concatenate([held, *texts]))
     if current is not None:
         yield answer()
@@ -191,44 +282,64 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["block", "data"])
 
 
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are split alike within, also when executors come or go; the number is that of now."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if not before:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if not before:
+            spark.conf.unset(name)
+
+
 def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_key``, ``lang``, ``n`` events and mean ``logp`` of each row of ``docs``.
+    """``doc_id``, ``text_key``, ``lang``, ``n`` characters and ``logp`` per character of each row, written.
 
-    ``docs`` must give the same rows to the same partitions when it is read again, as files do:
-    a block's questions and texts are told apart by them. A text whose answers are missing fails
-    the job.
+    A block's questions and texts are told apart by its partition, so ``docs`` must give the same rows to
+    the same partitions when it is read again, as files do. A text whose answers are missing fails the job.
     """
-    model = Model(trusted)
+    with same_splits(docs.sparkSession):
+        return _score(docs, Model(trusted))
+
+
+def _score(docs: DataFrame, model: Model) -> DataFrame:
+    words = model.words
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang")}
     rows = docs.select(*row_key(), "lang", text_of().alias("text"))
-    asked = written(rows.mapInArrow(_asked, "block long, k long"), "asked")
+    asked = written(rows.mapInArrow(lambda b: _asked(words, b), "block long, k long"), "asked")
     answers = model.log_probabilities(asked.select("k").distinct())
     answered = asked.join(answers, "k").select("block", "k", "logp")
     packed = rows.mapInArrow(_packed, "block long, data binary")
-    types = [pa.int64(), pa.float64()]
 
     def work(texts: pa.Table, table: pa.Table) -> pa.Table:
         keys = table.column("k").to_numpy()
         order = np.argsort(keys)
         keys, logs = keys[order], table.column("logp").to_numpy()[order]
-        unpacker, out = zstandard.ZstdDecompressor(), []
+        units, unpacker, out = Units(words), zstandard.ZstdDecompressor(), []
         for data in texts.column("data").to_pylist():
             batch = pa.ipc.open_stream(unpacker.decompress(data)).read_all().combine_chunks()
             n, mean = [], []
             for text in batch.column("text").to_pylist():
-                own = keys_of(text)
+                own = units.keys_of(text)
                 at = np.searchsorted(keys, own)
                 if len(own) and (at.max() >= len(keys) or (keys[at] != own).any()):
                     raise RuntimeError("a block changed between two reads of the documents")
-                n.append(len(own))
-                mean.append(float(logs[at].mean()) if len(own) else 0.0)
+                n.append(len(text))
+                mean.append(float(logs[at].sum()) / len(text) if text else 0.0)
             columns = [batch.column(c) for c in ("doc_id", "text_key", "lang")]
-            columns += [pa.array(v, t) for v, t in zip((n, mean), types, strict=True)]
+            columns += [pa.array(n, pa.int64()), pa.array(mean, pa.float64())]
             out.append(pa.table(columns, names=["doc_id", "text_key", "lang", "n", "logp"]))
         return pa.concat_tables(out)
 
     schema = f"doc_id {kinds['doc_id']}, text_key long, lang {kinds['lang']}, n long, logp double"
-    return packed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(work, schema)
+    grouped = packed.groupBy("block").cogroup(answered.groupBy("block"))
+    scored = written(grouped.applyInArrow(work, schema), "scored")
+    discard(asked)
+    return scored
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -236,49 +347,51 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return written(good.select(F.col("doc_id").alias("_id")).distinct(), "trusted")
 
 
+def held_out(id_: Column) -> Column:
+    """Whether a trusted text sets thresholds, and is not trained on."""
+    return F.pmod(F.xxhash64(id_.cast("string")), F.lit(HELD_OUT)) == 0
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``doc_id``, ``text_key``, ``lang``, ``n``, ``perplexity``, the band ``low`` to ``high``, ``keep``."""
     ids = trusted_ids(labels)
+    learned, spared = ids.where(~held_out(F.col("_id"))), ids.where(held_out(F.col("_id")))
     rows = docs.select("doc_id", text_of().alias("text"))
-    good = rows.join(checked_broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
-    scored = written(score(docs, good), "scored").withColumn("log_perplexity", -F.col("logp"))
-    size = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")
-    low, high = (F.lit(x) for x in SIZES)
-    scored = scored.withColumn("size", F.least(F.greatest(size, low), high))
-    known = scored.join(checked_broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
-
-    def limits(name: str) -> Column:
-        """Band around the median that holds the trusted texts, and their number."""
-        upper, middle, lower = (
-            F.percentile_approx("log_perplexity", q, 10_000) for q in (quantile, 0.5, 1 - quantile)
-        )
-        return F.struct(
-            F.count(F.lit(1)).alias("n"),
-            (lower - margin * (middle - lower)).alias("low"),
-            (upper + margin * (upper - middle)).alias("high"),
-        ).alias(name)
-
-    cells = known.groupBy(F.col("lang").alias("_lang"), F.col("size").alias("_size")).agg(limits("cell"))
-    langs = known.groupBy(F.col("lang").alias("_lang")).agg(limits("whole"))
-    bands = cells.select("_lang", "_size", F.when(F.col("cell.n") >= LEAST_TRUSTED, F.col("cell")).alias("cell"))
-    bands, langs = written(bands, "bands"), written(langs, "languages")
-    over_all = known.agg(limits("band")).first().band
+    good = rows.join(checked_broadcast(learned), F.col("doc_id") == F.col("_id"), "left_semi")
+    scored = score(docs, good).withColumn("log_perplexity", -F.col("logp"))
     same = F.col("lang").eqNullSafe(F.col("_lang"))
-    joined = scored.join(checked_broadcast(bands), same & (F.col("size") == F.col("_size")), "left").drop("_lang")
-    joined = joined.join(checked_broadcast(langs), same, "left")
-    low, high = (
-        F.coalesce(f"cell.{end}", f"whole.{end}", F.lit(over_all[end]).cast("double")) for end in ("low", "high")
+
+    def by_language(rows: DataFrame, **of_rows: Column) -> DataFrame:
+        """``rows`` with the columns that ``of_rows`` aggregates over the held-out texts of their language."""
+        known = rows.where("n > 0").join(checked_broadcast(spared), F.col("doc_id") == F.col("_id"), "left_semi")
+        count = F.count(F.lit(1)).alias("_n")
+        whole = known.agg(*[c.alias(name) for name, c in of_rows.items()]).first()
+        langs = known.groupBy(F.col("lang").alias("_lang")).agg(count, *[c.alias(f"_{x}") for x, c in of_rows.items()])
+        joined = rows.join(checked_broadcast(written(langs, "languages")), same, "left")
+        for name in of_rows:
+            on = F.lit(whole[name]).cast("double")
+            drawn = (F.col("_n") * F.col(f"_{name}") + LEANING * on) / (F.col("_n") + LEANING)
+            joined = joined.withColumn(name, F.coalesce(drawn, on))
+        return joined.drop("_lang", "_n", *[f"_{x}" for x in of_rows])
+
+    steady = F.sqrt(F.col("n") / (F.col("n") + STEADY))
+    scored = by_language(scored, middle=F.percentile_approx("log_perplexity", 0.5, 10_000))
+    away = (F.col("log_perplexity") - F.col("middle")) * F.when(F.col("n") > 0, steady)
+    scored = by_language(
+        scored.withColumn("away", away),
+        below=F.percentile_approx("away", 1 - quantile, 10_000),
+        above=F.percentile_approx("away", quantile, 10_000),
     )
-    inside = F.col("log_perplexity").between(low, high)
-    return joined.select(
+    wide = (1 + margin) / F.when(F.col("n") > 0, steady)
+    return scored.select(
         "doc_id",
         "text_key",
         "lang",
         "n",
         F.exp("log_perplexity").alias("perplexity"),
-        F.exp(low).alias("low"),
-        F.exp(high).alias("high"),
-        F.coalesce(inside | (F.col("n") == 0), F.lit(True)).alias("keep"),
+        F.exp(F.col("middle") + F.col("below") * wide).alias("low"),
+        F.exp(F.col("middle") + F.col("above") * wide).alias("high"),
+        F.coalesce(F.col("away").between(F.col("below") * (1 + margin), F.col("above") * (1 + margin)), F.lit(True)).alias("keep"),
     )
 
 
