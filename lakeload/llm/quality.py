@@ -30,7 +30,6 @@ empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -59,50 +58,40 @@ LEANING = 50
 HELD_OUT = 5
 # Least share of all words that makes a word frequent; 1 / SHARE words at most.
 SHARE = 1 / 1024
-_START = np.full(ORDER - 1, 2, np.uint64)  # stands before the first character
-# Code units without a character of their own: they number the frequent words.
+_START = "\x02" * (ORDER - 1)  # stands before the first character
+# Code points without a character of their own: they number the frequent words.
 _FIRST_WORD, _LAST_WORD = 0xD800, 0xDFFF
-_FOLDED = re.compile("[0-9]|[\U00010000-\U0010ffff]")
-# Spellings that a task remembers, and the longest of them.
-_KEPT, _KEPT_LENGTH = 1 << 17, 32
 
 
-def _fold(found: re.Match) -> str:
-    return "0" if found[0] <= "9" else "\ufffd"
-
-
-class Units(dict):
-    """Units of a word and the space before it, as bytes: one if the word is frequent, else its characters."""
+class Units:
+    """Texts as units: a frequent word and the space before it are one, all else is spelled."""
 
     def __init__(self, words: list[str]) -> None:
         if len(words) > _LAST_WORD - _FIRST_WORD + 1:
             raise ValueError(f"{len(words)} frequent words are too many to be numbered")
-        numbered = {w: np.uint16(_FIRST_WORD + i).tobytes() for i, w in enumerate(words)}
-        super().__init__(numbered)
-        self.numbered = numbered
-
-    def __missing__(self, word: str) -> bytes:
-        spelled = self.spelled(" " + word)
-        if len(word) <= _KEPT_LENGTH:
-            if len(self) >= _KEPT:
-                self.clear()
-                self.update(self.numbered)
-            self[word] = spelled
-        return spelled
-
-    @staticmethod
-    def spelled(text: str) -> bytes:
-        return _FOLDED.sub(_fold, text).encode("utf-16-le")
-
-    def keys_of(self, text: str) -> np.ndarray:
-        """The key of each unit with the three before it."""
-        first, *words = text.split(" ")
-        units = np.frombuffer(self.spelled(first) + b"".join(map(self.__getitem__, words)), "<u2")
-        u = np.concatenate([_START, units.astype(np.uint64)])
-        n, keys = len(units), np.zeros(len(units), np.uint64)
-        for i in range(ORDER):
-            keys = keys << np.uint64(16) | u[i : i + n]
-        return keys.view(np.int64)
+        self.numbered = {w: chr(_FIRST_WORD + i) for i, w in enumerate(words)}
+
+    def keys_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The key of each unit with the three before it, text after text, and where each text's keys end."""
+        numbered, coded = self.numbered.get, []
+        for text in texts:
+            first, *words = text.split(" ")
+            coded.append(_START + " ".join([first, *[numbered(w, w) for w in words]]))
+        points = np.frombuffer("".join(coded).encode("utf-32-le", "surrogatepass"), "<u4")
+        spaces = points[:-1] == 32
+        spaces &= (points[1:] >= _FIRST_WORD) & (points[1:] <= _LAST_WORD)
+        kept = np.append(~spaces, True)
+        ends = np.cumsum(kept)[np.cumsum([len(c) for c in coded]) - 1]
+        units = points[kept]
+        units[units > 0xFFFF] = 0xFFFD
+        units[(units >= 48) & (units <= 57)] = 48
+        units = units.astype(np.uint64)
+        pairs = units[:-1] << np.uint64(16) | units[1:]
+        keys = pairs[:-2] << np.uint64(32) | pairs[2:]
+        # Those that begin within the last three units of a text reach into the next one.
+        whole = np.ones(len(units), bool)
+        whole[(ends[:, None] - np.arange(1, ORDER)).ravel()] = False
+        return keys[whole[: len(keys)]].view(np.int64), ends - (ORDER - 1) * np.arange(1, len(texts) + 1)
 
 
 def frequent_words(texts: DataFrame, share: float = SHARE) -> list[str]:
@@ -149,10 +138,12 @@ def gram_counts(texts: DataFrame, words: list[str]) -> DataFrame:
     """``k`` and ``c``: each n-gram of the highest order in the column ``text``, and its count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+
         units = Units(words)
         for batch in slices(batches):
-            keys = np.concatenate([units.keys_of(t) for t in batch.column("text").to_pylist()])
-            found, counts = np.unique(keys, return_counts=True)
+            places, found = pd.factorize(units.keys_of(batch.column("text").to_pylist())[0])
+            counts = np.bincount(places, minlength=len(found))
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["k", "c"])
 
     rows = texts.select("text").mapInArrow(work, "k long, c long")
@@ -253,26 +244,26 @@ def _asked(words: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     """Distinct n-grams of each block."""
     import pandas as pd
 
-    units, current, held = Units(words), None, np.zeros(0, np.int64)
+    units, current, held = Units(words), None, []
 
     def answer() -> pa.RecordBatch:
-        arrays = [pa.array(np.full(len(held), current)), pa.array(np.sort(held))]
+        keys = np.sort(pd.unique(np.concatenate(held)))
+        arrays = [pa.array(np.full(len(keys), current)), pa.array(keys)]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "k"])
 
     for block, batch in _blocks(batches):
         if current is not None and block != current:
             yield answer()
-            held = np.zeros(0, np.int64)
+            held = []
         current = block
-        texts = [pd.unique(units.keys_of(t)) for t in batch.column("text").to_pylist()]
-        held = pd.unique(np.concatenate([held, *texts]))
+        held.append(pd.unique(units.keys_of(batch.column("text").to_pylist())[0]))
     if current is not None:
         yield answer()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each slice as one compressed value, with its block."""
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=6)
     for block, batch in _blocks(batches):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema) as stream:
@@ -316,20 +307,24 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
     packed = rows.mapInArrow(_packed, "block long, data binary")
 
     def work(texts: pa.Table, table: pa.Table) -> pa.Table:
+        import pandas as pd
+
         keys = table.column("k").to_numpy()
         order = np.argsort(keys)
         keys, logs = keys[order], table.column("logp").to_numpy()[order]
         units, unpacker, out = Units(words), zstandard.ZstdDecompressor(), []
         for data in texts.column("data").to_pylist():
             batch = pa.ipc.open_stream(unpacker.decompress(data)).read_all().combine_chunks()
-            n, mean = [], []
-            for text in batch.column("text").to_pylist():
-                own = units.keys_of(text)
-                at = np.searchsorted(keys, own)
-                if len(own) and (at.max() >= len(keys) or (keys[at] != own).any()):
-                    raise RuntimeError("a block changed between two reads of the documents")
-                n.append(len(text))
-                mean.append(float(logs[at].sum()) / len(text) if text else 0.0)
+            values = batch.column("text").to_pylist()
+            own, ends = units.keys_of(values)
+            # Each distinct key of the slice is looked up once.
+            places, own = pd.factorize(own)
+            at = np.searchsorted(keys, own)
+            if len(own) and (at.max() >= len(keys) or (keys[at] != own).any()):
+                raise RuntimeError("a block changed between two reads of the documents")
+            each = np.split(logs[at][places], ends[:-1])
+            n = np.array([len(t) for t in values])
+            mean = np.array([x.sum() for x in each]) / np.maximum(n, 1)
             columns = [batch.column(c) for c in ("doc_id", "text_key", "lang")]
             columns += [pa.array(n, pa.int64()), pa.array(mean, pa.float64())]
             out.append(pa.table(columns, names=["doc_id", "text_key", "lang", "n", "logp"]))

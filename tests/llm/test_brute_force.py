@@ -144,7 +144,7 @@ def test_kneser_ney_probabilities_sum_to_one(spark, frame):
     units, letters = quality.Units(model.words), sorted(set("abracadabra banana bar"))
     for context in ("abr", "xyz", "ana", "a of a", "bar of "):
         ends = [context + c for c in [*letters, " of", "一"]]
-        asked = spark.createDataFrame([(int(units.keys_of(t)[-1]),) for t in ends], "k long")
+        asked = spark.createDataFrame([(int(units.keys_of([t])[0][-1]),) for t in ends], "k long")
         seen = asked.count()
         total = model.log_probabilities(asked).agg(F.sum(F.exp("logp"))).first()[0]
         # "f" and "o" occur within the frequent word alone, so they are no units of the model.
