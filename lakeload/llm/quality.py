@@ -36,12 +36,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import checked_broadcast, discard, row_key, slices, text_of, without, written
+from lakeload.llm.common import checked_broadcast, discard, give_back, row_key, slices, text_of, without, written
 from lakeload.llm.exact import Summary
 
 ORDER = 4
@@ -138,13 +139,10 @@ def gram_counts(texts: DataFrame, words: list[str]) -> DataFrame:
     """``k`` and ``c``: each n-gram of the highest order in the column ``text``, and its count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
         units = Units(words)
         for batch in slices(batches):
-            places, found = pd.factorize(units.keys_of(batch.column("text").to_pylist())[0])
-            counts = np.bincount(places, minlength=len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["k", "c"])
+            found = pc.value_counts(pa.array(units.keys_of(batch.column("text").to_pylist())[0]))
+            yield pa.RecordBatch.from_arrays(found.flatten(), names=["k", "c"])
 
     rows = texts.select("text").mapInArrow(work, "k long, c long")
     return rows.groupBy("k").agg(F.sum("c").alias("c"))
@@ -242,12 +240,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 def _asked(words: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each block."""
-    import pandas as pd
-
     units, current, held = Units(words), None, []
 
     def answer() -> pa.RecordBatch:
-        keys = np.sort(pd.unique(np.concatenate(held)))
+        keys = np.unique(np.concatenate(held))
         arrays = [pa.array(np.full(len(keys), current)), pa.array(keys)]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "k"])
 
@@ -256,7 +252,7 @@ def _asked(words: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             yield answer()
             held = []
         current = block
-        held.append(pd.unique(units.keys_of(batch.column("text").to_pylist())[0]))
+        held.append(pc.unique(pa.array(units.keys_of(batch.column("text").to_pylist())[0])).to_numpy())
     if current is not None:
         yield answer()
 
@@ -307,8 +303,6 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
     packed = rows.mapInArrow(_packed, "block long, data binary")
 
     def work(texts: pa.Table, table: pa.Table) -> pa.Table:
-        import pandas as pd
-
         keys = table.column("k").to_numpy()
         order = np.argsort(keys)
         keys, logs = keys[order], table.column("logp").to_numpy()[order]
@@ -318,7 +312,8 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
             values = batch.column("text").to_pylist()
             own, ends = units.keys_of(values)
             # Each distinct key of the slice is looked up once.
-            places, own = pd.factorize(own)
+            coded = pa.array(own).dictionary_encode()
+            places, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
             at = np.searchsorted(keys, own)
             if len(own) and (at.max() >= len(keys) or (keys[at] != own).any()):
                 raise RuntimeError("a block changed between two reads of the documents")
@@ -328,6 +323,7 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
             columns = [batch.column(c) for c in ("doc_id", "text_key", "lang")]
             columns += [pa.array(n, pa.int64()), pa.array(mean, pa.float64())]
             out.append(pa.table(columns, names=["doc_id", "text_key", "lang", "n", "logp"]))
+        give_back()
         return pa.concat_tables(out)
 
     schema = f"doc_id {kinds['doc_id']}, text_key long, lang {kinds['lang']}, n long, logp double"
