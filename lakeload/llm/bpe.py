@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a transducer lexicon of the corpus' frequent words.
 
 A corpus' words are counted by Spark; the most frequent are encoded once and compiled into the
-lexicon. Tasks look a slice's distinct words up together and merge only unseen words, by the
-vocabulary's exact merge rules, so the ids never depend on what the lexicon holds.
+lexicon. Tasks look a slice's distinct words up together and merge only unseen words, those of a
+slice at once, by the vocabulary's exact merge rules, so the ids never depend on what the lexicon holds.
 
 Results for odd input: a null text counts as the empty one, which has no ids; null ids and
 repeated rows pass through, one result each; texts are encoded whole; an empty table gives an
@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from lakeload.llm.lexicon import Lexicon, compile_lexicon
 LEXICON_WORDS = 60_000
 # Distinct words a counting task holds before it hands them on.
 HELD_WORDS = 100_000
-# Unseen words a worker remembers, and the longest it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 150_000, 64
+# Bytes of the longest words merged together; a longer one is merged alone.
+TOGETHER = 48
 _NEVER, _ID = 1 << 62, (1 << 32) - 1
 # Control characters that Python's split takes for blanks.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -75,6 +76,9 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             # Of a pair listed twice, the later rank counts.
             self.merges[self.ids[a], self.ids[b]] = rank << 32 | self.ids[a + b]
+        # The same by number, for many pairs at once.
+        numbered = sorted((a << 32 | b, found) for (a, b), found in self.merges.items())
+        self.pairs, self.found = np.array(numbered, np.int64).reshape(-1, 2).T.copy()
         letters = byte_letters()
         self.first = [self.ids[c] for c in letters]
         self.last = [self.ids[c + self.suffix] for c in letters]
@@ -116,7 +120,7 @@ class Vocabulary:
             return [self.added[word[1:]]]
         data = word.encode("utf-8")
         ids = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
-        if len(ids) > 48:
+        if len(ids) > TOGETHER:
             return self._merge_long(ids)
         look = self.merges.get
         ranked = [look(pair, _NEVER) for pair in zip(ids, ids[1:])]
@@ -159,6 +163,62 @@ class Vocabulary:
             push(before[i])
         return [x for x, kept in zip(ids, alive, strict=True) if kept]
 
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The entry of ``merges`` for each pair, ``_NEVER`` for a pair that is not in it."""
+        if not len(self.pairs):
+            return np.full(len(left), _NEVER)
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == pair, self.found[at], _NEVER)
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``merge`` gives for each word, end to end, and how many ids each word has.
+
+        A round joins one pair in every word that has one to join; words without one leave.
+        """
+        data = [word.encode("utf-8") for word in words]
+        alone = [i for i, d in enumerate(data) if len(d) > TOGETHER or d[0] == 10]
+        parts = [np.array(self.merge(words[i]), np.int64) for i in alone]
+        owners = [np.full(len(part), i) for i, part in zip(alone, parts, strict=True)]
+        n = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        word = np.repeat(np.arange(len(data)), n)
+        together = np.ones(len(data), bool)
+        together[alone] = False
+        flat, word = flat[together[word]], word[together[word]]
+        n = n[together]
+        ids = np.array(self.first, np.int64)[flat]
+        ends = np.cumsum(n) - 1
+        ids[ends] = np.array(self.last, np.int64)[flat[ends]]
+        rank = np.append(self._ranked(ids[:-1], ids[1:]), _NEVER)[: len(ids)]
+        rank[ends] = _NEVER
+        while len(n):
+            best = np.minimum.reduceat(rank, np.cumsum(n) - n)
+            live = best < _NEVER
+            if not live.all():
+                on = np.repeat(live, n)
+                parts.append(ids[~on])
+                owners.append(word[~on])
+                ids, word, rank, n, best = ids[on], word[on], rank[on], n[live], best[live]
+                if not len(n):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(best, n))
+            at = hits[np.append(True, np.diff(word[hits]) > 0)]
+            ids[at] = best & _ID
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, word, rank, n = ids[kept], word[kept], rank[kept], n - 1
+            at -= np.arange(len(at))
+            ends = np.cumsum(n) - 1
+            right, left = at < ends, at > ends - n + 1
+            rank[at] = _NEVER
+            rank[at[right]] = self._ranked(ids[at[right]], ids[at[right] + 1])
+            rank[at[left] - 1] = self._ranked(ids[at[left] - 1], ids[at[left]])
+        merged = np.concatenate([*parts, np.zeros(0, np.int64)])
+        owner = np.concatenate([*owners, np.zeros(0, np.int64)])
+        return merged[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
         return " ".join(self.tokens[i] for i in ids)
@@ -227,53 +287,56 @@ def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS)
     return compile_lexicon({r.word: vocab.encode(r.word) for r in rows if len(r.word.encode()) <= 64})
 
 
+def _runs(pool: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``pool`` end to end, each from its start on."""
+    before = np.cumsum(n) - n
+    return pool[np.repeat(starts - before, n) + np.arange(n.sum())]
+
+
 class Encoder:
     """Encodes slices of texts by one lexicon and one vocabulary."""
 
     def __init__(self, vocabulary: str, lexicon: bytes) -> None:
         self.vocabulary = _vocabulary(vocabulary)
         self.lexicon = _lexicon(lexicon)
-        self.seen: dict[str, list[int]] = {}
-
-    def _unseen(self, piece: str) -> list[int]:
-        words = self.vocabulary.words(piece)
-        return self._merged(words[0]) if len(words) == 1 else [i for w in words for i in self._merged(w)]
-
-    def _merged(self, word: str) -> list[int]:
-        ids = self.seen.get(word)
-        if ids is None:
-            ids = self.vocabulary.merge(word)
-            if len(word) <= REMEMBERED_LENGTH:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[word] = ids
-        return ids
+        tokens = self.vocabulary.tokens
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], pa.large_string())
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """Ids and decoded text of each text."""
+    def _unseen(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end and how many each has; each distinct word is merged once."""
         place: dict[str, int] = {}
-        number, rows, ends = place.setdefault, [], []
+        row, n = [], []
+        for piece in pieces:
+            words = self.vocabulary.words(piece)
+            row += [place.setdefault(word, len(place)) for word in words]
+            n.append(len(words))
+        merged, each = self.vocabulary.merge_all(list(place))
+        row = np.array(row, np.int64)
+        ids = _runs(merged, (np.cumsum(each) - each)[row], each[row])
+        upto = np.append(0, np.cumsum(each[row]))
+        return ids, np.diff(upto[np.append(0, np.cumsum(n, dtype=np.int64))])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all texts end to end, where each text's begin (and the last end), and decoded texts."""
+        pieces, ends = [], [0]
         for text in texts:
-            rows += [number(p, len(place)) for p in self.vocabulary.pieces(text)]
-            ends.append(len(rows))
-        unique, lexicon = list(place), self.lexicon
-        at = lexicon.find([piece.encode() for piece in unique])
+            pieces += self.vocabulary.pieces(text)
+            ends.append(len(pieces))
+        known = pa.array(pieces, pa.large_string()).dictionary_encode()
+        del pieces
+        row, unique = known.indices.to_numpy(), known.dictionary
+        lexicon = self.lexicon
+        at = lexicon.find(unique.cast(pa.large_binary()).to_pylist())
         # Ids of known pieces lie in the lexicon, those of unseen ones are appended.
-        starts, stops = lexicon.id_from[at], lexicon.id_from[at + 1]
-        more: list[int] = []
-        for i in np.flatnonzero(at < 0).tolist():
-            starts[i] = len(lexicon.ids) + len(more)
-            more += self._unseen(unique[i])
-            stops[i] = len(lexicon.ids) + len(more)
-        pool = np.concatenate([lexicon.ids, np.array(more, "<i4")]).astype("<u4")
-        row = np.array(rows, np.int64)
-        n = (stops - starts)[row]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(starts[row] - upto[:-1], n) + np.arange(upto[-1])]
-        bounds = upto[[0, *ends]].tolist()
-        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-        token = self.vocabulary.tokens.__getitem__
-        return out, [" ".join(map(token, x.tolist())) for x in out]
+        starts, n = lexicon.id_from[at], lexicon.id_from[at + 1] - lexicon.id_from[at]
+        new = np.flatnonzero(at < 0)
+        more, each = self._unseen(unique.take(pa.array(new)).to_pylist())
+        starts[new], n[new] = len(lexicon.ids) + np.cumsum(each) - each, each
+        pool = np.concatenate([lexicon.ids, more]).astype("<u4")
+        ids = _runs(pool, starts[row], n[row])
+        bounds = np.append(0, np.cumsum(n[row]))[ends]
+        lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), self.tokens.take(pa.array(ids)))
+        return ids, bounds, pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
 
 
 def _mapped(
@@ -281,7 +344,7 @@ def _mapped(
     vocabulary: str,
     lexicon: bytes,
     schema: str,
-    columns: Callable[[pa.RecordBatch, list[np.ndarray], list[str]], list[pa.Array]],
+    columns: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array], list[pa.Array]],
 ) -> DataFrame:
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((vocabulary, lexicon))
@@ -290,8 +353,8 @@ def _mapped(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in slices(batches):
-            ids, decoded = encoder.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(columns(batch, ids, decoded), names=names)
+            made = encoder.encode(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(columns(batch, *made), names=names)
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, schema)
 
@@ -299,11 +362,9 @@ def _mapped(
 def encode(docs: DataFrame, vocabulary: str, lexicon: bytes) -> DataFrame:
     """``doc_id``, ``ids`` and the ``decoded`` text of each row of ``docs``."""
 
-    def columns(batch, ids, decoded):
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
-        flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype("i4")
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        return [batch.column("doc_id"), lists, pa.array(decoded, pa.string())]
+    def columns(batch, ids, bounds, decoded):
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype("i4")))
+        return [batch.column("doc_id"), lists, decoded.cast(pa.string())]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _mapped(docs, vocabulary, lexicon, f"doc_id {kind}, ids array<int>, decoded string", columns)
@@ -312,12 +373,14 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: bytes) -> DataFrame:
 def encode_digests(docs: DataFrame, vocabulary: str, lexicon: bytes) -> DataFrame:
     """``doc_id``, ``n_tokens`` and the SHA-256 of ids and decoded text, made where they arise."""
 
-    def columns(batch, ids, decoded):
+    def columns(batch, ids, bounds, decoded):
+        runs = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        texts = decoded.cast(pa.large_binary()).to_pylist()
         return [
             batch.column("doc_id"),
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+            pa.array(np.diff(bounds), pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in runs], pa.string()),
+            pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
         ]
 
     kind = docs.schema["doc_id"].dataType.simpleString()

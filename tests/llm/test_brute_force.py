@@ -73,6 +73,30 @@ def test_ids_and_text_are_the_tokenizers(spark, frame):
     assert back == {i: decoded for i, (_, decoded) in got.items()}
 
 
+def test_words_of_a_slice_are_merged_together(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    data = bpe.load_vocabulary(path)
+    draw, vocabulary = random.Random(2), bpe.Vocabulary(data)
+    words = ["".join(draw.choices("abcdeinorst漢é0-", k=draw.randint(1, 20))) for _ in range(2000)]
+    words += ["x" * 300, "\n<|endoftext|>", "a", "the"]
+    ids, n = vocabulary.merge_all(words)
+    bounds = np.append(0, np.cumsum(n))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [vocabulary.merge(w) for w in words]
+    assert [x.tolist() for x in vocabulary.merge_all([])] == [[], []]
+
+    def alone(self, word):
+        raise AssertionError("merged alone: " + word)
+
+    # Short words that the lexicon lacks, in one text or several, are not merged one by one.
+    monkeypatch.setattr(bpe.Vocabulary, "merge", alone)
+    texts = ["unseen words, twice: unseen words don't count", "", "words again"]
+    got, bounds, decoded = bpe.Encoder(data, compile_lexicon({})).encode(texts)
+    tokenizer = Tokenizer.from_file(path)
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [got[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == expected
+    assert decoded.to_pylist() == [tokenizer.decode(ids, skip_special_tokens=False) for ids in expected]
+
+
 def plain_fingerprint(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     words = [w for w in re.split(r"[\x20\x09-\x0d]+", lower) if w]
