@@ -13,7 +13,7 @@ words nor a third are themselves are not indexed, windows of words all are.
 
 A window is looked up by its rarest word: a document's words are compared with those, and only where
 one stands is a window hashed, at the offsets that this word has in windows. How rare a word is comes
-from a sample of the documents and changes what a run costs, not what it finds.
+from a count over all documents and changes what a run costs, not what it finds.
 
 Words put in or left out move what follows them. The item is aligned with as many of the document's
 words, and ``SLACK`` times as many before and after, by the longest common subsequence: the text
@@ -38,12 +38,13 @@ WINDOW = 8
 SLACK = 0.6
 # Least share of an item's words that must stand in the document at one place.
 SHARE = 0.7
-# One document in so many is looked at to tell rare words.
-SAMPLE = 16
 # Bits of a number that hold an alignment's state; two are left for the sign and a carry.
 LIMB = 62
 FULL = (1 << LIMB) - 1
 
+# What stands between words.
+BETWEEN = r"[^\p{L}\p{M}\p{Nd}]+"
+
 # Abbreviations of units.
 UNITS = (
     "km cm mm mi ft yd kg mg lb lbs oz ml kmh kph mph ms min mins hr hrs sec secs "
@@ -55,7 +56,7 @@ UNITS = (
 
 def _spaced(text: Column) -> Column:
     """The words of a text, a space before and after each."""
-    return F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{M}\p{Nd}]+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(text, BETWEEN, " "), F.lit(" "))
 
 
 def _split(spaced: Column) -> Column:
@@ -110,10 +111,12 @@ def prepared_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _word_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``word`` (a hash) and its count in a sample of the documents, for words of the items; written."""
+    """``word`` (a hash) and its count in all documents, for words of the items; written.
+
+    The same words as those of ``_lower_words``, which makes a text of them in between.
+    """
     own = written(items.select(F.explode(F.transform("item_words", lambda w: F.xxhash64(w))).alias("word")).distinct(), "item-words")
-    some = docs.select(text_of().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    each = some.select(F.explode(_lower_words(F.col("text"))).alias("w")).select(F.xxhash64("w").alias("word"))
+    each = docs.select(F.explode(F.split(text_of(), BETWEEN)).alias("w")).select(F.xxhash64(F.lower("w")).alias("word"))
     met = each.join(checked_broadcast(own), "word", "left_semi")
     return written(met.groupBy("word").agg(F.count(F.lit(1)).alias("often")), "word-counts")
 

@@ -1,9 +1,11 @@
 """Leaked benchmark items that were edited a little."""
 
+import collections
 import math
 import random
 
 import regex
+from pyspark.sql import functions as F
 
 from lakeload.llm import decontaminate
 
@@ -150,3 +152,18 @@ def test_edited_and_reparameterised_items_among_others(spark, frame):
     # Of the two with other values, one gives one name for another throughout.
     assert want[100, 50][2] and (101, 50) not in want and len(want) > 30
     assert any(item for _, item in want if len(dict(items)[item].split()) > 62)  # over a limb long
+
+
+def test_rare_words_are_told_by_all_documents(spark, frame):
+    item = "Anna Berg met 7 ΟΔΟΣ near the old Stra\u00dfe İn e\u0301t\u00e9"
+    texts = [f"{i}, the ΟΔΟΣ'Α ΟΔΟΣ; the-old ANNA (berg)? İn E\u0301T\u00c9 x{i}" for i in range(40)] + [None, "", " .. ", "the"]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(list(enumerate(texts)))
+    counted = decontaminate._word_counts(docs, decontaminate.prepared_items(benchmark))
+    words = docs.select(F.explode(decontaminate._lower_words(F.col("text"))).alias("w"))
+    expected = collections.Counter(r.w for r in words.collect())
+    hashed = {r.h: r.w for r in words.distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    got = {hashed[r.word]: r.often for r in counted.collect()}
+    own = benchmark.select(F.explode(decontaminate._lower_words(F.col("text"))).alias("w")).collect()
+    assert got == {r.w: expected[r.w] for r in own if r.w in expected}
+    assert got["the"] == 81 and got["anna"] == 40 and got["7"] == 1
