@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.functions.hashing import coin, digest, int_vector, random_key, uniform
+from lakeload.functions.hashing import coin, digest, int_vectors, random_key, uniform
 from lakeload.functions.schema import COLUMNS
 
 # Key lengths, measure ranges and vector length of a sample record.
@@ -50,12 +50,12 @@ def generate_records(
     }
     for name in ("Sub_ID_1", "Sub_ID_2", "Sub_ID_3"):
         columns[name] = random_key(row_digest(name), SUB_ID_LENGTH)
-    for name in _DENSE_FINGERPRINTS:
-        columns[name] = int_vector(row_digest(name), fingerprint_length)
+    digests = {name: row_digest(name) for name in _DENSE_FINGERPRINTS}
     for name in _SPARSE_FINGERPRINTS:
-        present = F.when(coin(row_digest(name + " present")), row_digest(name))
-        columns[name] = int_vector(present, fingerprint_length)
-    return rows.select(
+        digests[name] = F.when(coin(row_digest(name + " present")), row_digest(name))
+    made = rows.withColumn("_vectors", int_vectors(digests, fingerprint_length))
+    columns |= {name: F.col("_vectors")[name] for name in digests}
+    return made.select(
         *[columns[name].alias(name) for name in COLUMNS], F.col(file_name).alias("file_name")
     )
 

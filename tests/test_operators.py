@@ -1,15 +1,17 @@
 """Alignment, casts, validation, hashing, generation and layout operators."""
 
+import hashlib
 import math
 import string
 
+import pyarrow as pa
 import pytest
 from conftest import record
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakeload.functions.hashing import digest, int_vector, random_key, uniform
+from lakeload.functions.hashing import ALPHABET, _vectors, digest, int_vector, random_key, uniform
 from lakeload.functions.schema import COLUMNS, REQUIRED, TABLE_SCHEMA
 from lakeload.operators.align import (
     align_columns,
@@ -104,6 +106,44 @@ def test_int_vector_is_long_bounded_and_roughly_uniform(spark):
     assert len({tuple(v) for v in values}) == 200
 
 
+def test_vectors_of_any_seed_leave_a_task_in_small_batches(spark):
+    # The least and the largest start and step, some between, and rows without a digest.
+    seeds = [0, 2**20 - 1, (2**28 - 1) << 20, 2**48 - 1, None, None]
+    seeds += [(i * 7919**4) % 2**48 if i % 3 else None for i in range(1000)]
+
+    def plain(seed):
+        if seed is None:
+            return None
+        points = [(seed >> 20) + (seed % 2**20 + 1) * i for i in range(2048)]
+        return ",".join(str(x * x % 2147483647 % 1001) for x in points)
+
+    empty = pa.nulls(len(seeds), pa.int64())
+    vectors = _vectors(["A", "B"], 2048).func
+    batches = list(vectors(iter([(pa.array(seeds), empty), (pa.array(seeds[:1]), empty[:1])])))
+    assert max(map(len, batches)) <= 64
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    assert [row["A"] for row in rows] == [plain(seed) for seed in [*seeds, seeds[0]]]
+    assert {row["B"] for row in rows} == {None}
+
+
+def test_all_vectors_of_a_record_are_made_by_one_function(spark):
+    ids = spark.range(10).withColumn("file_name", F.lit("f"))
+    made = generate_records(ids, fingerprint_length=4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("vectors(") == plan.count("ArrowEvalPython") == 1
+    for row in made.collect():
+        assert all(len(row[name].split(",")) == 4 for name in ("FP1", "FP2", "FP3"))
+
+
+def test_a_key_is_made_of_three_hex_digits_a_character(spark):
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(500)] + ["f" * 32, "0" * 32]
+    rows = spark.createDataFrame([(h,) for h in hexes], "h string")
+    for length in (1, 3, 5, 6, 10):
+        keys = [r.k for r in rows.select(random_key(F.col("h"), length).alias("k")).collect()]
+        places = [[int(h[3 * i : 3 * i + 3], 16) % 62 for i in range(length)] for h in hexes]
+        assert keys == ["".join(ALPHABET[p] for p in row) for row in places]
+
+
 def test_random_values_have_their_ranges(spark):
     d = digest("t", F.col("id"))
     rows = spark.range(5000).select(
